@@ -1,0 +1,41 @@
+"""Key lookups that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shiftlens.session import bucket_count
+
+
+def lookup_with_hot_keys(
+    rows: DataFrame,
+    table: DataFrame,
+    by: list[str],
+    key: str,
+    result: str,
+    weight: str,
+    total: str,
+    spread: str,
+) -> DataFrame:
+    """Left-join ``result`` from ``table`` (unique on by + key) onto ``rows``.
+
+    Keys holding more than 1/B of their group are at most B per group, so they are
+    broadcast. Rows of such keys leave the key empty in the shuffled join and are
+    spread by the ``spread`` column, which keeps that join even.
+    """
+    n = bucket_count(rows.sparkSession)
+    is_hot = F.col(weight) * F.lit(n) > F.col(total)
+    columns = [*by, F.col(key).alias("_k"), F.col(result).alias("_r")]
+    hot = table.filter(is_hot).select(*columns[:-1], F.col(result).alias("_hot"))
+    light = table.filter(~is_hot).select(*columns, F.lit(0).alias("_salt"))
+    marked = rows.withColumn("_k", F.col(key)).join(F.broadcast(hot), [*by, "_k"], "left")
+    marked = marked.withColumn("_k", F.when(F.col("_hot").isNull(), F.col(key))).withColumn(
+        "_salt",
+        F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.hash(spread), F.lit(4 * n)) + 1),
+    )
+    return (
+        marked.join(light, [*by, "_k", "_salt"], "left")
+        .withColumn(result, F.coalesce("_hot", "_r"))
+        .drop("_k", "_salt", "_hot", "_r")
+    )

@@ -1,0 +1 @@
+"""Intentionally empty: the capability list has no streaming operators."""
