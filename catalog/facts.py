@@ -51,13 +51,13 @@ fact AS (
 
 
 def shipments_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with a revenue drop in one crossed cohort and a drifting discount."""
+    """Line items with a revenue drop in one crossed cohort, which also grows, and a drifting discount."""
     late = F.col("l_shipdate") >= _stamp(SHIPMENTS_CUTOFF)
     broken = late & (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
     q = F.col("l_quantity")
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_shipdate").alias("ts"),
-        F.col("l_returnflag").alias("flag"),
+        F.when(late & (F.col("l_linestatus") == "F") & (q > 40), "R").otherwise(F.col("l_returnflag")).alias("flag"),
         F.col("l_linestatus").alias("line_status"),
         (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")) * F.when(broken, 0.55).otherwise(1.0)).alias("revenue"),
         (F.col("l_discount") + F.when(late, 0.04).otherwise(0.0)).alias("discount"),
@@ -72,7 +72,8 @@ SHIPMENTS_DIMS = ["flag", "line_status"]
 SHIPMENTS_COVARIATES = ["discount", "tax", "quantity", "handling"]
 SHIPMENTS_SQL = f"""
 fact AS (
-  SELECT l_shipdate AS ts, l_returnflag AS flag, l_linestatus AS line_status,
+  SELECT l_shipdate AS ts, CASE WHEN l_shipdate >= TIMESTAMP '{SHIPMENTS_CUTOFF}' AND l_linestatus = 'F' AND l_quantity > 40
+      THEN 'R' ELSE l_returnflag END AS flag, l_linestatus AS line_status,
     l_extendedprice * (1.0::DOUBLE - l_discount)
       * CASE WHEN l_shipdate >= TIMESTAMP '{SHIPMENTS_CUTOFF}' AND l_returnflag = 'R' AND l_linestatus = 'F'
         THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END AS revenue,

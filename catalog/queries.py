@@ -236,18 +236,21 @@ def schema_health(spark, sf_dir):
 
 # --- detection -------------------------------------------------------------------------
 
+# Means of a few cents values often end in a 5 at the fifth digit; round further out.
+FINE = {"metric_mean": 7, "expected": 7}
+
 def _daily(spark, sf_dir) -> DataFrame:
     return detection.daily_points(facts.orders_plain(spark, sf_dir), "ts", "amount")
 
 
 @query
 def daily_metric(spark, sf_dir):
-    return out(detection.daily_metric(facts.orders_plain(spark, sf_dir), "ts", "amount"))
+    return out(detection.daily_metric(facts.orders_plain(spark, sf_dir), "ts", "amount"), metric_mean=7)
 
 
 @query
 def rolling_baseline(spark, sf_dir):
-    return out(_daily(spark, sf_dir), "day", "metric_mean", "expected", "spread")
+    return out(_daily(spark, sf_dir), "day", "metric_mean", "expected", "spread", **FINE)
 
 
 POINT_COLUMNS = ["metric_mean", "expected", "deviation_z", "is_anomaly", "anomaly_score", "severity"]
@@ -255,12 +258,12 @@ POINT_COLUMNS = ["metric_mean", "expected", "deviation_z", "is_anomaly", "anomal
 
 @query
 def rolling_z_points(spark, sf_dir):
-    return out(_daily(spark, sf_dir), "day", *POINT_COLUMNS)
+    return out(_daily(spark, sf_dir), "day", *POINT_COLUMNS, **FINE)
 
 
 @query
 def flagged_points(spark, sf_dir):
-    return out(detection.flagged(_daily(spark, sf_dir)), "day", *POINT_COLUMNS)
+    return out(detection.flagged(_daily(spark, sf_dir)), "day", *POINT_COLUMNS, **FINE)
 
 
 @query
@@ -663,7 +666,7 @@ def audit_trail(spark, sf_dir):
 @query
 def chart_series(spark, sf_dir):
     window = _window(facts.orders_fact(spark, sf_dir), "amount")
-    return out(charts.chart_series(_daily(spark, sf_dir), window))
+    return out(charts.chart_series(_daily(spark, sf_dir), window), metric_mean=7)
 
 
 @query
