@@ -229,8 +229,12 @@ def candidate_columns(spark, sf_dir):
 @query
 def schema_health(spark, sf_dir):
     fact, counts, types = _types(spark, sf_dir)
+    quarters = materialize(profiling.quartiles(profiling.numeric_values(fact, counts)), "quartiles")
     return profiling.schema_health(
-        types, profiling.numeric_stats(fact, counts), profiling.iqr_outliers(fact, counts), profiling.top_values(counts)
+        types,
+        profiling.numeric_stats(fact, counts, quarters),
+        profiling.iqr_outliers(fact, counts, quarters),
+        profiling.top_values(counts),
     )
 
 
@@ -397,7 +401,7 @@ def mann_whitney(spark, sf_dir):
 
 def _tested(long: DataFrame) -> DataFrame:
     long = _segmented(long)
-    return st.two_sample(st.moments(long, SEGMENT), long, SEGMENT)
+    return st.two_sample(materialize(st.moments(long, SEGMENT), "moments"), long, SEGMENT)
 
 
 TEST_COLUMNS = [*SEGMENT, "test_name", "statistic", "p_value", "effect", "n_base", "n_anom", "df"]
@@ -468,7 +472,7 @@ def spearman(spark, sf_dir):
 @query
 def covariate_shift(spark, sf_dir):
     long = _covariates(spark, sf_dir)
-    tested = hyp.covariate_shift(long, st.moments(long, ["covariate"]))
+    tested = hyp.covariate_shift(long, materialize(st.moments(long, ["covariate"]), "moments"))
     return out(tested, "covariate", "test_name", "statistic", "p_value", "effect", "df", p_value=7)
 
 

@@ -19,21 +19,30 @@ from pyspark.sql import functions as F
 from shiftlens.session import bucket_count, materialize
 
 BUCKET = "_bucket"
+Cuts = dict[str | None, list[float]]
 
 
-def split_points(df: DataFrame, value: str, by: str | None = None) -> dict[str | None, list[float]]:
-    """Approximate quantiles of ``value`` per key of ``by`` (a column of few keys).
+def _cuts(column: Column, n: int) -> Column:
+    """Approximate i/n quantiles; the sketch error is a tenth of a bucket."""
+    return F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n)
+
+
+def split_points(df: DataFrame, value: str, by: str | None = None) -> Cuts:
+    """Approximate quantiles of ``value``, per key of ``by`` (a column of few keys).
 
     Only ``bucket_count`` numbers per key reach the driver.
     """
-    n = bucket_count(df.sparkSession)
-    shares = [i / n for i in range(1, n)]
-    cuts = F.percentile_approx(F.col(value), shares, max(10000, 10 * n)).alias("cuts")
+    cuts = _cuts(F.col(value), bucket_count(df.sparkSession)).alias("cuts")
     if by is None:
-        rows = df.agg(cuts).collect()
-        return {None: sorted(set(rows[0]["cuts"] or []))}
-    rows = df.groupBy(by).agg(cuts).collect()
-    return {row[by]: sorted(set(row["cuts"] or [])) for row in rows}
+        return {None: sorted(set(df.agg(cuts).first()["cuts"] or []))}
+    return {row[by]: sorted(set(row["cuts"] or [])) for row in df.groupBy(by).agg(cuts).collect()}
+
+
+def column_split_points(df: DataFrame, columns: dict[str, Column]) -> Cuts:
+    """Split points of several columns in one pass over the wide table."""
+    n = bucket_count(df.sparkSession)
+    row = df.agg(*[_cuts(column, n).alias(name) for name, column in columns.items()]).first()
+    return {name: sorted(set(row[name] or [])) for name in columns}
 
 
 def _cut_array(cuts: list[float], size: int) -> str:
@@ -41,13 +50,31 @@ def _cut_array(cuts: list[float], size: int) -> str:
     return "cast(split('" + ",".join(padded) + "', ',') as array<double>)"
 
 
+def bind(column: Column, function) -> Column:
+    """``function(column)`` with ``column`` evaluated once however often it is used.
+
+    A chain of projections would not do: a filter pushed through it repeats each step.
+    """
+    return F.get(F.transform(F.array(column), function), F.lit(0))
+
+
 def in_buckets(
-    df: DataFrame, value: str, cuts: dict[str | None, list[float]], by: str | None = None
+    df: DataFrame,
+    value: str,
+    cuts: Cuts,
+    by: str | None = None,
+    own_bucket: bool = False,
+    name: str = BUCKET,
 ) -> DataFrame:
-    """Add ``_bucket``: the number of split points at or below ``value``."""
+    """Add a bucket column: the number of split points at or below ``value``, by binary search.
+
+    With ``own_bucket`` a value equal to a split point gets an even bucket of its
+    own. Every value held by more than about 1.2/n of the rows is a split point,
+    so the odd buckets between them stay small whatever the skew.
+    """
     widest = max([len(c) for c in cuts.values()] or [0])
     if widest == 0:
-        return df.withColumn(BUCKET, F.lit(0))
+        return df.withColumn(name, F.lit(1 if own_bucket else 0))
     levels = math.ceil(math.log2(widest + 1))
     size = 2**levels - 1
     if by is None:
@@ -57,13 +84,22 @@ def in_buckets(
         for key, own in cuts.items():
             if own:
                 array = F.when(F.col(by) == key, F.expr(_cut_array(own, size))).otherwise(array)
-    names = df.columns
-    out = df.withColumn("_cuts", array).withColumn(BUCKET, F.lit(0))
-    for level in reversed(range(levels)):
-        step = 2**level
-        passed = F.col(value) >= F.get(F.col("_cuts"), F.col(BUCKET) + F.lit(step - 1))
-        out = out.withColumn(BUCKET, F.col(BUCKET) + F.when(passed, step).otherwise(0))
-    return out.select(*names, BUCKET)
+    steps = F.array(*[F.lit(2**level) for level in reversed(range(levels))])
+
+    def search(cuts_of_row: Column) -> Column:
+        found = F.reduce(
+            steps,
+            F.lit(0),
+            lambda at, step: at + F.when(F.col(value) >= F.get(cuts_of_row, at + step - 1), step).otherwise(0),
+        )
+        if not own_bucket:
+            return found
+        return bind(
+            found,
+            lambda at: 2 * at + F.when(F.get(cuts_of_row, at - 1).eqNullSafe(F.col(value)), 0).otherwise(1),
+        )
+
+    return df.withColumn(name, bind(array, search))
 
 
 def _before(columns: list[str]) -> Window:
@@ -82,15 +118,44 @@ def bucket_offsets(counted: DataFrame, by: list[str], weight: str) -> DataFrame:
     )
 
 
-def running_counts(counted: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
-    """Add ``_below``: rows with a smaller value in the same key, ``_all``: rows in the key."""
-    offsets = bucket_offsets(counted, by, weight)
-    local = F.coalesce(F.sum(weight).over(_before([*by, BUCKET]).orderBy(value)), F.lit(0))
+def rank_totals(rows: DataFrame, by: str, sides: dict[str, str]) -> DataFrame:
+    """(by, side, bucket) -> rows in the bucket, in earlier buckets, in all buckets.
+
+    ``sides`` maps a side to its bucket column. Counted map-side in one pass over
+    ``rows`` and written down; a few rows per key and split point.
+    """
+    pairs = [F.struct(F.lit(s).alias("_side"), F.col(c).alias(BUCKET)) for s, c in sides.items()]
+    listed = rows.select(by, F.explode(F.array(*pairs)).alias("_p")).select(by, "_p.*")
+    counted = listed.groupBy(by, "_side", BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    return materialize(bucket_offsets(counted, [by, "_side"], "_n"), "rank-totals")
+
+
+def mid_rank(rows: DataFrame, by: str, value: str, bucket: str, totals: DataFrame, sort: bool = True) -> DataFrame:
+    """Add ``rank_{value}``, the average rank among all rows of the same key, and ``_all``.
+
+    A value with a bucket of its own has its rank from the totals alone, and its
+    rows are spread over many tasks. Only values between split points are sorted;
+    ``sort`` False says that ``rows`` has none of those.
+    """
+    side = totals.filter(F.col("_side") == value).withColumnRenamed(BUCKET, bucket).drop("_side")
+    local = (F.col("_inside") + 1) / 2
+    if sort:
+        n = bucket_count(rows.sparkSession)
+        alone = F.col(bucket) % 2 == 0
+        others = [c for c in rows.columns if c not in (by, value, bucket)]
+        salt = F.when(alone, F.pmod(F.xxhash64(*others), F.lit(4 * n)) + 1).otherwise(0)
+        inside = Window.partitionBy(bucket, "_salt", by).orderBy(value)
+        upto = F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = (
+            rows.withColumn("_salt", salt)
+            .withColumn("_local", (F.rank().over(inside) + upto) / 2)
+            .drop("_salt")
+        )
+        local = F.when(alone, local).otherwise(F.col("_local"))
     return (
-        counted.withColumn("_local", local)
-        .join(F.broadcast(offsets.drop("_inside")), [*by, BUCKET])
-        .withColumn("_below", F.col("_local") + F.col("_earlier"))
-        .drop("_local", "_earlier")
+        rows.drop("_all").join(F.broadcast(side), [by, bucket])
+        .withColumn(f"rank_{value}", F.col("_earlier") + local)
+        .drop("_local", "_earlier", "_inside")
     )
 
 

@@ -37,20 +37,18 @@ def by_period(function, value: Column, name: str) -> list[Column]:
     ]
 
 
-def window_summary(
-    tagged: DataFrame, metric: str, method: str, flagged: Column | None = None
+def window_from_totals(
+    totals: DataFrame, metric: str, method: str, flagged: Column | None = None
 ) -> DataFrame:
     """One row: cohort sizes, raw means, change, direction and method."""
-    value = number(metric)
-    sums = tagged.agg(
-        F.count_if(in_baseline()).alias("baseline_count"),
-        F.count_if(in_anomaly()).alias("anomaly_count"),
-        F.avg(F.when(in_baseline(), value)).alias("baseline_mean"),
-        F.avg(F.when(in_anomaly(), value)).alias("anomaly_mean"),
-    )
     delta = F.col("anomaly_mean") - F.col("baseline_mean")
-    return sums.select(
+    return totals.select(
         F.lit(metric).alias("metric"),
+        F.col("total_base").alias("baseline_count"),
+        F.col("total_anom").alias("anomaly_count"),
+        F.col("overall_base").alias("baseline_mean"),
+        F.col("overall_anom").alias("anomaly_mean"),
+    ).select(
         "*",
         delta.alias("absolute_delta"),
         percent_change(delta, F.col("baseline_mean")).alias("relative_pct_change"),
@@ -58,3 +56,20 @@ def window_summary(
         F.lit(method).alias("detection_method"),
         (flagged if flagged is not None else F.lit(0)).cast("long").alias("flagged_points"),
     )
+
+
+def cohort_totals(tagged: DataFrame, metric: str) -> DataFrame:
+    """One row with cohort sizes and means; reads the metric and the period only."""
+    value = number(metric)
+    return tagged.agg(
+        F.count_if(in_baseline()).alias("total_base"),
+        F.count_if(in_anomaly()).alias("total_anom"),
+        F.avg(F.when(in_baseline(), value)).alias("overall_base"),
+        F.avg(F.when(in_anomaly(), value)).alias("overall_anom"),
+    )
+
+
+def window_summary(
+    tagged: DataFrame, metric: str, method: str, flagged: Column | None = None
+) -> DataFrame:
+    return window_from_totals(cohort_totals(tagged, metric), metric, method, flagged)

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import number, ratio
-from shiftlens.operators.cohorts import PERIOD, in_anomaly, in_baseline
+from shiftlens.operators.cohorts import PERIOD, cohort_totals, in_anomaly, in_baseline
 from shiftlens.operators.statistics import moment_columns
 
 JOINT = " × "
+WHOLE = "(all)"
 
 
 def joint_column(first: str, second: str) -> Column:
@@ -23,17 +24,21 @@ def joint_column(first: str, second: str) -> Column:
 
 
 def long_segments(
-    tagged: DataFrame, metric: str, dimensions: list[str], joint: bool = False
+    tagged: DataFrame, metric: str, dimensions: list[str], joint: bool = False, whole: bool = False
 ) -> DataFrame:
     """(period, x, dimension, segment_value): one Expand for all dimensions.
 
-    ``joint`` adds the crossing of the first two dimensions as one more dimension.
+    ``joint`` adds the crossing of the first two dimensions as one more dimension,
+    ``whole`` a dimension with a single segment, which carries the cohort totals.
     """
     columns = [F.col(d).cast("string").alias(d) for d in dimensions]
     listed = list(dimensions)
     if joint and len(dimensions) >= 2:
         listed.append(JOINT.join(dimensions[:2]))
         columns.append(joint_column(*dimensions[:2]).alias(listed[-1]))
+    if whole:
+        listed.append(WHOLE)
+        columns.append(F.lit(WHOLE).alias(WHOLE))
     return (
         tagged.filter(F.col(PERIOD).isNotNull())
         .select(PERIOD, number(metric).alias("x"), *columns)
@@ -54,14 +59,13 @@ def segment_moments(long: DataFrame) -> DataFrame:
     )
 
 
-def cohort_totals(tagged: DataFrame, metric: str) -> DataFrame:
-    """One row with cohort sizes and means, missing segments included."""
-    value = number(metric)
-    return tagged.agg(
-        F.count_if(in_baseline()).alias("total_base"),
-        F.count_if(in_anomaly()).alias("total_anom"),
-        F.avg(F.when(in_baseline(), value)).alias("overall_base"),
-        F.avg(F.when(in_anomaly(), value)).alias("overall_anom"),
+def totals_row(segments: DataFrame) -> DataFrame:
+    """Cohort totals read from the ``whole`` dimension of a segment table."""
+    return segments.filter(F.col("dimension") == WHOLE).select(
+        F.col("volume_base").alias("total_base"),
+        F.col("volume_anom").alias("total_anom"),
+        F.col("mean_base").alias("overall_base"),
+        F.col("mean_anom").alias("overall_anom"),
     )
 
 

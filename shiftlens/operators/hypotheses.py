@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import number
+from shiftlens.functions.ordering import Cuts, column_split_points
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import PERIOD
 from shiftlens.operators.decomposition import JOINT, top_per_dimension
@@ -152,20 +153,28 @@ def long_covariates(tagged: DataFrame, metric: str, covariates: list[str]) -> Da
     )
 
 
-def covariate_shift(long: DataFrame, moments: DataFrame) -> DataFrame:
+def covariate_split_points(tagged: DataFrame, metric: str, covariates: list[str]) -> tuple[Cuts, Cuts]:
+    """Split points of every covariate and of the metric, from one pass."""
+    found = column_split_points(tagged, {c: number(c) for c in [metric, *covariates]})
+    return {c: found[c] for c in covariates}, {c: found[metric] for c in covariates}
+
+
+def covariate_shift(long: DataFrame, moments: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """Two-sample test of each covariate with five values on both sides."""
     enough = moments.filter((F.col("n_base") >= 5) & (F.col("n_anom") >= 5))
-    tested = st.two_sample(enough, long, ["covariate"], split_by="covariate")
+    tested = st.two_sample(enough, long, ["covariate"], split_by="covariate", cuts=cuts)
     return tested.withColumn("test_name", F.concat(F.lit("Covariate Shift ("), "test_name", F.lit(")")))
 
 
-def covariate_tests(long: DataFrame) -> DataFrame:
+def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> DataFrame:
     """Correlations, shift and verdict per covariate; moments and pairs in one aggregate."""
+    long = long_covariates(tagged, metric, covariates)
     table = long.groupBy("covariate").agg(*st.moment_columns(), *st.pair_columns())
     table = materialize(table, "covariates")
+    cuts, metric_cuts = covariate_split_points(tagged, metric, covariates)
     linear = st.pearson(table.select("covariate", "n_pairs", "_cov", "_sx", "_sy"))
-    ranked = st.spearman(long, "covariate").drop("n_pairs")
-    shift = covariate_shift(long, table.drop("n_pairs", "_cov", "_sx", "_sy"))
+    ranked = st.spearman(long, "covariate", cuts, metric_cuts).drop("n_pairs")
+    shift = covariate_shift(long, table.drop("n_pairs", "_cov", "_sx", "_sy"), cuts)
     joined = linear.join(ranked, "covariate", "left").join(shift, "covariate", "left")
     correlated = F.col("n_pairs") >= 10
     shifted = F.col("test_name").isNotNull()
@@ -192,7 +201,7 @@ def covariate_tests(long: DataFrame) -> DataFrame:
 def covariate_hypotheses(
     tagged: DataFrame, covariates: list[str], run_id: str, metric: str
 ) -> DataFrame:
-    tested = covariate_tests(long_covariates(tagged, metric, covariates))
+    tested = covariate_tests(tagged, metric, covariates)
     none = F.lit(None).cast("double")
     whole = {"n_base": F.col("n_pairs"), "n_anom": F.lit(0), "df": none, "ci_low": none, "ci_high": none}
 

@@ -201,21 +201,22 @@ def quartiles(values: DataFrame) -> DataFrame:
     )
 
 
-def numeric_stats(df: DataFrame, counts: DataFrame) -> DataFrame:
+def numeric_stats(df: DataFrame, counts: DataFrame, quarters: DataFrame | None = None) -> DataFrame:
     """Moments and quartiles per column that holds numbers."""
     values = numeric_values(df, counts)
+    quarters = quartiles(values) if quarters is None else quarters
     texts = any(_kind(f) == "string" for f in flat_fields(df))
     base = moments(df).unionByName(text_moments(df, values)) if texts else moments(df)
     return (
-        base.join(quartiles(values).drop("n_values"), "column")
+        base.join(quarters.drop("n_values"), "column")
         .withColumn("iqr", F.col("q3") - F.col("q1"))
     )
 
 
-def iqr_outliers(df: DataFrame, counts: DataFrame) -> DataFrame:
+def iqr_outliers(df: DataFrame, counts: DataFrame, quarters: DataFrame | None = None) -> DataFrame:
     """Values strictly outside the quartile fences, counted on distinct values."""
     values = numeric_values(df, counts)
-    fences = quartiles(values)
+    fences = quartiles(values) if quarters is None else quarters
     reach = (F.col("q3") - F.col("q1")) * 1.5
     enough = F.col("n_values") >= 5
     fences = fences.select(
@@ -315,10 +316,11 @@ class Profile:
 def profile(df: DataFrame, key: list[str]) -> Profile:
     counts = materialize(value_counts(df), "value-counts")
     types = materialize(infer_types(df, counts, key), "column-types")
+    quarters = materialize(quartiles(numeric_values(df, counts)), "quartiles")
     return Profile(
         types=types,
-        stats=numeric_stats(df, counts),
-        outliers=iqr_outliers(df, counts),
+        stats=numeric_stats(df, counts, quarters),
+        outliers=iqr_outliers(df, counts, quarters),
         top=top_values(counts).join(
             F.broadcast(types.filter(F.col("inferred_type").isin("categorical", "boolean")).select("column")),
             "column",

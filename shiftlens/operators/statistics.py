@@ -11,11 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import ratio
-from shiftlens.functions.ordering import BUCKET, in_buckets, running_counts, split_points
+from shiftlens.functions.ordering import BUCKET, Cuts, in_buckets, mid_rank, rank_totals, split_points
 from shiftlens.functions.pvalues import chi_square_p, normal_p, student_t_p
-from shiftlens.functions.skew import lookup_with_hot_keys
 from shiftlens.operators.cohorts import PERIOD, by_period, in_anomaly, in_baseline
-from shiftlens.session import materialize
 
 SMALL = "Insufficient Sample Size"
 WELCH = "Welch's Two-Sample t-test"
@@ -91,7 +89,7 @@ def mean_difference_ci(m: DataFrame) -> DataFrame:
 
 
 def rank_sum(
-    long: DataFrame, by: list[str], split_by: str | None = None, cuts: dict | None = None
+    long: DataFrame, by: list[str], split_by: str | None = None, cuts: Cuts | None = None
 ) -> DataFrame:
     """Mann-Whitney U of the anomaly cohort with tie-corrected normal p.
 
@@ -172,15 +170,14 @@ def select_test(m: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def two_sample(
-    m: DataFrame, long: DataFrame, by: list[str], split_by: str | None = None, cuts: dict | None = None
+    m: DataFrame, long: DataFrame, by: list[str], split_by: str | None = None, cuts: Cuts | None = None
 ) -> DataFrame:
     """Full two-sample evidence for hypotheses with moments ``m``.
 
-    The moments are written down first. The rank test then reads only rows of
+    ``m`` should come from a written table. The rank test reads only rows of
     skewed hypotheses, by a semi-join whose strategy Spark picks from the known
     file size, and is left out when no hypothesis is skewed.
     """
-    m = materialize(m, "moments")
     skewed = m.filter(needs_ranks()).select(*by)
     if skewed.isEmpty():
         unranked = [F.lit(None).cast("double").alias(c) for c in ("u_stat", "u_z", "u_p")]
@@ -301,39 +298,34 @@ def correlation_p(table: DataFrame, r: str) -> DataFrame:
     )
 
 
-def average_ranks(pairs: DataFrame, by: str, value: str, cuts: dict) -> DataFrame:
-    """(by, value) -> mid-rank, copies and group size."""
-    counted = pairs.groupBy(by, value).agg(F.count(F.lit(1)).alias("copies"))
-    placed = running_counts(in_buckets(counted, value, cuts, by), [by], value, "copies")
-    rank = F.col("_below") + (F.col("copies") + 1) / 2
-    return placed.select(by, value, "copies", F.col("_all").alias("n_pairs"), rank.alias(f"rank_{value}"))
-
-
-def spearman(pairs: DataFrame, by: str) -> DataFrame:
+def spearman(pairs: DataFrame, by: str, cuts_x: Cuts | None = None, cuts_y: Cuts | None = None) -> DataFrame:
     """Pearson r of mid-ranks over complete pairs, per key of ``by``.
 
-    Equal pairs collapse before the rank lookups, and values shared by a large
-    part of the rows are looked up by broadcast (see ``lookup_with_hot_keys``).
+    Pairs of frequent values (both are split points) are counted before the
+    shuffle and ranked from bucket totals. The other pairs are sorted in buckets.
     """
     complete = pairs.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(by, "x", "y")
-    ranked = complete.groupBy(by, "x", "y").agg(F.count(F.lit(1)).alias("weight"))
-    for value, other in (("x", "y"), ("y", "x")):
-        table = average_ranks(complete, by, value, split_points(complete, value, by))
-        ranked = lookup_with_hot_keys(
-            ranked, table, [by], value, f"rank_{value}", "copies", "n_pairs", other
-        )
-    weight = F.col("weight")
-    sums = ranked.groupBy(by).agg(
+    cuts_x = split_points(complete, "x", by) if cuts_x is None else cuts_x
+    cuts_y = split_points(complete, "y", by) if cuts_y is None else cuts_y
+    placed = in_buckets(complete, "x", cuts_x, by, own_bucket=True, name="bx")
+    placed = in_buckets(placed, "y", cuts_y, by, own_bucket=True, name="by")
+    totals = rank_totals(placed, by, {"x": "bx", "y": "by"})
+    frequent = (F.col("bx") % 2 == 0) & (F.col("by") % 2 == 0)
+    counted = placed.filter(frequent).groupBy(by, "bx", "by").agg(F.count(F.lit(1)).alias("weight"))
+    ranked = []
+    for rows, sort in ((counted, False), (placed.filter(~frequent).withColumn("weight", F.lit(1)), True)):
+        for value in ("x", "y"):
+            rows = mid_rank(rows, by, value, f"b{value}", totals, sort)
+        ranked.append(rows.select(by, "weight", "rank_x", "rank_y", "_all"))
+    centre = (F.col("_all") + 1) / 2
+    weight, dx, dy = F.col("weight"), F.col("rank_x") - centre, F.col("rank_y") - centre
+    sums = ranked[0].unionByName(ranked[1]).groupBy(by).agg(
         F.sum(weight).alias("n_pairs"),
-        F.sum(weight * F.col("rank_x") * F.col("rank_y")).alias("_xy"),
-        F.sum(weight * F.col("rank_x") * F.col("rank_x")).alias("_xx"),
-        F.sum(weight * F.col("rank_y") * F.col("rank_y")).alias("_yy"),
-    )
-    n = F.col("n_pairs").cast("double")
-    centre = n * (n + 1) * (n + 1) / 4
-    rho = ratio(
-        F.col("_xy") - centre, F.sqrt((F.col("_xx") - centre) * (F.col("_yy") - centre)), None
+        F.sum(weight * dx * dy).alias("_xy"),
+        F.sum(weight * dx * dx).alias("_xx"),
+        F.sum(weight * dy * dy).alias("_yy"),
     )
+    rho = ratio(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy")), None)
     return correlation_p(sums.withColumn("rho", rho), "rho").select(by, "n_pairs", "rho", "rho_p")
 
 

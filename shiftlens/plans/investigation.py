@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from shiftlens.operators import decomposition as dec
 from shiftlens.operators import hypotheses as hyp
 from shiftlens.operators import isolation, report
-from shiftlens.operators.cohorts import window_summary
+from shiftlens.operators.cohorts import tag, window_from_totals
 from shiftlens.operators.detection import Detected, fallback, rolling_window
-from shiftlens.operators.cohorts import tag
 from shiftlens.operators.evidence import graph_edges, graph_nodes
 from shiftlens.operators.scenarios import remediation_curve, top_scenarios
-from shiftlens.session import materialize
+from shiftlens.session import materialize, spread
 
 
 def detect_window(df: DataFrame, metric: str, key: list[str], date_col: str | None = None) -> Detected:
@@ -111,14 +110,17 @@ def investigate(
 ) -> Investigation:
     """Run all hypothesis families over a table with a ``period`` column.
 
-    The fact table is read once for all dimensions and their crossing, once for the
-    totals and once for all covariates; rank tests read it again only where needed.
+    The fact table is read once for all dimensions, their crossing and the totals,
+    and for the covariates once for moments, once for split points and once for
+    ranks; the rank test of a hypothesis reads it again only if a cohort is skewed.
     """
     dimensions = [d for d in dimensions if d != metric]
     covariates = [c for c in covariates if c != metric]
-    long = dec.long_segments(tagged, metric, dimensions, joint=True)
+    needed = tagged.select("period", *dict.fromkeys([metric, *dimensions, *covariates]))
+    facts = spread(needed, "facts")
+    long = dec.long_segments(facts, metric, dimensions, joint=True, whole=True)
     segments = materialize(dec.segment_moments(long), "segments")
-    totals = materialize(dec.cohort_totals(tagged, metric), "totals")
+    totals = dec.totals_row(segments)
     plain = segments.filter(F.col("dimension").isin(dimensions))
     contributions = materialize(dec.contributions(plain, totals), "contributions")
     families = [
@@ -126,12 +128,12 @@ def investigate(
         hyp.mix_hypotheses(plain, dimensions, run_id, metric),
     ]
     if covariates:
-        families.append(hyp.covariate_hypotheses(tagged, covariates, run_id, metric))
+        families.append(hyp.covariate_hypotheses(facts, covariates, run_id, metric))
     if len(dimensions) >= 2:
         families.append(hyp.joint_hypotheses(segments, long, dimensions, run_id, metric))
     hypotheses = materialize(hyp.rank_hypotheses(families), "hypotheses")
     if window is None:
-        window = window_summary(tagged, metric, "user_specified")
+        window = window_from_totals(totals, metric, "user_specified")
     return Investigation(
         run_id=run_id,
         tagged=tagged,

@@ -53,6 +53,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """A table with fewer input splits than cores, rewritten once in one file per core.
+
+    Tables with enough splits, which is any large table, are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return materialize(df.repartition(cores), name)
+
+
 def bucket_count(spark: SparkSession) -> int:
     """Power of two that follows the shuffle width, for order-preserving buckets."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
