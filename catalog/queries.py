@@ -466,7 +466,8 @@ def pearson(spark, sf_dir):
 
 @query
 def spearman(spark, sf_dir):
-    return out(st.spearman(_covariates(spark, sf_dir), "covariate"), rho=6, rho_p=7)
+    fact = facts.shipments_fact(spark, sf_dir)
+    return out(hyp.covariate_ranks(fact, "revenue", facts.SHIPMENTS_COVARIATES), rho=6, rho_p=7)
 
 
 @query

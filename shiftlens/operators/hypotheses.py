@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import number
-from shiftlens.functions.ordering import Cuts, column_split_points
+from shiftlens.functions.ordering import Cuts, bucket_of, column_split_points
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import PERIOD
 from shiftlens.operators.decomposition import JOINT, top_per_dimension
@@ -153,10 +153,33 @@ def long_covariates(tagged: DataFrame, metric: str, covariates: list[str]) -> Da
     )
 
 
-def covariate_split_points(tagged: DataFrame, metric: str, covariates: list[str]) -> tuple[Cuts, Cuts]:
-    """Split points of every covariate and of the metric, from one pass."""
-    found = column_split_points(tagged, {c: number(c) for c in [metric, *covariates]})
-    return {c: found[c] for c in covariates}, {c: found[metric] for c in covariates}
+def covariate_split_points(tagged: DataFrame, metric: str, covariates: list[str]) -> Cuts:
+    """Split points of the metric and every covariate, from one pass."""
+    return column_split_points(tagged, {c: number(c) for c in [metric, *covariates]})
+
+
+def placed_covariates(tagged: DataFrame, metric: str, covariates: list[str], cuts: Cuts) -> DataFrame:
+    """(y, by, covariate, x, bx): covariate rows with the bucket of each value.
+
+    The metric's bucket is found once per row, not once per covariate.
+    """
+    entries = [
+        F.struct(
+            F.lit(c).alias("covariate"), number(c).alias("x"),
+            bucket_of(number(c), cuts[c], own_bucket=True).alias("bx"),
+        )
+        for c in covariates
+    ]
+    y = number(metric)
+    return tagged.select(
+        y.alias("y"), bucket_of(y, cuts[metric], own_bucket=True).alias("by"), F.inline(F.array(*entries))
+    )
+
+
+def covariate_ranks(tagged: DataFrame, metric: str, covariates: list[str], cuts: Cuts | None = None) -> DataFrame:
+    """Rank correlation of every covariate with the metric."""
+    cuts = covariate_split_points(tagged, metric, covariates) if cuts is None else cuts
+    return st.spearman(placed_covariates(tagged, metric, covariates, cuts), "covariate")
 
 
 def covariate_shift(long: DataFrame, moments: DataFrame, cuts: Cuts | None = None) -> DataFrame:
@@ -171,10 +194,11 @@ def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> Da
     long = long_covariates(tagged, metric, covariates)
     table = long.groupBy("covariate").agg(*st.moment_columns(), *st.pair_columns())
     table = materialize(table, "covariates")
-    cuts, metric_cuts = covariate_split_points(tagged, metric, covariates)
+    cuts = covariate_split_points(tagged, metric, covariates)
     linear = st.pearson(table.select("covariate", "n_pairs", "_cov", "_sx", "_sy"))
-    ranked = st.spearman(long, "covariate", cuts, metric_cuts).drop("n_pairs")
-    shift = covariate_shift(long, table.drop("n_pairs", "_cov", "_sx", "_sy"), cuts)
+    ranked = covariate_ranks(tagged, metric, covariates, cuts).drop("n_pairs")
+    own_cuts = {c: cuts[c] for c in covariates}
+    shift = covariate_shift(long, table.drop("n_pairs", "_cov", "_sx", "_sy"), own_cuts)
     joined = linear.join(ranked, "covariate", "left").join(shift, "covariate", "left")
     correlated = F.col("n_pairs") >= 10
     shifted = F.col("test_name").isNotNull()

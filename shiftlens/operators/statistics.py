@@ -285,7 +285,7 @@ def pearson(table: DataFrame) -> DataFrame:
 
 def correlation_p(table: DataFrame, r: str) -> DataFrame:
     """Add ``{r}_p`` from the t distribution with n - 2 degrees of freedom."""
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(r)))
+    bounded = F.when(F.col(r).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(r))))
     df = F.col("n_pairs") - 2
     t = F.when(F.abs(F.col(r)) >= 1, F.lit(float("inf"))).otherwise(
         F.col(r) * F.sqrt(ratio(df, 1 - F.col(r) * F.col(r)))
@@ -298,28 +298,26 @@ def correlation_p(table: DataFrame, r: str) -> DataFrame:
     )
 
 
-def spearman(pairs: DataFrame, by: str, cuts_x: Cuts | None = None, cuts_y: Cuts | None = None) -> DataFrame:
+def spearman(placed: DataFrame, by: str) -> DataFrame:
     """Pearson r of mid-ranks over complete pairs, per key of ``by``.
 
-    Pairs of frequent values (both are split points) are counted before the
-    shuffle and ranked from bucket totals. The other pairs are sorted in buckets.
+    ``placed`` has x and y with their buckets bx and by. Pairs of frequent values
+    (both are split points) are counted before the shuffle and ranked from bucket
+    totals. The other pairs are sorted in buckets.
     """
-    complete = pairs.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(by, "x", "y")
-    cuts_x = split_points(complete, "x", by) if cuts_x is None else cuts_x
-    cuts_y = split_points(complete, "y", by) if cuts_y is None else cuts_y
-    placed = in_buckets(complete, "x", cuts_x, by, own_bucket=True, name="bx")
-    placed = in_buckets(placed, "y", cuts_y, by, own_bucket=True, name="by")
+    placed = placed.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(by, "x", "y", "bx", "by")
     totals = rank_totals(placed, by, {"x": "bx", "y": "by"})
-    frequent = (F.col("bx") % 2 == 0) & (F.col("by") % 2 == 0)
-    counted = placed.filter(frequent).groupBy(by, "bx", "by").agg(F.count(F.lit(1)).alias("weight"))
-    ranked = []
-    for rows, sort in ((counted, False), (placed.filter(~frequent).withColumn("weight", F.lit(1)), True)):
-        for value in ("x", "y"):
-            rows = mid_rank(rows, by, value, f"b{value}", totals, sort)
-        ranked.append(rows.select(by, "weight", "rank_x", "rank_y", "_all"))
+    own_x, own_y = F.col("bx") % 2 == 0, F.col("by") % 2 == 0
+    counted = placed.filter(own_x & own_y).groupBy(by, "bx", "by").agg(F.count(F.lit(1)).alias("weight"))
+    single = placed.withColumn("weight", F.lit(1).cast("long"))
+    counted = mid_rank(mid_rank(counted, by, "x", "bx", totals, sort=False), by, "y", "by", totals, sort=False)
+    own = mid_rank(single.filter(own_x & ~own_y), by, "x", "bx", totals, sort=False)
+    between = mid_rank(single.filter(~own_x), by, "x", "bx", totals)
+    sorted_pairs = mid_rank(own.unionByName(between), by, "y", "by", totals)
+    columns = [by, "weight", "rank_x", "rank_y", "_all"]
     centre = (F.col("_all") + 1) / 2
     weight, dx, dy = F.col("weight"), F.col("rank_x") - centre, F.col("rank_y") - centre
-    sums = ranked[0].unionByName(ranked[1]).groupBy(by).agg(
+    sums = counted.select(*columns).unionByName(sorted_pairs.select(*columns)).groupBy(by).agg(
         F.sum(weight).alias("n_pairs"),
         F.sum(weight * dx * dy).alias("_xy"),
         F.sum(weight * dx * dx).alias("_xx"),

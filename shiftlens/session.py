@@ -22,6 +22,7 @@ def local_session(cpus: int | str = 8, app: str = "shiftlens") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -54,12 +55,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, name: str) -> DataFrame:
-    """A table with fewer input splits than cores, rewritten once in one file per core.
+    """A table read from fewer files than there are cores, rewritten once in one file per core.
 
-    Tables with enough splits, which is any large table, are returned as they are.
+    Tables with enough files, which is any large table, are returned as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if len(df.inputFiles()) >= cores:
         return df
     return materialize(df.repartition(cores), name)
 
