@@ -330,7 +330,7 @@ def _measured_events(spark, sf_dir) -> DataFrame:
 
 
 def _forest(spark, sf_dir) -> DataFrame:
-    return isolation.forest_points(_measured_events(spark, sf_dir), "value", ["k"])
+    return isolation.forest_points(_measured_events(spark, sf_dir), "value", ["row_id"], ["k"])
 
 
 @query

@@ -201,20 +201,23 @@ def with_row_number(ordered: DataFrame, key: list[str], name: str = "row_number"
     )
 
 
-def next_value(ordered: DataFrame, key: list[str], value: str) -> Column:
-    """First non-null ``value`` at or after a row inside its bucket."""
-    ahead = Window.partitionBy(BUCKET).orderBy(*key).rowsBetween(0, Window.unboundedFollowing)
-    return F.first(value, ignorenulls=True).over(ahead)
+def _from_end(columns: list[str], key: list[str]) -> Window:
+    """Window that runs from the last row back, so that growing frames stay linear."""
+    return Window.partitionBy(*columns).orderBy(*[F.desc(c) for c in key])
 
 
 def backfill(ordered: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Replace a NULL ``value`` by the next non-null one in key order, else by zero."""
-    smallest = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*key)))
-    firsts = ordered.groupBy(BUCKET).agg(smallest.alias("_first"))
-    later = Window.orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
-    following = firsts.select(BUCKET, F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    """Replace a NULL ``value`` by the next non-null one in key order, else by zero.
+
+    Inside a bucket by a window; past its end from the first value of a later bucket.
+    """
+    earliest = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*key)))
+    firsts = ordered.groupBy(BUCKET).agg(earliest.alias("_first"))
+    later = _from_end([], [BUCKET]).rowsBetween(Window.unboundedPreceding, -1)
+    following = firsts.select(BUCKET, F.last("_first", ignorenulls=True).over(later).alias("_later"))
+    inside = _from_end([BUCKET], key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        ordered.withColumn(value, next_value(ordered, key, value))
+        ordered.withColumn(value, F.last(value, ignorenulls=True).over(inside))
         .join(F.broadcast(following), BUCKET)
         .withColumn(value, F.coalesce(value, "_later", F.lit(0.0)))
         .drop("_later")

@@ -74,41 +74,34 @@ def contributions(segments: DataFrame, totals: DataFrame) -> DataFrame:
     one = totals.select(
         F.struct("total_base", "total_anom", "overall_base", "overall_anom").alias("t")
     )
+    base_seen, anom_seen = F.col("volume_base") > 0, F.col("volume_anom") > 0
     shares = (
         segments.withColumn("t", one.scalar())
         .filter((F.col("t.total_base") > 0) & (F.col("t.total_anom") > 0))
-        .withColumn("share_base", ratio(F.col("volume_base"), F.col("t.total_base")))
-        .withColumn("share_anom", ratio(F.col("volume_anom"), F.col("t.total_anom")))
-        .withColumn(
-            "rate_base", F.when(F.col("volume_base") > 0, F.col("mean_base")).otherwise(F.col("t.overall_base"))
-        )
-        .withColumn(
-            "rate_anom", F.when(F.col("volume_anom") > 0, F.col("mean_anom")).otherwise(F.col("t.overall_anom"))
-        )
-    )
-    total_delta = F.col("t.overall_anom") - F.col("t.overall_base")
-    effects = (
-        shares.withColumn("rate_change", F.col("rate_anom") - F.col("rate_base"))
-        .withColumn("rate_effect", (F.col("share_base") + F.col("share_anom")) / 2 * F.col("rate_change"))
-        .withColumn(
-            "mix_effect",
-            (F.col("rate_base") + F.col("rate_anom")) / 2 * (F.col("share_anom") - F.col("share_base")),
-        )
-        .withColumn("contribution", F.col("rate_effect") + F.col("mix_effect"))
-        .withColumn("total_delta", total_delta)
+        .withColumns({
+            "share_base": ratio(F.col("volume_base"), F.col("t.total_base")),
+            "share_anom": ratio(F.col("volume_anom"), F.col("t.total_anom")),
+            "rate_base": F.when(base_seen, F.col("mean_base")).otherwise(F.col("t.overall_base")),
+            "rate_anom": F.when(anom_seen, F.col("mean_anom")).otherwise(F.col("t.overall_anom")),
+            "overall_base": F.col("t.overall_base"),
+            "overall_anom": F.col("t.overall_anom"),
+        })
+        .drop("t")
     )
+    mean_share = (F.col("share_base") + F.col("share_anom")) / 2
+    mean_rate = (F.col("rate_base") + F.col("rate_anom")) / 2
+    rate_change = F.col("rate_anom") - F.col("rate_base")
+    effects = shares.withColumns({
+        "rate_change": rate_change,
+        "rate_effect": mean_share * rate_change,
+        "mix_effect": mean_rate * (F.col("share_anom") - F.col("share_base")),
+        "total_delta": F.col("overall_anom") - F.col("overall_base"),
+    }).withColumn("contribution", F.col("rate_effect") + F.col("mix_effect"))
     explained = F.when(
-        F.abs(F.col("total_delta")) > 1e-9,
-        ratio(F.col("contribution"), F.col("total_delta")) * 100.0,
+        F.abs("total_delta") > 1e-9, ratio(F.col("contribution"), F.col("total_delta")) * 100.0
     ).otherwise(0.0)
-    driver = (F.abs("pct_of_total") >= 25.0) & (F.col("contribution") * F.col("total_delta") > 0)
-    return (
-        effects.withColumn("pct_of_total", explained)
-        .withColumn("is_primary", F.coalesce(driver, F.lit(False)))
-        .withColumn("overall_base", F.col("t.overall_base"))
-        .withColumn("overall_anom", F.col("t.overall_anom"))
-        .drop("t")
-    )
+    driver = (F.abs(explained) >= 25.0) & (F.col("contribution") * F.col("total_delta") > 0)
+    return effects.withColumns({"pct_of_total": explained, "is_primary": F.coalesce(driver, F.lit(False))})
 
 
 def decompose(tagged: DataFrame, metric: str, dimensions: list[str], date_col: str | None = None) -> DataFrame:

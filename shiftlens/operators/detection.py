@@ -82,8 +82,9 @@ def score_series(series: DataFrame, order: str, value: str, size: int | None = N
     """
     ordered = Window.orderBy(order)
     whole = Window.partitionBy()
-    ahead = ordered.rowsBetween(0, Window.unboundedFollowing)
-    filled = F.coalesce(F.first("raw", ignorenulls=True).over(ahead), F.lit(0.0))
+    back = Window.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_rows = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    filled = F.coalesce(F.last("raw", ignorenulls=True).over(back), F.lit(0.0))
     out = series.withColumn("raw", F.col(value)).withColumn(value, filled)
     out = out.withColumn("row_number", F.row_number().over(ordered).cast("long")).withColumn(
         "_n", F.count(F.lit(1)).over(whole)
@@ -98,8 +99,8 @@ def score_series(series: DataFrame, order: str, value: str, size: int | None = N
         std = F.when(wanted == width, rolled_std).otherwise(std)
     out = out.withColumn("_mean", mean).withColumn("_std", std)
     fill = {
-        "first_mean": F.first("_mean", ignorenulls=True).over(ahead),
-        "first_std": F.first("_std", ignorenulls=True).over(ahead),
+        "first_mean": F.first("_mean", ignorenulls=True).over(all_rows),
+        "first_std": F.first("_std", ignorenulls=True).over(all_rows),
         "series_mean": F.avg(value).over(whole),
         "series_std": F.stddev_samp(value).over(whole),
     }

@@ -203,23 +203,22 @@ def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> Da
     correlated = F.col("n_pairs") >= 10
     shifted = F.col("test_name").isNotNull()
     joined = joined.filter(correlated | shifted).withColumn("has_shift_test", shifted)
-    for name, other in (
-        ("p_value", F.col("r_p")), ("effect", F.col("r")), ("effect_name", F.lit("Pearson r")),
-        ("n_base", F.col("n_pairs")), ("n_anom", F.lit(0)),
-    ):
-        joined = joined.withColumn(f"_{name}", F.col(name)).withColumn(
-            name, F.when(shifted, F.col(name)).otherwise(other)
-        )
-    judged = st.verdict(joined)
-    for name in ("p_value", "effect", "effect_name", "n_base", "n_anom"):
-        judged = judged.drop(name).withColumnRenamed(f"_{name}", name)
+    judged_by = {
+        "p_value": F.col("r_p"), "effect": F.col("r"), "effect_name": F.lit("Pearson r"),
+        "n_base": F.col("n_pairs"), "n_anom": F.lit(0).cast("long"),
+    }
+    kept = {f"_{name}": F.col(name) for name in judged_by}
+    first = {name: F.when(shifted, F.col(name)).otherwise(other) for name, other in judged_by.items()}
+    judged = st.verdict(joined.withColumns({**kept, **first})).drop(*judged_by)
+    judged = judged.withColumnsRenamed({f"_{name}": name for name in judged_by})
     strong_r = correlated & (F.abs("r") > 0.25) & (F.col("r_p") < 0.05)
     strong_rho = correlated & (F.abs("rho") > 0.25) & (F.col("rho_p") < 0.05)
     moved = F.coalesce(F.col("p_value") < 0.05, F.lit(False))
     both = (F.coalesce(strong_r, F.lit(False)) | F.coalesce(strong_rho, F.lit(False))) & moved
-    return judged.withColumn(
-        "score", F.when(both, F.least(F.lit(92.0), F.col("score") + 20.0)).otherwise(F.col("score"))
-    ).withColumn("status", F.when(both, "supported").otherwise(F.col("status")))
+    return judged.withColumns({
+        "score": F.when(both, F.least(F.lit(92.0), F.col("score") + 20.0)).otherwise(F.col("score")),
+        "status": F.when(both, "supported").otherwise(F.col("status")),
+    })
 
 
 def covariate_hypotheses(

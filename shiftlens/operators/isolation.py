@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shiftlens.functions.numeric import NUMERIC_TYPES, number
 from shiftlens.functions.ordering import exact_quantiles, in_buckets, split_points
 from shiftlens.operators.cohorts import tag, window_summary
-from shiftlens.session import materialize
+from shiftlens.session import materialize, spread
 
 TREES = 100
 SAMPLE = 256
@@ -42,6 +42,7 @@ def average_path(n: float) -> float:
 
 
 def default_features(df: DataFrame, metric: str) -> list[str]:
+    """The first ten numeric columns besides the metric."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
     return [c for c in numeric if c != metric][:MAX_FEATURES]
 
@@ -83,31 +84,36 @@ def _grow(rows: pd.DataFrame, columns: list[str], depth_limit: int) -> pd.DataFr
     return pd.DataFrame(nodes, columns=names)
 
 
-def grow_forest(complete: DataFrame, columns: list[str]) -> DataFrame:
-    """Tree nodes. Each tree takes 256 rows of a hash-ordered pool of 25 600.
+def grow_forest(complete: DataFrame, columns: list[str], key: list[str], n: int) -> DataFrame:
+    """Tree nodes, one task per tree, from a sample of ``n`` rows with a unique ``key``.
 
-    The pool is a top-k by hash and each tree's sample a top-k of the pool, so the
-    draw does not depend on how the data is partitioned.
+    A hash of the key draws the sample, so it does not depend on how the data is
+    partitioned: first a share of the rows that holds about four times the 25 600
+    wanted ones, then the smallest hashes of those. Trees take turns through them
+    in hash order, 256 rows each, and start over when the rows run out.
     """
-    identity = [F.col(c) for c in columns]
+    draw = F.xxhash64(F.lit(SEED), *key)
+    share_drawn = min(1.0, 4.0 * POOL / n)
+    limit = F.lit(int(share_drawn * 2**31))
     pool = (
-        complete.select(*columns, F.xxhash64(F.lit(SEED), *identity).alias("_hash"))
+        complete.filter(F.pmod(draw, F.lit(2**31)) < limit)
+        .select(*columns, draw.alias("_hash"))
         .orderBy("_hash", *columns)
         .limit(POOL)
     )
-    copies = Window.partitionBy("_hash", *columns).orderBy("_hash")
-    pool = pool.withColumn("_copy", F.row_number().over(copies))
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    spread = spread.withColumn("_order", F.xxhash64("tree", "_hash", "_copy"))
-    order = Window.partitionBy("tree").orderBy("_order", *columns)
-    sampled = spread.withColumn("_pick", F.row_number().over(order)).filter(F.col("_pick") <= SAMPLE)
-
+    place = F.row_number().over(Window.orderBy("_hash", *columns)) - 1
+    size = F.count(F.lit(1)).over(Window.partitionBy())
+    placed = pool.select(*columns, place.alias("_place"), size.alias("_size"))
+    share = F.least(F.lit(SAMPLE), F.col("_size"))
+    turns = F.sequence(F.col("_place").cast("long"), F.lit(TREES) * share - 1, F.col("_size"))
+    dealt = placed.withColumn("_order", F.explode(F.when(F.col("_place") < TREES * share, turns)))
+    dealt = dealt.select(*columns, "_order", F.floor(F.col("_order") / share).cast("int").alias("tree"))
     depth_limit = math.ceil(math.log2(SAMPLE))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         return _grow(rows, columns, depth_limit)
 
-    return sampled.select("tree", "_order", *columns).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    return dealt.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
 def _pack(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -167,17 +173,21 @@ def score_threshold(scored: DataFrame, contamination: float) -> DataFrame:
 def forest_points(
     df: DataFrame,
     metric: str,
+    key: list[str],
     features: list[str] | None = None,
     contamination: float = CONTAMINATION,
 ) -> DataFrame | None:
-    """Complete rows with score, flag, z against inliers and severity; None below 20 rows."""
+    """Complete rows with score, flag, z against inliers and severity; None below 20 rows.
+
+    ``key`` identifies a row and decides which rows the trees are grown from.
+    """
     features = default_features(df, metric) if features is None else features
     columns = [metric, *features]
-    complete = complete_features(df, metric, features)
+    complete = spread(complete_features(df, metric, features), "complete")
     n = complete.count()
     if n < MIN_ROWS:
         return None
-    nodes = grow_forest(complete, columns)
+    nodes = grow_forest(complete, columns, key, n)
     scored = materialize(score_rows(complete, columns, nodes, min(SAMPLE, n)), "scores")
     marked = scored.withColumn("is_anomaly", F.col("anomaly_score") > score_threshold(scored, contamination).scalar())
     marked = materialize(marked, "flags")

@@ -35,6 +35,10 @@ def _kind(field: T.StructField) -> str:
     return "number" if isinstance(field.dataType, NUMERIC_TYPES) else "string"
 
 
+def _named(df: DataFrame, kind: str) -> list[str]:
+    return [f.name for f in flat_fields(df) if _kind(f) == kind]
+
+
 def column_list(df: DataFrame) -> DataFrame:
     """One row per profiled column: name, position, kind of physical type."""
     rows = [(f.name, i, _kind(f), f.dataType.simpleString()) for i, f in enumerate(flat_fields(df))]
@@ -85,12 +89,10 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def column_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
     """Totals, missing and distinct counts per column, with the boolean-text check."""
     known = F.col("value").isNotNull()
-    numeric = F.col("kind") == "number"
     as_bool = F.when(
-        numeric, F.col("value").try_cast("double").isin(0.0, 1.0)
+        F.col("column").isin(_named(df, "number")), F.col("value").try_cast("double").isin(0.0, 1.0)
     ).otherwise(F.col("value").isin(*names.BOOLEAN_TEXTS))
-    with_kind = counts.join(F.broadcast(column_list(df)), "column")
-    summary = with_kind.groupBy("column").agg(
+    summary = counts.groupBy("column").agg(
         F.sum("n").alias("total_count"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("missing_count"),
         F.count_if(known).alias("unique_count"),
@@ -150,12 +152,11 @@ def numeric_values(df: DataFrame, counts: DataFrame) -> DataFrame:
     truth = F.when(F.col("value") == "true", 1.0).when(F.col("value") == "false", 0.0)
     digit = F.when(F.col("value").isin("0", "1"), F.col("value").try_cast("double"))
     value = (
-        F.when(F.col("kind") == "boolean", truth)
-        .when(F.col("kind") == "number", F.col("value").try_cast("double"))
-        .when(F.col("kind") == "string", digit)
+        F.when(F.col("column").isin(_named(df, "number")), F.col("value").try_cast("double"))
+        .when(F.col("column").isin(_named(df, "boolean")), truth)
+        .when(F.col("column").isin(_named(df, "string")), digit)
     )
-    tagged = counts.join(F.broadcast(column_list(df)), "column").withColumn("number", value)
-    return tagged.filter(F.col("number").isNotNull()).select("column", "number", "n")
+    return counts.withColumn("number", value).filter(F.col("number").isNotNull()).select("column", "number", "n")
 
 
 def moments(df: DataFrame) -> DataFrame:

@@ -44,17 +44,17 @@ def restore(contribs: DataFrame) -> DataFrame:
         gap > 1e-9, ratio(F.col("restoration_delta"), F.col("overall_base") - F.col("overall_anom")) * 100.0
     ).otherwise(0.0)
     margin = 1.96 * F.col("share_anom") * F.sqrt(variance[0] / sizes[0] + variance[1] / sizes[1])
-    return (
-        contribs.withColumn("restoration_delta", delta)
-        .withColumn("observed_metric", F.col("overall_anom"))
-        .withColumn("projected_metric", F.col("overall_anom") + F.col("restoration_delta"))
-        .withColumn("recovery_pct", share)
-        .withColumn("signed_recovery_pct", signed)
-        .withColumn("ci_lower", F.col("projected_metric") - margin)
-        .withColumn("ci_upper", F.col("projected_metric") + margin)
-        .withColumn("scenario", F.format_string("Restore %s=%s", "dimension", "segment_value"))
-        .withColumn("caveats", F.array(*[F.lit(c) for c in CAVEATS]))
-    )
+    projected = F.col("overall_anom") + F.col("restoration_delta")
+    return contribs.withColumn("restoration_delta", delta).withColumns({
+        "observed_metric": F.col("overall_anom"),
+        "projected_metric": projected,
+        "recovery_pct": share,
+        "signed_recovery_pct": signed,
+        "ci_lower": projected - margin,
+        "ci_upper": projected + margin,
+        "scenario": F.format_string("Restore %s=%s", "dimension", "segment_value"),
+        "caveats": F.array(*[F.lit(c) for c in CAVEATS]),
+    })
 
 
 def top_scenarios(contribs: DataFrame, k: int = MAX_SCENARIOS) -> DataFrame:

@@ -64,28 +64,24 @@ def welch(m: DataFrame) -> DataFrame:
     diff = F.col("mean_anom") - F.col("mean_base")
     a = ratio(F.col("var_base"), F.col("n_base"), None)
     b = ratio(F.col("var_anom"), F.col("n_anom"), None)
-    flat = F.when(diff == 0, 0.0).otherwise(F.signum(diff) * F.lit(float("inf")))
-    stat = F.when(_se2() > 0, diff / F.sqrt(_se2())).when(_se2() == 0, flat)
     spread = ratio(a * a, F.col("n_base") - 1, None) + ratio(b * b, F.col("n_anom") - 1, None)
-    out = m.withColumn("welch_t", stat).withColumn("welch_df", ratio((a + b) * (a + b), spread, None))
-    flat_p = F.when(F.col("welch_t") == 0, 1.0).otherwise(0.0)
-    out = out.withColumn(
-        "welch_p", F.when(_se2() > 0, student_t_p("welch_t", "welch_df")).when(_se2() == 0, flat_p)
-    )
-    return out.withColumn("welch_t", F.coalesce("welch_t", F.lit(0.0))).withColumn(
-        "welch_p", F.coalesce("welch_p", F.lit(1.0))
-    )
+    flat = F.when(diff == 0, 0.0).otherwise(F.signum(diff) * F.lit(float("inf")))
+    flat_p = F.when(diff == 0, 1.0).otherwise(0.0)
+    out = m.withColumns({
+        "welch_t": F.when(_se2() > 0, diff / F.sqrt(_se2())).when(_se2() == 0, flat),
+        "welch_df": ratio((a + b) * (a + b), spread, None),
+    })
+    p = F.when(_se2() > 0, student_t_p("welch_t", "welch_df")).when(_se2() == 0, flat_p)
+    return out.withColumns({
+        "welch_p": F.coalesce(p, F.lit(1.0)), "welch_t": F.coalesce("welch_t", F.lit(0.0)),
+    })
 
 
 def mean_difference_ci(m: DataFrame) -> DataFrame:
     """Normal 95 % interval of the difference in means."""
     diff = F.col("mean_anom") - F.col("mean_base")
     margin = F.lit(Z_95) * F.sqrt(F.coalesce(_se2(), F.lit(0.0)))
-    return (
-        m.withColumn("mean_diff", diff)
-        .withColumn("ci_low", diff - margin)
-        .withColumn("ci_high", diff + margin)
-    )
+    return m.withColumns({"mean_diff": diff, "ci_low": diff - margin, "ci_high": diff + margin})
 
 
 def rank_sum(
@@ -157,16 +153,16 @@ def select_test(m: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
         return F.when(small, if_small).when(F.coalesce(ranked, F.lit(False)), if_ranked).otherwise(if_welch)
 
     empty = F.lit(None).cast("double")
-    return (
-        tested.withColumn("test_name", pick(F.lit(SMALL), F.lit(RANK_SUM), F.lit(WELCH)))
-        .withColumn("statistic", pick(F.lit(0.0), F.col("u_stat"), F.col("welch_t")))
-        .withColumn("p_value", pick(F.lit(1.0), F.col("u_p"), F.col("welch_p")))
-        .withColumn("effect_name", F.lit("Cohen's d"))
-        .withColumn("effect", F.when(small, 0.0).otherwise(F.col("cohens_d")))
-        .withColumn("df", F.when(~small, F.col("n_base") + F.col("n_anom") - 2))
-        .withColumn("ci_low", F.when(small, empty).otherwise(F.col("ci_low")))
-        .withColumn("ci_high", F.when(small, empty).otherwise(F.col("ci_high")))
-    )
+    return tested.withColumns({
+        "test_name": pick(F.lit(SMALL), F.lit(RANK_SUM), F.lit(WELCH)),
+        "statistic": pick(F.lit(0.0), F.col("u_stat"), F.col("welch_t")),
+        "p_value": pick(F.lit(1.0), F.col("u_p"), F.col("welch_p")),
+        "effect_name": F.lit("Cohen's d"),
+        "effect": F.when(small, 0.0).otherwise(F.col("cohens_d")),
+        "df": F.when(~small, F.col("n_base") + F.col("n_anom") - 2),
+        "ci_low": F.when(small, empty).otherwise(F.col("ci_low")),
+        "ci_high": F.when(small, empty).otherwise(F.col("ci_high")),
+    })
 
 
 def two_sample(
@@ -216,12 +212,12 @@ def two_sample_text(subject: Column) -> Column:
 
 
 def with_words(tests: DataFrame, subject: Column) -> DataFrame:
-    return (
-        tests.withColumn("effect_word", effect_word(F.abs("effect")))
-        .withColumn("significance", significance_word(F.col("p_value")))
-        .withColumn("shift", F.when(F.col("mean_diff") < 0, "decrease").otherwise("increase"))
-        .withColumn("interpretation", two_sample_text(subject))
-    )
+    return tests.withColumns({
+        "effect_word": effect_word(F.abs("effect")),
+        "significance": significance_word(F.col("p_value")),
+        "shift": F.when(F.col("mean_diff") < 0, "decrease").otherwise("increase"),
+        "interpretation": two_sample_text(subject),
+    })
 
 
 def chi_square(segments: DataFrame) -> DataFrame:
@@ -253,16 +249,15 @@ def chi_square(segments: DataFrame) -> DataFrame:
         .agg(F.sum(parts[0] + parts[1]).alias("_chi2"))
     )
     enough = F.col("categories") >= 2
-    return (
-        table.withColumn("chi2", F.when(enough, F.col("_chi2")).otherwise(0.0))
-        .withColumn("df", F.when(enough, (F.col("categories") - 1).cast("long")))
-        .withColumn("p_value", F.when(enough, chi_square_p("chi2", F.col("df").cast("double"))).otherwise(1.0))
-        .withColumn(
-            "cramers_v", F.when(enough, F.sqrt(ratio(F.col("chi2"), n))).otherwise(0.0)
-        )
-        .withColumn("association", association_word(F.col("cramers_v")))
-        .drop("_chi2")
-    )
+    table = table.withColumns({
+        "chi2": F.when(enough, F.col("_chi2")).otherwise(0.0),
+        "df": F.when(enough, (F.col("categories") - 1).cast("long")),
+        "cramers_v": F.when(enough, F.sqrt(ratio(F.col("_chi2"), n))).otherwise(0.0),
+    })
+    return table.withColumns({
+        "p_value": F.when(enough, chi_square_p("chi2", F.col("df").cast("double"))).otherwise(1.0),
+        "association": association_word(F.col("cramers_v")),
+    }).drop("_chi2")
 
 
 def pair_columns() -> list[Column]:
@@ -359,7 +354,7 @@ def verdict(tests: DataFrame, expected: Column | None = None) -> DataFrame:
         .when(p < 0.10, 35.0)
         .otherwise(F.greatest(F.lit(5.0), 20.0 - (p - 0.10) * 20.0))
     )
-    return tests.withColumn("status", status).withColumn("score", score)
+    return tests.withColumns({"status": status, "score": score})
 
 
 def p_text(p: Column) -> Column:

@@ -23,7 +23,7 @@ def detect_window(df: DataFrame, metric: str, key: list[str], date_col: str | No
         found = rolling_window(df, date_col, metric, key)
         if found is not None:
             return found
-    points = isolation.forest_points(df, metric)
+    points = isolation.forest_points(df, metric, key)
     if points is None:
         return fallback(df, key, metric)
     tagged = tag(points, F.col("is_anomaly")).select(*df.columns, "period")
@@ -128,7 +128,8 @@ def investigate(
         hyp.mix_hypotheses(plain, dimensions, run_id, metric),
     ]
     if covariates:
-        families.append(hyp.covariate_hypotheses(facts, covariates, run_id, metric))
+        drift = hyp.covariate_hypotheses(facts, covariates, run_id, metric)
+        families.append(materialize(drift, "covariate-hypotheses"))
     if len(dimensions) >= 2:
         families.append(hyp.joint_hypotheses(segments, long, dimensions, run_id, metric))
     hypotheses = materialize(hyp.rank_hypotheses(families), "hypotheses")

@@ -30,7 +30,7 @@ def test_daily_step(spark):
 
 def test_isolation_forest_finds_the_outliers(spark):
     df = spark.createDataFrame(frames.outliers())
-    points = isolation.forest_points(df, "metric", ["latency"])
+    points = isolation.forest_points(df, "metric", ["row_id"], ["latency"])
     top = points.orderBy(F.desc("anomaly_score")).limit(3).toPandas()
     assert set(top["row_id"]) == {200, 201, 202}
     share = points.filter("is_anomaly").count() / 203
@@ -42,7 +42,7 @@ def test_isolation_forest_finds_the_outliers(spark):
 def test_isolation_forest_ignores_partitioning(spark):
     df = spark.createDataFrame(frames.outliers())
     scores = [
-        {r["row_id"]: r["anomaly_score"] for r in isolation.forest_points(d, "metric", ["latency"]).collect()}
+        {r["row_id"]: r["anomaly_score"] for r in isolation.forest_points(d, "metric", ["row_id"], ["latency"]).collect()}
         for d in (df.coalesce(1), df.repartition(9))
     ]
     assert scores[0] == scores[1]
@@ -56,7 +56,7 @@ def test_isolation_forest_matches_the_definition(spark):
 
 def test_few_rows_fall_back_to_halves(spark):
     df = spark.createDataFrame(frames.outliers().head(15))
-    assert isolation.forest_points(df, "metric", ["latency"]) is None
+    assert isolation.forest_points(df, "metric", ["row_id"], ["latency"]) is None
     window = detection.fallback_window(df, ["row_id"], "metric").first()
     assert (window["baseline_count"], window["anomaly_count"]) == (7, 8)
     assert window["detection_method"] == "fallback_split"
