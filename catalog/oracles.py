@@ -7,7 +7,10 @@ p-values by numerical integration instead of continued fractions.
 
 from __future__ import annotations
 
+import re
+
 from catalog import facts
+from shiftlens.operators import report
 
 STEPS = 2000
 ORACLES: dict[str, str] = {}
@@ -650,8 +653,6 @@ SELECT {HYP}, {r('score')} AS score, {r('chi2')} AS chi2, {r('p_value', 7)} AS p
 
 def _prefixed(cte: str, names: list[str], prefix: str) -> str:
     """The same fragment under other CTE names, so two long tables can live side by side."""
-    import re
-
     for name in names:
         cte = re.sub(rf"\b{name}\b(?=( AS \(|\b(?!\.)))", f"{prefix}{name}", cte)
     return cte
@@ -755,6 +756,17 @@ FROM top CROSS JOIN (SELECT unnest(range(10, 101, 10)) AS e)"""
 
 # --- graph, report, charts ---------------------------------------------------------------------------
 
+_CONTRIBUTION_TEXT = (
+    "printf('%s = ''%s''%s: %+.1f%% of the change, rate %.4f to %.4f (%+.4f)', dimension, segment_value,"
+    " CASE WHEN is_primary THEN ' [PRIMARY DRIVER]' ELSE '' END, pct_of_total, rate_base, rate_anom, rate_change)"
+)
+_SCENARIO_TEXT = (
+    "printf('%s: projected %.4f against observed %.4f, recovers %.1f%%, 95%% CI %.4f to %.4f',"
+    " scenario, projected_metric, observed_metric, recovery_pct, ci_lower, ci_upper)"
+)
+_CHANGE = "(overall_anom - overall_base) / (abs(overall_base) + 1e-9) * 100.0"
+_DIRECTION = "CASE WHEN overall_anom < overall_base THEN 'drop' ELSE 'spike' END"
+_PRIMARY = "coalesce((SELECT title FROM hyps WHERE status = 'supported' ORDER BY rank LIMIT 1), 'no single driver')"
 GRAPH = """
 g AS (SELECT *, CASE WHEN dimension_value IS NULL THEN dimension || '_drift' ELSE dimension || '=' || dimension_value END AS factor
   FROM hyps WHERE rank <= 10)"""
@@ -781,15 +793,27 @@ SELECT 'shipments' AS run_id, 'revenue' AS metric, {r('overall_base')} AS baseli
   {r("(SELECT score FROM hyps WHERE status = 'supported' ORDER BY rank LIMIT 1)")} AS primary_score
 FROM tot"""
 ORACLES["report_contributions"] = f"""{with_(*SHIP_CONTRIBS)}
-SELECT overall_rank AS line_no, printf('%s = ''%s''%s: %+.1f%% of the change, rate %.4f to %.4f (%+.4f)', dimension, segment_value,
-  CASE WHEN is_primary THEN ' [PRIMARY DRIVER]' ELSE '' END, pct_of_total, rate_base, rate_anom, rate_change) AS text
-FROM con WHERE overall_rank <= 4"""
+SELECT overall_rank AS line_no, {_CONTRIBUTION_TEXT} AS text FROM con WHERE overall_rank <= 4"""
 ORACLES["report_matrix"] = f"""{with_(RANKED)}
 SELECT rank, upper(status) AS status, title, dimension, {r('score')} AS score, test_name,
   printf('%s=%+.2f', effect_name, coalesce(effect, 0.0)) AS effect FROM hyps WHERE rank <= 8"""
 ORACLES["report_scenarios"] = f"""{with_(*SHIP_CONTRIBS, scenarios_cte())}
-SELECT scenario_rank AS line_no, printf('%s: projected %.4f against observed %.4f, recovers %.1f%%, 95%% CI %.4f to %.4f',
-  scenario, projected_metric, observed_metric, recovery_pct, ci_lower, ci_upper) AS text FROM top"""
+SELECT scenario_rank AS line_no, {_SCENARIO_TEXT} AS text FROM top"""
+ORACLES["report_lines"] = f"""{with_(RANKED, scenarios_cte())},
+lines AS (
+  SELECT 1 AS section, 1 AS line_no, printf('%s moved from %.4f to %.4f, a %.2f%% %s, found by %s; primary explanation: %s', 'revenue',
+    overall_base, overall_anom, abs({_CHANGE}), {_DIRECTION}, 'user_specified', {_PRIMARY}) AS text FROM tot
+  UNION ALL SELECT 2, overall_rank, {_CONTRIBUTION_TEXT} FROM con WHERE overall_rank <= 4
+  UNION ALL SELECT 3, rank, printf('#%d %s | %s | %s | %.1f%% | %s (%s)', rank, upper(status), title, dimension, score, test_name,
+    printf('%s=%+.2f', effect_name, coalesce(effect, 0.0))) FROM hyps WHERE rank <= 8
+  UNION ALL SELECT 4, scenario_rank, {_SCENARIO_TEXT} FROM top
+  UNION ALL SELECT 5, * FROM (VALUES {", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(report.CAVEATS))}))
+SELECT 'shipments' AS run_id, section::BIGINT AS section, line_no::BIGINT AS line_no, text FROM lines"""
+ORACLES["audit_trail"] = f"""{with_(RANKED)}
+SELECT 'shipments' AS run_id, '2024-01-01 00:00:00' AS at, 'Anomaly Detection' AS step, 'Scan Completed' AS action,
+  printf('%s: %.4f to %.4f (%+.1f%%)', 'user_specified', overall_base, overall_anom, {_CHANGE}) AS details, 'COMPLETED' AS status FROM tot
+UNION ALL SELECT 'shipments', '2024-01-01 00:00:01', 'Investigation Engine', 'Analysis Completed',
+  printf('%d hypotheses tested', count(*)), 'COMPLETED' FROM hyps"""
 ORACLES["chart_series"] = f"""{with_(*ORDER_POINTS)},
 means AS (SELECT avg(amount) FILTER {B} AS bm, avg(amount) FILTER {A} AS am FROM fact)
 SELECT strftime(label, '%Y-%m-%d') AS day, {r('raw', 7)} AS metric_mean, is_anomaly, CASE WHEN is_anomaly THEN severity END AS flag_severity,

@@ -11,8 +11,11 @@ Two tools:
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,7 @@ from pyspark.sql import types as T
 from shiftlens.session import bucket_count, materialize
 
 BUCKET = "_bucket"
+PLACE = "_place"
 Cuts = dict[str | None, list[float]]
 
 
@@ -46,6 +50,13 @@ def column_split_points(df: DataFrame, columns: dict[str, Column]) -> Cuts:
     return {name: sorted(set(row[name] or [])) for name in columns}
 
 
+def _find(edges: np.ndarray, values: pd.Series, own_bucket: bool) -> np.ndarray:
+    upto = np.searchsorted(edges, values, side="right")
+    if own_bucket:
+        upto = 2 * upto + (np.searchsorted(edges, values, side="left") == upto)
+    return upto
+
+
 def bucket_of(value: Column, cuts: list[float], own_bucket: bool = False) -> Column:
     """The number of split points at or below ``value``.
 
@@ -60,26 +71,27 @@ def bucket_of(value: Column, cuts: list[float], own_bucket: bool = False) -> Col
 
     @F.pandas_udf(T.IntegerType())
     def place(values: pd.Series) -> pd.Series:
-        upto = np.searchsorted(edges, values, side="right")
-        if own_bucket:
-            upto = 2 * upto + (np.searchsorted(edges, values, side="left") == upto)
-        return pd.Series(upto)
+        return pd.Series(_find(edges, values, own_bucket))
 
     return place(value)
 
 
-def in_buckets(df: DataFrame, value: str, cuts: Cuts, by: str | None = None) -> DataFrame:
-    """Add ``_bucket`` from the split points of the row's key."""
+def in_buckets(
+    df: DataFrame, value: str, cuts: Cuts, by: str | None = None, own_bucket: bool = False
+) -> DataFrame:
+    """Add ``_bucket`` from the split points of the row's key; see ``bucket_of``."""
     if by is None:
-        return df.withColumn(BUCKET, bucket_of(F.col(value), cuts[None]))
+        return df.withColumn(BUCKET, bucket_of(F.col(value), cuts[None], own_bucket))
     edges = {key: np.asarray(own, dtype="float64") for key, own in cuts.items()}
+    none = np.asarray([], dtype="float64")
 
     @F.pandas_udf(T.IntegerType())
     def place(keys: pd.Series, values: pd.Series) -> pd.Series:
-        out = pd.Series(0, index=values.index)
-        for key, part in values.groupby(keys):
-            out.loc[part.index] = np.searchsorted(edges.get(key, []), part, side="right")
-        return out
+        out = np.zeros(len(values), dtype="int32")
+        for key in keys.unique():
+            rows = (keys == key).to_numpy()
+            out[rows] = _find(edges.get(key, none), values[rows], own_bucket)
+        return pd.Series(out)
 
     return df.withColumn(BUCKET, place(F.col(by), F.col(value)))
 
@@ -182,43 +194,48 @@ def exact_quantiles(
 
 
 def ordered_rows(df: DataFrame, key: list[str]) -> DataFrame:
-    """Rows range-partitioned by a unique ``key`` with the partition kept as ``_bucket``."""
-    spread = df.repartitionByRange(bucket_count(df.sparkSession), *key)
-    return materialize(spread.withColumn(BUCKET, F.spark_partition_id()), "ordered")
+    """Rows sorted by a unique ``key`` across range partitions, written down.
+
+    ``_bucket`` is the range and ``_place`` the position in it, counted from zero
+    while the sorted range is written; no window and no second shuffle is needed.
+    """
+    spread = df.repartitionByRange(bucket_count(df.sparkSession), *key).sortWithinPartitions(*key)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    return materialize(spread.withColumn(BUCKET, F.spark_partition_id()).withColumn(PLACE, place), "ordered")
 
 
-def with_row_number(ordered: DataFrame, key: list[str], name: str = "row_number") -> DataFrame:
+def with_row_number(ordered: DataFrame, name: str = "row_number") -> DataFrame:
     """Global 1-based position of each row of an ``ordered_rows`` table."""
-    sizes = ordered.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = ordered.groupBy(BUCKET).agg((F.max(PLACE) + 1).alias("_size"))
     whole = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(BUCKET, F.coalesce(F.sum("_size").over(whole), F.lit(0)).alias("_earlier"))
-    local = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*key))
-    return (
-        ordered.withColumn("_local", local)
-        .join(F.broadcast(offsets), BUCKET)
-        .withColumn(name, (F.col("_local") + F.col("_earlier")).cast("long"))
-        .drop("_local", "_earlier")
-    )
-
-
-def _from_end(columns: list[str], key: list[str]) -> Window:
-    """Window that runs from the last row back, so that growing frames stay linear."""
-    return Window.partitionBy(*columns).orderBy(*[F.desc(c) for c in key])
+    number = (F.col(PLACE) + 1 + F.col("_earlier")).cast("long")
+    return ordered.join(F.broadcast(offsets), BUCKET).withColumn(name, number).drop("_earlier", BUCKET, PLACE)
 
 
-def backfill(ordered: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Replace a NULL ``value`` by the next non-null one in key order, else by zero.
+def backfill(ordered: DataFrame, value: str) -> DataFrame:
+    """Replace a NULL ``value`` of an ``ordered_rows`` table by the next non-null one, else by zero.
 
-    Inside a bucket by a window; past its end from the first value of a later bucket.
+    Inside a bucket by a window that runs from its end, so that the growing frame
+    stays linear; past its end from the first value of a later bucket. A table
+    without gaps is returned as it is.
     """
-    earliest = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*key)))
+    if ordered.filter(F.col(value).isNull()).isEmpty():
+        return ordered
+    earliest = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(PLACE)))
     firsts = ordered.groupBy(BUCKET).agg(earliest.alias("_first"))
-    later = _from_end([], [BUCKET]).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     following = firsts.select(BUCKET, F.last("_first", ignorenulls=True).over(later).alias("_later"))
-    inside = _from_end([BUCKET], key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = (
+        Window.partitionBy(BUCKET).orderBy(F.desc(PLACE))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
         ordered.withColumn(value, F.last(value, ignorenulls=True).over(inside))
         .join(F.broadcast(following), BUCKET)
         .withColumn(value, F.coalesce(value, "_later", F.lit(0.0)))
         .drop("_later")
     )
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlens.functions.numeric import number_or_null
-from shiftlens.functions.ordering import backfill, ordered_rows
+from shiftlens.functions.ordering import BUCKET, PLACE, backfill, ordered_rows
 from shiftlens.functions.text import strip_whitespace
 
 
@@ -43,7 +43,7 @@ def clean(df: DataFrame, date_col: str | None = None) -> DataFrame:
 def backfill_metric(df: DataFrame, key: list[str], metric: str) -> DataFrame:
     """Fill gaps from the next known value in key order, trailing gaps with zero."""
     numbers = coerce_number(df, metric)
-    return backfill(ordered_rows(numbers, key), key, metric).drop("_bucket")
+    return backfill(ordered_rows(numbers, key), metric).drop(BUCKET, PLACE)
 
 
 def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -119,8 +119,7 @@ def daily_points(df: DataFrame, date_col: str, metric: str) -> DataFrame:
 def row_points(df: DataFrame, key: list[str], metric: str, size: int = ROW_WINDOW) -> DataFrame:
     """Scored points at row grain; ``key`` is a unique order, date first."""
     numbers = df.withColumn("raw", number_or_null(metric)).withColumn(metric, F.col("raw"))
-    ordered = ordered_rows(numbers, key)
-    numbered = materialize(with_row_number(backfill(ordered, key, metric), key).drop("_bucket"), "numbered")
+    numbered = materialize(with_row_number(backfill(ordered_rows(numbers, key), metric)), "numbered")
     position = F.col("row_number") - 1
     chunk = F.floor(position / CHUNK_ROWS).cast("long")
     reaches_next = position % CHUNK_ROWS >= CHUNK_ROWS - size
@@ -244,7 +243,7 @@ def temporal_window(
 
 def half_split(df: DataFrame, key: list[str]) -> DataFrame:
     """First half of the rows by key is baseline, the second half anomaly."""
-    numbered = with_row_number(ordered_rows(df, key), key).drop("_bucket")
+    numbered = with_row_number(ordered_rows(df, key))
     half = df.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
     return tag(numbered, F.col("row_number") > half.scalar())
 

@@ -90,19 +90,22 @@ def rank_sum(
     """Mann-Whitney U of the anomaly cohort with tie-corrected normal p.
 
     ``split_by`` names a column of ``by`` whose keys have their own value range.
+    Frequent values are counted before the shuffle. All others are shuffled once,
+    by bucket, and counted and summed there.
     """
-    rows = long.filter(F.col("x").isNotNull() & F.col(PERIOD).isNotNull())
+    rows = long.filter(F.col("x").isNotNull() & F.col(PERIOD).isNotNull()).select(*by, PERIOD, "x")
     if cuts is None:
         cuts = split_points(rows, "x", split_by)
-    counted = rows.groupBy(*by, "x").agg(
-        F.count_if(in_baseline()).alias("c_base"), F.count_if(in_anomaly()).alias("c_anom")
-    )
-    bucketed = in_buckets(counted, "x", cuts, split_by)
+    placed = in_buckets(rows, "x", cuts, split_by, own_bucket=True)
+    own = F.col(BUCKET) % 2 == 0
+    sides = [F.count_if(in_baseline()).alias("c_base"), F.count_if(in_anomaly()).alias("c_anom")]
+    frequent = placed.filter(own).groupBy(*by, BUCKET).agg(*sides).withColumn("_below", F.lit(0).cast("long"))
+    others = placed.filter(~own).repartition(*by, BUCKET).groupBy(*by, BUCKET, "x").agg(*sides)
     inside = Window.partitionBy(*by, BUCKET).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("c_base").over(inside), F.lit(0))
+    others = others.withColumn("_below", F.coalesce(F.sum("c_base").over(inside), F.lit(0)))
     copies = (F.col("c_base") + F.col("c_anom")).cast("double")
     wins = F.col("c_anom") * (F.col("_below") + F.col("c_base") / 2)
-    per_bucket = bucketed.withColumn("_below", below).groupBy(*by, BUCKET).agg(
+    per_bucket = frequent.unionByName(others.drop("x")).groupBy(*by, BUCKET).agg(
         F.sum("c_base").alias("b"),
         F.sum("c_anom").alias("a"),
         F.sum(wins).alias("u"),

@@ -44,7 +44,7 @@ def test_split_points_only_affect_balance(spark):
 def test_row_numbers_are_the_global_order(spark):
     frame = skewed()
     df = spark.createDataFrame(frame).repartition(7)
-    got = o.with_row_number(o.ordered_rows(df, ["x", "row_id"]), ["x", "row_id"]).toPandas()
+    got = o.with_row_number(o.ordered_rows(df, ["x", "row_id"])).toPandas()
     want = frame.sort_values(["x", "row_id"]).reset_index(drop=True)
     got = got.sort_values("row_number").reset_index(drop=True)
     assert list(got["row_number"]) == list(range(1, len(frame) + 1))
@@ -55,7 +55,7 @@ def test_backfill_crosses_buckets(spark):
     frame = pd.DataFrame({"row_id": range(500), "x": [np.nan] * 500})
     frame.loc[[3, 4, 410], "x"] = [1.0, 2.0, 3.0]
     df = spark.createDataFrame(frame).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
-    got = o.backfill(o.ordered_rows(df, ["row_id"]), ["row_id"], "x").toPandas().sort_values("row_id")
+    got = o.backfill(o.ordered_rows(df, ["row_id"]), "x").toPandas().sort_values("row_id")
     want = frame["x"].bfill().fillna(0.0)
     assert list(got["x"]) == list(want)
 
