@@ -10,7 +10,7 @@ from shiftlens.functions.ordering import Cuts, bucket_of, column_split_points
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import PERIOD
 from shiftlens.operators.decomposition import JOINT, top_per_dimension
-from shiftlens.session import materialize
+from shiftlens.session import materialize, spread
 
 TOP_SEGMENTS = 5
 TOP_JOINT = 3
@@ -178,6 +178,7 @@ def placed_covariates(tagged: DataFrame, metric: str, covariates: list[str], cut
 
 def covariate_ranks(tagged: DataFrame, metric: str, covariates: list[str], cuts: Cuts | None = None) -> DataFrame:
     """Rank correlation of every covariate with the metric."""
+    tagged = spread(tagged.select(metric, *covariates), "pairs")
     cuts = covariate_split_points(tagged, metric, covariates) if cuts is None else cuts
     return st.spearman(placed_covariates(tagged, metric, covariates, cuts), "covariate")
 
@@ -191,6 +192,7 @@ def covariate_shift(long: DataFrame, moments: DataFrame, cuts: Cuts | None = Non
 
 def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> DataFrame:
     """Correlations, shift and verdict per covariate; moments and pairs in one aggregate."""
+    tagged = spread(tagged.select(PERIOD, metric, *covariates), "covariate-facts")
     long = long_covariates(tagged, metric, covariates)
     table = long.groupBy("covariate").agg(*st.moment_columns(), *st.pair_columns())
     table = materialize(table, "covariates")
