@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import number
-from shiftlens.functions.ordering import Cuts, bucket_of, column_split_points
+from shiftlens.functions.ordering import BUCKET, Cuts, bucket_of, column_split_points
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import PERIOD
 from shiftlens.operators.decomposition import JOINT, top_per_dimension
@@ -159,34 +159,36 @@ def covariate_split_points(tagged: DataFrame, metric: str, covariates: list[str]
 
 
 def placed_covariates(tagged: DataFrame, metric: str, covariates: list[str], cuts: Cuts) -> DataFrame:
-    """(y, by, covariate, x, bx): covariate rows with the bucket of each value.
+    """(period, y, by, covariate, x, bx): covariate rows with the bucket of each value.
 
-    The metric's bucket is found once per row, not once per covariate.
+    The bucket search is the dearest step and five passes use its outcome, so the
+    numbers and their buckets are written down once, one row per fact.
     """
+    wide = {PERIOD: F.col(PERIOD)}
+    for i, name in enumerate([metric, *covariates]):
+        wide[f"v{i}"] = number(name)
+        wide[f"b{i}"] = bucket_of(number(name), cuts[name], own_bucket=True)
+    placed = materialize(tagged.select(*[c.alias(n) for n, c in wide.items()]), "placed")
     entries = [
-        F.struct(
-            F.lit(c).alias("covariate"), number(c).alias("x"),
-            bucket_of(number(c), cuts[c], own_bucket=True).alias("bx"),
-        )
-        for c in covariates
+        F.struct(F.lit(c).alias("covariate"), F.col(f"v{i}").alias("x"), F.col(f"b{i}").alias("bx"))
+        for i, c in enumerate(covariates, start=1)
     ]
-    y = number(metric)
-    return tagged.select(
-        y.alias("y"), bucket_of(y, cuts[metric], own_bucket=True).alias("by"), F.inline(F.array(*entries))
+    return placed.select(
+        PERIOD, F.col("v0").alias("y"), F.col("b0").alias("by"), F.inline(F.array(*entries))
     )
 
 
-def covariate_ranks(tagged: DataFrame, metric: str, covariates: list[str], cuts: Cuts | None = None) -> DataFrame:
+def covariate_ranks(tagged: DataFrame, metric: str, covariates: list[str]) -> DataFrame:
     """Rank correlation of every covariate with the metric."""
-    tagged = spread(tagged.select(metric, *covariates), "pairs")
-    cuts = covariate_split_points(tagged, metric, covariates) if cuts is None else cuts
+    tagged = spread(tagged.select(PERIOD, metric, *covariates), "pairs")
+    cuts = covariate_split_points(tagged, metric, covariates)
     return st.spearman(placed_covariates(tagged, metric, covariates, cuts), "covariate")
 
 
-def covariate_shift(long: DataFrame, moments: DataFrame, cuts: Cuts | None = None) -> DataFrame:
+def covariate_shift(long: DataFrame, moments: DataFrame) -> DataFrame:
     """Two-sample test of each covariate with five values on both sides."""
     enough = moments.filter((F.col("n_base") >= 5) & (F.col("n_anom") >= 5))
-    tested = st.two_sample(enough, long, ["covariate"], split_by="covariate", cuts=cuts)
+    tested = st.two_sample(enough, long, ["covariate"], split_by="covariate")
     return tested.withColumn("test_name", F.concat(F.lit("Covariate Shift ("), "test_name", F.lit(")")))
 
 
@@ -197,10 +199,13 @@ def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> Da
     table = long.groupBy("covariate").agg(*st.moment_columns(), *st.pair_columns())
     table = materialize(table, "covariates")
     cuts = covariate_split_points(tagged, metric, covariates)
+    placed = placed_covariates(tagged, metric, covariates, cuts)
     linear = st.pearson(table.select("covariate", "n_pairs", "_cov", "_sx", "_sy"))
-    ranked = covariate_ranks(tagged, metric, covariates, cuts).drop("n_pairs")
-    own_cuts = {c: cuts[c] for c in covariates}
-    shift = covariate_shift(long, table.drop("n_pairs", "_cov", "_sx", "_sy"), own_cuts)
+    ranked = st.spearman(placed, "covariate").drop("n_pairs")
+    shift = covariate_shift(
+        placed.select(PERIOD, "covariate", "x", F.col("bx").alias(BUCKET)),
+        table.drop("n_pairs", "_cov", "_sx", "_sy"),
+    )
     joined = linear.join(ranked, "covariate", "left").join(shift, "covariate", "left")
     correlated = F.col("n_pairs") >= 10
     shifted = F.col("test_name").isNotNull()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import ratio
-from shiftlens.functions.ordering import BUCKET, Cuts, in_buckets, mid_rank, rank_totals, split_points
+from shiftlens.functions.ordering import BUCKET, in_buckets, mid_rank, rank_totals, split_points
 from shiftlens.functions.pvalues import chi_square_p, normal_p, student_t_p
 from shiftlens.operators.cohorts import PERIOD, by_period, in_anomaly, in_baseline
 
@@ -84,19 +84,18 @@ def mean_difference_ci(m: DataFrame) -> DataFrame:
     return m.withColumns({"mean_diff": diff, "ci_low": diff - margin, "ci_high": diff + margin})
 
 
-def rank_sum(
-    long: DataFrame, by: list[str], split_by: str | None = None, cuts: Cuts | None = None
-) -> DataFrame:
+def rank_sum(long: DataFrame, by: list[str], split_by: str | None = None) -> DataFrame:
     """Mann-Whitney U of the anomaly cohort with tie-corrected normal p.
 
-    ``split_by`` names a column of ``by`` whose keys have their own value range.
-    Frequent values are counted before the shuffle. All others are shuffled once,
-    by bucket, and counted and summed there.
+    ``split_by`` names a column of ``by`` whose keys have their own value range;
+    buckets that ``long`` already has are used. Frequent values are counted before
+    the shuffle. All others are shuffled once, by bucket, and summed there.
     """
-    rows = long.filter(F.col("x").isNotNull() & F.col(PERIOD).isNotNull()).select(*by, PERIOD, "x")
-    if cuts is None:
-        cuts = split_points(rows, "x", split_by)
-    placed = in_buckets(rows, "x", cuts, split_by, own_bucket=True)
+    placed = long.filter(F.col("x").isNotNull() & F.col(PERIOD).isNotNull())
+    if BUCKET not in long.columns:
+        cuts = split_points(placed, "x", split_by)
+        placed = in_buckets(placed, "x", cuts, split_by, own_bucket=True)
+    placed = placed.select(*by, PERIOD, "x", BUCKET)
     own = F.col(BUCKET) % 2 == 0
     sides = [F.count_if(in_baseline()).alias("c_base"), F.count_if(in_anomaly()).alias("c_anom")]
     frequent = placed.filter(own).groupBy(*by, BUCKET).agg(*sides).withColumn("_below", F.lit(0).cast("long"))
@@ -168,9 +167,7 @@ def select_test(m: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
     })
 
 
-def two_sample(
-    m: DataFrame, long: DataFrame, by: list[str], split_by: str | None = None, cuts: Cuts | None = None
-) -> DataFrame:
+def two_sample(m: DataFrame, long: DataFrame, by: list[str], split_by: str | None = None) -> DataFrame:
     """Full two-sample evidence for hypotheses with moments ``m``.
 
     ``m`` should come from a written table. The rank test reads only rows of
@@ -183,7 +180,7 @@ def two_sample(
         ranks = m.limit(0).select(*by, *unranked, F.lit(None).cast("long").alias("distinct_values"))
     else:
         needed = long.join(skewed, by, "left_semi")
-        ranks = rank_sum(needed, by, split_by, cuts)
+        ranks = rank_sum(needed, by, split_by)
     return select_test(m, ranks, by)
 
 
