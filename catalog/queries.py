@@ -467,12 +467,13 @@ def pearson(spark, sf_dir):
 @query
 def spearman(spark, sf_dir):
     fact = facts.shipments_fact(spark, sf_dir)
-    return out(hyp.covariate_ranks(fact, "revenue", facts.SHIPMENTS_COVARIATES), rho=6, rho_p=7)
+    return out(st.spearman(hyp.placed_covariates(fact, "revenue", facts.SHIPMENTS_COVARIATES), "covariate"), rho=6, rho_p=7)
 
 
 @query
 def covariate_shift(spark, sf_dir):
-    long = _covariates(spark, sf_dir)
+    fact, names = facts.shipments_fact(spark, sf_dir), facts.SHIPMENTS_COVARIATES
+    long = hyp.covariate_values(hyp.placed_covariates(fact, "revenue", names))
     tested = hyp.covariate_shift(long, materialize(st.moments(long, ["covariate"]), "moments"))
     return out(tested, "covariate", "test_name", "statistic", "p_value", "effect", "df", p_value=7)
 

@@ -88,8 +88,9 @@ def in_buckets(
     @F.pandas_udf(T.IntegerType())
     def place(keys: pd.Series, values: pd.Series) -> pd.Series:
         out = np.zeros(len(values), dtype="int32")
-        for key in keys.unique():
-            rows = (keys == key).to_numpy()
+        codes, found = pd.factorize(keys)
+        for code, key in enumerate(found):
+            rows = codes == code
             out[rows] = _find(edges.get(key, none), values[rows], own_bucket)
         return pd.Series(out)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import number
-from shiftlens.functions.ordering import BUCKET, Cuts, bucket_of, column_split_points
+from shiftlens.functions.ordering import BUCKET, bucket_of, column_split_points
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import PERIOD
 from shiftlens.operators.decomposition import JOINT, top_per_dimension
@@ -153,17 +153,14 @@ def long_covariates(tagged: DataFrame, metric: str, covariates: list[str]) -> Da
     )
 
 
-def covariate_split_points(tagged: DataFrame, metric: str, covariates: list[str]) -> Cuts:
-    """Split points of the metric and every covariate, from one pass."""
-    return column_split_points(tagged, {c: number(c) for c in [metric, *covariates]})
-
-
-def placed_covariates(tagged: DataFrame, metric: str, covariates: list[str], cuts: Cuts) -> DataFrame:
+def placed_covariates(tagged: DataFrame, metric: str, covariates: list[str]) -> DataFrame:
     """(period, y, by, covariate, x, bx): covariate rows with the bucket of each value.
 
     The bucket search is the dearest step and five passes use its outcome, so the
     numbers and their buckets are written down once, one row per fact.
     """
+    tagged = spread(tagged.select(PERIOD, metric, *covariates), "covariate-facts")
+    cuts = column_split_points(tagged, {c: number(c) for c in [metric, *covariates]})
     wide = {PERIOD: F.col(PERIOD)}
     for i, name in enumerate([metric, *covariates]):
         wide[f"v{i}"] = number(name)
@@ -178,11 +175,9 @@ def placed_covariates(tagged: DataFrame, metric: str, covariates: list[str], cut
     )
 
 
-def covariate_ranks(tagged: DataFrame, metric: str, covariates: list[str]) -> DataFrame:
-    """Rank correlation of every covariate with the metric."""
-    tagged = spread(tagged.select(PERIOD, metric, *covariates), "pairs")
-    cuts = covariate_split_points(tagged, metric, covariates)
-    return st.spearman(placed_covariates(tagged, metric, covariates, cuts), "covariate")
+def covariate_values(placed: DataFrame) -> DataFrame:
+    """The covariate side of ``placed_covariates``, as the two-sample test reads it."""
+    return placed.select(PERIOD, "covariate", "x", F.col("bx").alias(BUCKET))
 
 
 def covariate_shift(long: DataFrame, moments: DataFrame) -> DataFrame:
@@ -198,14 +193,10 @@ def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> Da
     long = long_covariates(tagged, metric, covariates)
     table = long.groupBy("covariate").agg(*st.moment_columns(), *st.pair_columns())
     table = materialize(table, "covariates")
-    cuts = covariate_split_points(tagged, metric, covariates)
-    placed = placed_covariates(tagged, metric, covariates, cuts)
+    placed = placed_covariates(tagged, metric, covariates)
     linear = st.pearson(table.select("covariate", "n_pairs", "_cov", "_sx", "_sy"))
     ranked = st.spearman(placed, "covariate").drop("n_pairs")
-    shift = covariate_shift(
-        placed.select(PERIOD, "covariate", "x", F.col("bx").alias(BUCKET)),
-        table.drop("n_pairs", "_cov", "_sx", "_sy"),
-    )
+    shift = covariate_shift(covariate_values(placed), table.drop("n_pairs", "_cov", "_sx", "_sy"))
     joined = linear.join(ranked, "covariate", "left").join(shift, "covariate", "left")
     correlated = F.col("n_pairs") >= 10
     shifted = F.col("test_name").isNotNull()

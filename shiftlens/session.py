@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MIN_BUCKETS = 16
 MAX_BUCKETS = 8192
@@ -55,14 +56,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, name: str) -> DataFrame:
-    """A table read from fewer files than there are cores, rewritten once in one file per core.
+    """A table that only a few tasks can read, rewritten once in one file per core.
 
-    Tables with enough files, which is any large table, are returned as they are.
+    Tables with at least as many files as cores, which is any large table, are
+    returned as they are. For others the tasks that find rows are counted.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= cores:
         return df
-    return materialize(df.repartition(cores), name)
+    busy = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    return df if busy >= cores else materialize(df.repartition(cores), name)
 
 
 def bucket_count(spark: SparkSession) -> int:
