@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,29 +120,40 @@ def investigate(
     covariates = [c for c in covariates if c != metric]
     needed = tagged.select("period", *dict.fromkeys([metric, *dimensions, *covariates]))
     facts = spread(needed, "facts")
-    long = dec.long_segments(facts, metric, dimensions, joint=True, whole=True)
-    segments = materialize(dec.segment_moments(long), "segments")
-    totals = dec.totals_row(segments)
-    plain = segments.filter(F.col("dimension").isin(dimensions))
-    contributions = materialize(dec.contributions(plain, totals), "contributions")
-    families = [
-        hyp.segment_hypotheses(contributions, long, dimensions, run_id, metric),
-        hyp.mix_hypotheses(plain, dimensions, run_id, metric),
-    ]
-    if covariates:
-        drift = hyp.covariate_hypotheses(facts, covariates, run_id, metric)
-        families.append(materialize(drift, "covariate-hypotheses"))
-    if len(dimensions) >= 2:
-        families.append(hyp.joint_hypotheses(segments, long, dimensions, run_id, metric))
+
+    def drift() -> list[DataFrame]:
+        if not covariates:
+            return []
+        tested = hyp.covariate_hypotheses(facts, covariates, run_id, metric)
+        return [materialize(tested, "covariate-hypotheses")]
+
+    # Covariates and segments share no input but the facts, so their jobs run side by
+    # side and fill each other's idle tasks.
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        drift_jobs = pool.submit(inheritable_thread_target(tagged.sparkSession)(drift))
+        long = dec.long_segments(facts, metric, dimensions, joint=True, whole=True)
+        segments = materialize(dec.segment_moments(long), "segments")
+        totals = dec.totals_row(segments)
+        plain = segments.filter(F.col("dimension").isin(dimensions))
+        contributions = materialize(dec.contributions(plain, totals), "contributions")
+        families = [
+            hyp.segment_hypotheses(contributions, long, dimensions, run_id, metric),
+            hyp.mix_hypotheses(plain, dimensions, run_id, metric),
+        ]
+        if len(dimensions) >= 2:
+            families.append(hyp.joint_hypotheses(segments, long, dimensions, run_id, metric))
+        if window is None:
+            window = window_from_totals(totals, metric, "user_specified")
+        window = materialize(window, "window")
+        scenarios = materialize(top_scenarios(contributions), "scenarios")
+        families.extend(drift_jobs.result())
     hypotheses = materialize(hyp.rank_hypotheses(families), "hypotheses")
-    if window is None:
-        window = window_from_totals(totals, metric, "user_specified")
     return Investigation(
         run_id=run_id,
         tagged=tagged,
-        window=materialize(window, "window"),
+        window=window,
         segments=plain,
         contributions=contributions,
         hypotheses=hypotheses,
-        scenarios=materialize(top_scenarios(contributions), "scenarios"),
+        scenarios=scenarios,
     )
