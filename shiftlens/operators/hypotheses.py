@@ -35,7 +35,8 @@ def _evidence(interpretation: Column, **columns: Column) -> Column:
     for name, kind in fields.items():
         column = columns.get(name, F.col(name))
         parts.append((column.cast(kind) if kind else column).alias(name))
-    return F.struct(*parts, interpretation.alias("interpretation"))
+    shown_p = st.p_text(columns.get("p_value", F.col("p_value"))).alias("p_text")
+    return F.struct(*parts, shown_p, interpretation.alias("interpretation"))
 
 
 def _hypothesis_id(prefix: str, run_id: str, metric: str) -> Column:
@@ -260,17 +261,10 @@ def covariate_hypotheses(
     return _shaped(table, "COV", "covariate_drift", run_id, metric, [F.lit(1), _position("covariate", covariates)])
 
 
-def joint_tests(segments: DataFrame, long: DataFrame, joint: str, by_impact: DataFrame | None = None) -> DataFrame:
-    """Two-sample test of the crossed cohorts with the most anomaly rows.
-
-    ``by_impact``: contributions of the crossed dimension; ranks by them instead.
-    """
+def joint_tests(segments: DataFrame, long: DataFrame, joint: str) -> DataFrame:
+    """Two-sample test of the crossed cohorts with the most anomaly rows."""
     crossed = segments.filter((F.col("dimension") == joint) & (F.col("volume_anom") > 0))
-    if by_impact is None:
-        first = crossed.orderBy(F.desc("volume_anom"), "segment_value").limit(TOP_JOINT)
-    else:
-        wanted = top_per_dimension(by_impact, TOP_JOINT).select(*SEGMENT)
-        first = crossed.join(wanted, SEGMENT, "left_semi")
+    first = crossed.orderBy(F.desc("volume_anom"), "segment_value").limit(TOP_JOINT)
     order = Window.orderBy(F.desc("volume_anom"), "segment_value")
     first = first.withColumn("volume_rank", F.row_number().over(order))
     enough = first.filter((F.col("volume_base") >= 8) & (F.col("volume_anom") >= 8))

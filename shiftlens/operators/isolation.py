@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import NUMERIC_TYPES, number
 from shiftlens.functions.ordering import exact_quantiles, in_buckets, split_points
+from shiftlens.operators.cleaning import complete_rows
 from shiftlens.operators.cohorts import tag, window_summary
 from shiftlens.session import materialize, spread
 
@@ -50,9 +51,8 @@ def default_features(df: DataFrame, metric: str) -> list[str]:
 def complete_features(df: DataFrame, metric: str, features: list[str]) -> DataFrame:
     """Rows with a number in the metric and in every feature."""
     columns = [metric, *features]
-    return df.select(
-        *[number(c).alias(c) if c in columns else F.col(c) for c in df.columns]
-    ).dropna(subset=columns)
+    numbers = df.select(*[number(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return complete_rows(numbers, columns)
 
 
 def _grow(rows: pd.DataFrame, columns: list[str], depth_limit: int) -> pd.DataFrame:

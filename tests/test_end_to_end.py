@@ -45,6 +45,11 @@ def test_shop_investigation(spark, shop, tmp_path):
     supported = hypotheses[hypotheses["status"] == "supported"]
     assert "iOS × Europe" in set(supported["dimension_value"])
     assert "checkout_latency_ms" in set(supported["dimension"])
+    latency = hypotheses[hypotheses["dimension"] == "checkout_latency_ms"].iloc[0]["evidence"]
+    assert [e["test_name"].split(" (")[0] for e in latency] == [
+        "Pearson Correlation", "Spearman Rank Correlation", "Covariate Shift",
+    ]
+    assert latency[2]["p_text"] == "< 0.0001"
     leading = run.contributions.filter("dimension = 'device'").orderBy(F.desc(F.abs("contribution"))).first()
     assert leading["segment_value"] == "iOS" and leading["is_primary"]
     assert run.nodes.count() > 5 and run.edges.count() > 5
