@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -28,6 +29,11 @@ def local_session(cpus: int | str = 8, app: str = "shiftlens") -> SparkSession:
     )
 
 
+@functools.cache
+def _local_folder() -> str:
+    return "file:" + tempfile.mkdtemp(prefix="shiftlens-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,9 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = "file:" + tempfile.mkdtemp(prefix="shiftlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
