@@ -5,16 +5,19 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from catalog.oracles import ORACLES
+from catalog.queries import REGISTRY
 from compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
 NO_SQL = {"iforest_points", "iforest_window", "auto_window"}
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.queries()) - set(ORACLES) == NO_SQL
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(REGISTRY) - set(ORACLES) == NO_SQL
+    assert set(REGISTRY) <= set(entry.queries())
+    assert set(ORACLES) <= set(REGISTRY)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -26,12 +29,12 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
-    assert compare(entry.queries()[name](spark, SF_DIR), duck, ORACLES[name]) == []
+    assert compare(REGISTRY[name](spark, SF_DIR), duck, ORACLES[name]) == []
 
 
 @pytest.mark.parametrize("name", sorted(NO_SQL))
 def test_gives_rows(spark, name):
-    assert entry.queries()[name](spark, SF_DIR).count() > 0
+    assert REGISTRY[name](spark, SF_DIR).count() > 0
 
 
 def test_entry(spark):
