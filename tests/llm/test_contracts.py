@@ -101,3 +101,9 @@ def test_token_files(spark, encoded):
 
 def test_copies_of_texts_counted(docs):
     assert max(Counter(t for _, t in docs).values()) > 1
+
+
+def test_near_duplicates(spark, docs):
+    want = brute.near_duplicates(docs)
+    assert sorted(map(tuple, run(spark, "op5_near_duplicates"))) == sorted(want)
+    assert any(not kept for *_, kept in want)
