@@ -4,14 +4,15 @@ A text is the set of its 5-word shingles. ``CHUNKS`` chunks of ``CHUNK`` slots o
 bits form a signature. Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1
 slots have, by pigeonhole, a chunk with at most ERRORS different slots, so every chunk
 is looked up under each choice of ERRORS slots left out: all such pairs meet in a
-bucket. A pair with a similarity of 0.75 misses all buckets with probability 6e-6.
-Links are confirmed on full shingle sets.
+bucket. Links are confirmed on full shingle sets.
 
 Groups are contracted while they are linked. Equal sets are one node. In a few
 rounds each bucket proposes one of its nodes as a centre to all the others, which is
 linear in its size; nodes that are connected by then are not compared again. At last
-all pairs of a bucket from different components are tried, after a check of sizes and
-signatures, so nothing is capped.
+the pairs from different components that share buckets of two chunks are tried, after
+a check of sizes and signatures, so nothing is capped. Two chunks keep texts apart that
+only share a common passage. A pair with a similarity of 0.75 shares buckets of two
+chunks but with probability 4e-6, which is less for any higher similarity.
 
 NULL, empty and blank texts have no shingles and link with nothing. Texts with fewer
 than five words have one shingle, all their words. Equal rows are equal copies.
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.llm.components import components
@@ -36,9 +37,9 @@ from shiftlens.llm.native import KEY, SPACED_WORD, with_key
 from shiftlens.session import materialize
 
 SHINGLE = 5
-CHUNKS, CHUNK, ERRORS = 9, 4, 1
+CHUNKS, CHUNK, ERRORS = 12, 4, 1
 SLOTS = CHUNKS * CHUNK
-LEAST_MATCHES = 13
+LEAST_MATCHES = 21
 CENTRE_ROUNDS = 3
 BROADCAST_ROWS = 500_000
 MOST_WORDS = 1_000_000
@@ -152,8 +153,8 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose signatures agree in ``LEAST_MATCHES`` slots.
 
-    A pair with a similarity of 0.75 agrees in 27 of 36 slots on average and in fewer
-    than 13 with probability 1e-6.
+    A pair with a similarity of 0.75 agrees in 36 of 48 slots on average and in fewer
+    than 21 with probability 2e-6.
     """
     side = nodes.select("node", "n", "signature")
     a, b = (side.select(*(F.col(c).alias(f"{c}_{s}") for c in side.columns)) for s in "ab")
@@ -205,6 +206,26 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(mixed.select("bucket"), "bucket")
 
 
+def _pairs_of_two_chunks(unlinked: DataFrame) -> DataFrame:
+    """Pairs from different components that meet in buckets of two chunks."""
+    own = unlinked.groupBy("node", "component").agg(F.collect_set("bucket").alias("buckets"))
+
+    def chunk(bucket: Column) -> Column:
+        return F.floor(F.shiftrightunsigned(bucket, 48) / len(list(combinations(range(CHUNK), ERRORS))))
+
+    twos = F.flatten(F.transform(
+        "buckets",
+        lambda x: F.transform(F.filter("buckets", lambda y: chunk(y) > chunk(x)), lambda y: F.xxhash64(x, y)),
+    ))
+    sub = own.select(F.explode(twos).alias("bucket"), "node", "component")
+    sub = materialize(_open(materialize(sub, "near-twos")), "near-open-twos")
+    groups = materialize(sub.select("bucket", "component").distinct(), "near-groups")
+    left = groups.join(groups.withColumnRenamed("component", "other"), "bucket").filter("component < other")
+    two = sub.select("bucket", F.col("component").alias("other"), F.col("node").alias("with"))
+    both = left.join(sub, ["bucket", "component"]).join(two, ["bucket", "other"])
+    return both.select("node", F.col("with").alias("other"))
+
+
 def link_groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of all nodes that have a link."""
     spark = nodes.sparkSession
@@ -221,13 +242,10 @@ def link_groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")
             centres = unlinked.groupBy("bucket").agg(F.min(order).alias("c"))
             centres = centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
+            centres = materialize(centres, "near-centres")
             pairs = unlinked.join(centres, "bucket").filter("own != component").select("node", F.col("centre").alias("other"))
         else:
-            groups = unlinked.select("bucket", "component").distinct()
-            left = groups.join(groups.withColumnRenamed("component", "other"), "bucket").filter("component < other")
-            one = unlinked.select("bucket", "component", "node")
-            two = unlinked.select("bucket", F.col("component").alias("other"), F.col("node").alias("with"))
-            pairs = left.join(one, ["bucket", "component"]).join(two, ["bucket", "other"]).select("node", F.col("with").alias("other"))
+            pairs = _pairs_of_two_chunks(unlinked)
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = tried.unionByName(pairs)
