@@ -12,7 +12,9 @@ linear in its size; nodes that are connected by then are not compared again. At
 the pairs from different components that share buckets of two chunks are tried, after
 a check of sizes and signatures, so nothing is capped. Two chunks keep texts apart that
 only share a common passage. A pair with a similarity of 0.75 shares buckets of two
-chunks but with probability 4e-6, which is less for any higher similarity.
+chunks but with probability 4e-6, which is less for any higher similarity. Shingles that
+no other such node has bound what two nodes can share, which spares most of the pairs
+inside a large group whose members differ too much.
 
 NULL, empty and blank texts have no shingles and link with nothing. Texts with fewer
 than five words have one shingle, all their words. Equal rows are equal copies.
@@ -173,10 +175,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs with 100 * intersection >= 75 * union on full sets, from the texts of their nodes."""
     pairs = materialize(likely(pairs, nodes), "likely-pairs")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    used = materialize(used.join(nodes, "node").select("node", *KEY), "likely-nodes")
-    keyed = with_key(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", "text")
-    wanted = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used
-    texts = materialize(keyed.join(wanted, KEY).select("node", "text"), "likely-texts")
+    texts = _texts(used, nodes, docs)
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
@@ -206,7 +205,7 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(mixed.select("bucket"), "bucket")
 
 
-def _pairs_of_two_chunks(unlinked: DataFrame) -> DataFrame:
+def _pairs_of_two_chunks(unlinked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs from different components that meet in buckets of two chunks."""
     own = unlinked.groupBy("node", "component").agg(F.collect_set("bucket").alias("buckets"))
 
@@ -219,11 +218,46 @@ def _pairs_of_two_chunks(unlinked: DataFrame) -> DataFrame:
     ))
     sub = own.select(F.explode(twos).alias("bucket"), "node", "component")
     sub = materialize(_open(materialize(sub, "near-twos")), "near-open-twos")
-    groups = materialize(sub.select("bucket", "component").distinct(), "near-groups")
-    left = groups.join(groups.withColumnRenamed("component", "other"), "bucket").filter("component < other")
-    two = sub.select("bucket", F.col("component").alias("other"), F.col("node").alias("with"))
-    both = left.join(sub, ["bucket", "component"]).join(two, ["bucket", "other"])
-    return both.select("node", F.col("with").alias("other"))
+    sub = materialize(sub.join(_slack(sub, nodes, docs), "node"), "near-bounded")
+    groups = sub.groupBy("bucket", "component").agg(F.max("slack").alias("slack"), F.min("n").alias("n"))
+    groups = materialize(groups, "near-groups")
+    other = groups.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("component", "slack", "n")))
+    near = (F.col("slack") >= 3 * F.col("n_2")) & (F.col("slack_2") >= 3 * F.col("n"))
+    left = groups.join(other, "bucket").filter((F.col("component") < F.col("component_2")) & near)
+    left = left.select("bucket", "component", "component_2", F.col("slack_2").alias("most_2"), F.col("n_2").alias("least_2"))
+    one = left.join(sub, ["bucket", "component"]).filter("slack >= 3 * least_2 AND most_2 >= 3 * n")
+    two = sub.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("component", "node", "slack", "n")))
+    both = one.join(two, ["bucket", "component_2"]).filter(near)
+    return both.select("node", F.col("node_2").alias("other"))
+
+
+def _slack(sub: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, n, slack): a bound from the shingles that a node shares with any other node of ``sub``.
+
+    With s such shingles the intersection with y is at most s, and a similarity of 0.75
+    needs 7 * intersection >= 3 * (n + n_y). So it needs slack = 7 * s - 3 * n >= 3 * n_y.
+    """
+    sets = _texts(sub.select("node").distinct(), nodes, docs)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, factors = WordIds(), _odd(5, 2 * SHINGLE)
+        for batch in batches:
+            own = [np.unique(shingle_hashes(t.as_py(), ids, factors)).view(np.int64) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+
+    single = sets.mapInArrow(work, "node long, own array<long>").select("node", F.explode("own").alias("shingle")).distinct()
+    single = materialize(single, "near-shingles")
+    often = single.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("shingle")
+    shared = single.join(often, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+    return nodes.select("node", "n").join(shared, "node").select("node", "n", (7 * F.col("s") - 3 * F.col("n")).alias("slack"))
+
+
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) for the wanted nodes."""
+    used = materialize(wanted.join(nodes, "node").select("node", *KEY), "near-wanted")
+    keyed = with_key(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", "text")
+    small = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used
+    return materialize(keyed.join(small, KEY).select("node", "text"), "near-texts")
 
 
 def link_groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -245,7 +279,7 @@ def link_groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             centres = materialize(centres, "near-centres")
             pairs = unlinked.join(centres, "bucket").filter("own != component").select("node", F.col("centre").alias("other"))
         else:
-            pairs = _pairs_of_two_chunks(unlinked)
+            pairs = _pairs_of_two_chunks(unlinked, nodes, docs)
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = tried.unionByName(pairs)
