@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import decontamination, near_duplicates, packing, quality, sharding, token_files
+from shiftlens.llm import decontamination, near_duplicates, packing, quality, secrets, sharding, token_files
 from shiftlens.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,20 @@ def op3_sharding(spark, sf_dir):
 def op5_near_duplicates(spark, sf_dir):
     found = near_duplicates.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    found = secrets.scan(documents(spark, sf_dir))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    counts = [of(kind) for kind in ("assign", "access", "hex")]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )

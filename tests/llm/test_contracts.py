@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -107,3 +108,16 @@ def test_near_duplicates(spark, docs):
     want = brute.near_duplicates(docs)
     assert sorted(map(tuple, run(spark, "op5_near_duplicates"))) == sorted(want)
     assert any(not kept for *_, kept in want)
+
+
+def test_secrets(spark, docs):
+    texts = dict(docs)
+    rows = run(spark, "op7_secrets")
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        base = brute.secrets(texts[r["doc_id"]])
+        counts = Counter(k for k, *_ in base)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (counts["assign"], counts["access"], counts["hex"])
+        listed = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(listed.split(",")) <= set(r["spans"].split(",")) | {""}
