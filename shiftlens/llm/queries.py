@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import decontamination, near_duplicates, packing, quality, secrets, sharding, token_files
+from shiftlens.llm import decontamination, near_duplicates, packing, quality, repeats, secrets, sharding, token_files
 from shiftlens.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,8 @@ def op7_secrets(spark, sf_dir):
     return found.select(
         "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+@query
+def op8_repeats(spark, sf_dir):
+    return repeats.removed(documents(spark, sf_dir)).drop("kept")

@@ -121,3 +121,17 @@ def test_secrets(spark, docs):
         listed = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
         assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
         assert set(listed.split(",")) <= set(r["spans"].split(",")) | {""}
+
+
+def test_repeats(spark, docs):
+    want = [(d, *row) for (d, _), row in zip(docs, brute.repeats([t for _, t in docs]))]
+    assert sorted(map(tuple, run(spark, "op8_repeats"))) == sorted(want)
+    assert any(0 < r[2] < r[1] for r in want)
+
+
+def test_repeats_of_very_frequent_strings(spark, docs):
+    from shiftlens.llm import repeats
+
+    rows = repeats.removed(q.documents(spark, SF_DIR), hot=1).drop("kept").collect()
+    want = [(d, *row) for (d, _), row in zip(docs, brute.repeats([t for _, t in docs]))]
+    assert sorted(map(tuple, rows)) == sorted(want)
