@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import decontamination, near_duplicates, packing, quality, repeats, secrets, sharding, token_files
+from shiftlens.llm import decontamination, licenses, near_duplicates, packing, quality, repeats, secrets, sharding, surrogates, token_files
 from shiftlens.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,19 @@ def op7_secrets(spark, sf_dir):
 @query
 def op8_repeats(spark, sf_dir):
     return repeats.removed(documents(spark, sf_dir)).drop("kept")
+
+
+@query
+def op9_surrogates(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return surrogates.replace(docs, "shiftlens", with_count="n_entities")
+
+
+@query
+def op2_licenses(spark, sf_dir):
+    found = licenses.scan(documents(spark, sf_dir)).select("doc_id", "licenses")
+    best = F.get("licenses", F.lit(0))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_matches"), best["name"].alias("license"),
+        F.round(best["dice"], 6).alias("dice"), best["unit"].cast("long").alias("unit"),
+    )
