@@ -232,7 +232,7 @@ def _edges(candidates: DataFrame, counts: DataFrame, docs: DataFrame) -> DataFra
     """One row with its bytes per different context of the anchor strings that have a context of one row."""
     one = candidates.groupBy("gram", "context").agg(F.min(F.struct(*KEY, "at", "first", "last")).alias("r"))
     mixed = counts.groupBy("gram").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("contexts"))
-    mixed = mixed.filter("fewest = 1 AND contexts > 1").select("gram", "contexts")
+    mixed = materialize(mixed.filter("fewest = 1 AND contexts > 1").select("gram", "contexts"), "repeat-mixed")
     rows = one.join(counts, ["gram", "context"]).join(mixed, "gram")
     rows = rows.select("gram", "contexts", (F.col("n") == 1).alias("single"), "r.*")
     per_doc = materialize(
@@ -299,7 +299,8 @@ def _hashed(parts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, spans): the maximal repeated runs of each text that has one, places in bytes."""
     rows = materialize(anchor_rows(docs), "repeat-anchors")
-    shared = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # Written, so that a join with a very frequent anchor string can be split.
+    shared = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "repeat-grams")
     candidates = materialize(rows.join(shared, "gram"), "repeat-candidates")
     counts = materialize(candidates.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n")), "repeat-counts")
     whole = candidates.join(counts.filter("n > 1"), ["gram", "context"])
