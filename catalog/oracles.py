@@ -336,7 +336,7 @@ top AS (
 ORACLES["dataset_shape"] = f"""{with_(MIXED, CELLS)}
 SELECT (SELECT count(*) FROM fact) AS n_rows, {len(facts.MIXED_COLUMNS)}::BIGINT AS n_cols, count(*) - count(value) AS total_missing FROM cells"""
 ORACLES["duplicate_rows"] = """
-WITH f AS (SELECT l_returnflag, l_quantity, l_discount, l_tax, l_shipdate FROM lineitem),
+WITH f AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber <= 2),
 t AS (SELECT (SELECT count(*) FROM f) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM f)) AS kept)
 SELECT n_rows, n_rows - kept AS duplicate_rows, round((n_rows - kept) * 100.0::DOUBLE / n_rows, 4) + 0.0 AS duplicate_pct FROM t"""
 ORACLES["column_profile"] = f"""{with_(MIXED, CELLS, COUNTS)}
@@ -348,9 +348,10 @@ ORACLES["numeric_stats"] = f"""{with_(MIXED, CELLS, COUNTS, TYPES, NUMBERS, STAT
 SELECT "column", n, {r('mn')} AS min, {r('mx')} AS max, {r('mean')} AS mean, {r('std')} AS std, {r('q1')} AS q1,
   {r('median')} AS median, {r('q3')} AS q3, {r('q3 - q1')} AS iqr
 FROM stats JOIN types USING ("column") WHERE inferred_type IN ('numerical', 'boolean')"""
-ORACLES["iqr_outliers"] = f"""{with_(MIXED, NUMBERS, STATS, OUTLIERS)}
+ORACLES["iqr_outliers"] = f"""{with_(MIXED, CELLS, COUNTS, TYPES, NUMBERS, STATS, OUTLIERS)}
 SELECT "column", {r('lower')} AS lower, {r('upper')} AS upper, n_values, outlier_count,
-  {r('outlier_count * 100.0::DOUBLE / n_values')} AS outlier_pct FROM outl"""
+  {r('outlier_count * 100.0::DOUBLE / n_values')} AS outlier_pct
+FROM outl JOIN types USING ("column") WHERE inferred_type IN ('numerical', 'boolean')"""
 ORACLES["top_categories"] = f"""{with_(MIXED, CELLS, COUNTS, TYPES, TOP)}
 SELECT "column", value, n, rank FROM top JOIN types USING ("column") WHERE inferred_type IN ('categorical', 'boolean')"""
 _PRIORITY_1 = "(contains(\"column\", 'price'))"

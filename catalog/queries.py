@@ -176,8 +176,9 @@ def dataset_shape(spark, sf_dir):
 
 @query
 def duplicate_rows(spark, sf_dir):
-    rows = facts.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax", "l_shipdate")
-    return out(profiling.duplicate_rows(rows))
+    rows = facts.table(spark, sf_dir, "lineitem")
+    again = rows.filter((F.col("l_orderkey") % 7 == 0) & (F.col("l_linenumber") <= 2))
+    return out(profiling.duplicate_rows(rows.unionByName(again)))
 
 
 @query
@@ -203,15 +204,13 @@ def column_types(spark, sf_dir):
 @query
 def numeric_stats(spark, sf_dir):
     fact, counts, types = _types(spark, sf_dir)
-    stats = profiling.numeric_stats(fact, counts)
-    kept = types.filter(F.col("inferred_type").isin("numerical", "boolean")).select("column")
-    return out(stats.join(F.broadcast(kept), "column"))
+    return out(profiling.measured(profiling.numeric_stats(fact, counts), types))
 
 
 @query
 def iqr_outliers(spark, sf_dir):
-    fact, counts, _ = _types(spark, sf_dir)
-    return out(profiling.iqr_outliers(fact, counts))
+    fact, counts, types = _types(spark, sf_dir)
+    return out(profiling.measured(profiling.iqr_outliers(fact, counts), types))
 
 
 @query

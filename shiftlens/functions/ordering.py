@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from shiftlens.session import bucket_count, materialize
 
 BUCKET = "_bucket"
+FAN_IN = 64
 PLACE = "_place"
 Cuts = dict[str | None, list[float]]
 
@@ -32,22 +33,38 @@ def _cuts(column: Column, n: int) -> Column:
     return F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n)
 
 
+def _by_task(df: DataFrame) -> DataFrame:
+    """Rows with one of ``FAN_IN`` numbers of the task that reads them."""
+    return df.withColumn("_task", F.spark_partition_id() % FAN_IN)
+
+
 def split_points(df: DataFrame, value: str, by: str | None = None) -> Cuts:
     """Approximate quantiles of ``value``, per key of ``by`` (a column of few keys).
 
-    Only ``bucket_count`` numbers per key reach the driver.
+    Sketches are merged in two levels, first by groups of tasks and then over the
+    quantiles of the groups, so that no task merges one sketch per task. Only
+    ``bucket_count`` numbers per key reach the driver.
     """
-    cuts = _cuts(F.col(value), bucket_count(df.sparkSession)).alias("cuts")
+    n, keys = bucket_count(df.sparkSession), [by] if by else []
+    parts = _by_task(df.select(*keys, F.col(value).alias("_x"))).groupBy(*keys, "_task").agg(_cuts(F.col("_x"), n).alias("cuts"))
+    merged = parts.select(*keys, F.explode("cuts").alias("_x")).groupBy(*keys).agg(_cuts(F.col("_x"), n).alias("cuts"))
     if by is None:
-        return {None: sorted(set(df.agg(cuts).first()["cuts"] or []))}
-    return {row[by]: sorted(set(row["cuts"] or [])) for row in df.groupBy(by).agg(cuts).collect()}
+        row = merged.first()
+        return {None: sorted(set((row and row["cuts"]) or []))}
+    found = {row[by]: sorted(set(row["cuts"] or [])) for row in merged.collect()}
+    return {**{row[by]: [] for row in df.select(by).distinct().collect()}, **found}
 
 
 def column_split_points(df: DataFrame, columns: dict[str, Column]) -> Cuts:
     """Split points of several columns in one pass over the wide table."""
     n = bucket_count(df.sparkSession)
-    row = df.agg(*[_cuts(column, n).alias(name) for name, column in columns.items()]).first()
-    return {name: sorted(set(row[name] or [])) for name in columns}
+    named = [f"_c{i}" for i in range(len(columns))]
+    wide = df.select(*[c.alias(k) for k, c in zip(named, columns.values())])
+    parts = _by_task(wide).groupBy("_task").agg(*[_cuts(F.col(k), n).alias(k) for k in named])
+    long = parts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("cuts")) for k in named])))
+    merged = long.select("k", F.explode("cuts").alias("x")).groupBy("k").agg(_cuts(F.col("x"), n).alias("cuts"))
+    found = {row["k"]: sorted(set(row["cuts"])) for row in merged.collect()}
+    return {name: found.get(k, []) for k, name in zip(named, columns)}
 
 
 def _find(edges: np.ndarray, values: pd.Series, own_bucket: bool) -> np.ndarray:

@@ -31,8 +31,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             front = front if abs(front) > _TINY else _TINY
             value *= ratio * front
         if abs(ratio * front - 1.0) < _EPS:
-            break
-    return value
+            return value
+    raise ArithmeticError("incomplete beta did not settle")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -8,7 +8,7 @@ preceding rows copied into the next chunk, and scored chunk by chunk.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,11 +24,18 @@ DAY_WINDOWS = (2, 3, 4, 5)
 CHUNK_ROWS = 100_000
 
 
-def daily_metric(df: DataFrame, date_col: str, metric: str) -> DataFrame:
-    """Mean metric and row count per day."""
+def time_bucket(date_col: str, grain: str | None = "day") -> Column:
+    """The date value itself (None), its day, or its ``date_trunc`` at another grain."""
+    if grain is None:
+        return F.col(date_col)
+    return F.to_date(date_col) if grain == "day" else F.date_trunc(grain, F.col(date_col).cast("timestamp"))
+
+
+def daily_metric(df: DataFrame, date_col: str, metric: str, grain: str | None = "day") -> DataFrame:
+    """Mean metric and row count per day, or per bucket of another grain, in the column ``day``."""
     return (
         df.filter(F.col(date_col).isNotNull())
-        .groupBy(F.to_date(date_col).alias("day"))
+        .groupBy(time_bucket(date_col, grain).alias("day"))
         .agg(F.avg(number(metric)).alias("metric_mean"), F.count(F.lit(1)).alias("n_rows"))
     )
 
@@ -110,9 +117,9 @@ def score_series(series: DataFrame, order: str, value: str, size: int | None = N
     return points.drop("_n", *[f"_{name}" for name in fill])
 
 
-def daily_points(df: DataFrame, date_col: str, metric: str) -> DataFrame:
+def daily_points(df: DataFrame, date_col: str, metric: str, grain: str | None = "day") -> DataFrame:
     """Scored points of the daily mean, written down because several steps read them."""
-    points = score_series(daily_metric(df, date_col, metric), "day", "metric_mean")
+    points = score_series(daily_metric(df, date_col, metric, grain), "day", "metric_mean")
     return materialize(points, "points")
 
 
@@ -208,7 +215,7 @@ def series_window(points: DataFrame, label: str, metric: str) -> DataFrame:
     )
 
 
-def cutoff_day(points: DataFrame, mode: str = "first_flag") -> date | None:
+def cutoff_day(points: DataFrame, mode: str = "first_flag") -> date | datetime | None:
     """The first flagged day, or with ``most_severe`` the day the worst run starts."""
     if mode == "first_flag":
         wanted = F.col("is_anomaly")
@@ -220,9 +227,9 @@ def cutoff_day(points: DataFrame, mode: str = "first_flag") -> date | None:
     return points.agg(F.min(F.when(wanted, F.col("day"))).alias("day")).first()["day"]
 
 
-def temporal_changepoint(df: DataFrame, date_col: str, cutoff: date | None) -> DataFrame:
-    """Rows tagged by a cutoff day; the day itself belongs to the anomaly."""
-    start = F.lit(cutoff).cast("date").cast(df.schema[date_col].dataType)
+def temporal_changepoint(df: DataFrame, date_col: str, cutoff: date | datetime | None) -> DataFrame:
+    """Rows tagged by a cutoff; the cutoff itself belongs to the anomaly."""
+    start = F.lit(cutoff).cast(df.schema[date_col].dataType)
     return tag_from(df, date_col, start)
 
 
@@ -248,10 +255,10 @@ def half_split(df: DataFrame, key: list[str]) -> DataFrame:
     return tag(numbered, F.col("row_number") > half.scalar())
 
 
-def fallback_window(df: DataFrame, key: list[str], metric: str) -> DataFrame:
+def fallback_window(df: DataFrame, key: list[str], metric: str, tagged: DataFrame | None = None) -> DataFrame:
     """Summary of the half split, for tables with too few complete rows."""
     return (
-        window_summary(half_split(df, key), metric, "fallback_split")
+        window_summary(half_split(df, key) if tagged is None else tagged, metric, "fallback_split")
         .withColumn("baseline_label", F.lit("Baseline Cohort"))
         .withColumn("anomaly_label", F.lit("Comparison Cohort"))
     )
@@ -266,15 +273,17 @@ class Detected:
     points: DataFrame
 
 
-def rolling_window(df: DataFrame, date_col: str, metric: str, key: list[str]) -> Detected | None:
-    """Day-grain split when days repeat, otherwise the row-grain split; None if nothing is flagged.
+def rolling_window(
+    df: DataFrame, date_col: str, metric: str, key: list[str], grain: str | None = "day"
+) -> Detected | None:
+    """Split at the grain when its buckets repeat, otherwise the row-grain split; None if nothing is flagged.
 
     Each decision reads one row or one count.
     """
     n = df.count()
     if n < 5:
         return None
-    points = daily_points(df, date_col, metric)
+    points = daily_points(df, date_col, metric, grain)
     days = points.count()
     if 5 <= days < n:
         window = materialize(temporal_window(df, date_col, metric, points), "window")
@@ -291,4 +300,4 @@ def rolling_window(df: DataFrame, date_col: str, metric: str, key: list[str]) ->
 def fallback(df: DataFrame, key: list[str], metric: str) -> Detected:
     """Half split with no scored points."""
     tagged = half_split(df, key)
-    return Detected(fallback_window(df, key, metric), tagged.select(*df.columns, "period"), df.limit(0))
+    return Detected(fallback_window(df, key, metric, tagged), tagged.select(*df.columns, "period"), df.limit(0))

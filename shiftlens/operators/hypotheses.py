@@ -10,7 +10,7 @@ from shiftlens.functions.ordering import BUCKET, bucket_of, column_split_points
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import PERIOD
 from shiftlens.operators.decomposition import JOINT, top_per_dimension
-from shiftlens.session import materialize, spread
+from shiftlens.session import materialize
 
 TOP_SEGMENTS = 5
 TOP_JOINT = 3
@@ -160,7 +160,7 @@ def placed_covariates(tagged: DataFrame, metric: str, covariates: list[str]) ->
     The bucket search is the dearest step and five passes use its outcome, so the
     numbers and their buckets are written down once, one row per fact.
     """
-    tagged = spread(tagged.select(PERIOD, metric, *covariates), "covariate-facts")
+    tagged = tagged.select(PERIOD, metric, *covariates)
     cuts = column_split_points(tagged, {c: number(c) for c in [metric, *covariates]})
     wide = {PERIOD: F.col(PERIOD)}
     for i, name in enumerate([metric, *covariates]):
@@ -190,7 +190,7 @@ def covariate_shift(long: DataFrame, moments: DataFrame) -> DataFrame:
 
 def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> DataFrame:
     """Correlations, shift and verdict per covariate; moments and pairs in one aggregate."""
-    tagged = spread(tagged.select(PERIOD, metric, *covariates), "covariate-facts")
+    tagged = tagged.select(PERIOD, metric, *covariates)
     long = long_covariates(tagged, metric, covariates)
     table = long.groupBy("covariate").agg(*st.moment_columns(), *st.pair_columns())
     table = materialize(table, "covariates")

@@ -20,13 +20,12 @@ from shiftlens.functions.numeric import NUMERIC_TYPES, number
 from shiftlens.functions.ordering import exact_quantiles, in_buckets, split_points
 from shiftlens.operators.cleaning import complete_rows
 from shiftlens.operators.cohorts import tag, window_summary
-from shiftlens.session import materialize, spread
+from shiftlens.session import materialize
 
 TREES = 100
 SAMPLE = 256
 SEED = 42
 CONTAMINATION = 0.05
-MAX_FEATURES = 10
 MIN_ROWS = 20
 POOL = TREES * SAMPLE
 
@@ -43,9 +42,9 @@ def average_path(n: float) -> float:
 
 
 def default_features(df: DataFrame, metric: str) -> list[str]:
-    """The first ten numeric columns besides the metric."""
+    """All numeric columns besides the metric."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
-    return [c for c in numeric if c != metric][:MAX_FEATURES]
+    return [c for c in numeric if c != metric]
 
 
 def complete_features(df: DataFrame, metric: str, features: list[str]) -> DataFrame:
@@ -108,7 +107,7 @@ def grow_forest(complete: DataFrame, columns: list[str], key: list[str], n: int)
     turns = F.sequence(F.col("_place").cast("long"), F.lit(TREES) * share - 1, F.col("_size"))
     dealt = placed.withColumn("_order", F.explode(F.when(F.col("_place") < TREES * share, turns)))
     dealt = dealt.select(*columns, "_order", F.floor(F.col("_order") / share).cast("int").alias("tree"))
-    depth_limit = math.ceil(math.log2(SAMPLE))
+    depth_limit = max(1, math.ceil(math.log2(min(SAMPLE, max(n, 2)))))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         return _grow(rows, columns, depth_limit)
@@ -183,7 +182,7 @@ def forest_points(
     """
     features = default_features(df, metric) if features is None else features
     columns = [metric, *features]
-    complete = spread(complete_features(df, metric, features), "complete")
+    complete = materialize(complete_features(df, metric, features).select(*dict.fromkeys([*key, *columns])), "complete")
     n = complete.count()
     if n < MIN_ROWS:
         return None

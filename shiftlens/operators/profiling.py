@@ -20,7 +20,6 @@ from shiftlens.session import materialize
 
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
-SAMPLE_ROWS = 30
 
 
 def flat_fields(df: DataFrame) -> list[T.StructField]:
@@ -35,6 +34,11 @@ def _kind(field: T.StructField) -> str:
     return "number" if isinstance(field.dataType, NUMERIC_TYPES) else "string"
 
 
+def _quoted(field: T.StructField) -> Column:
+    """The column by its whole name, which may hold a dot."""
+    return F.col("`" + field.name.replace("`", "``") + "`")
+
+
 def _named(df: DataFrame, kind: str) -> list[str]:
     return [f.name for f in flat_fields(df) if _kind(f) == kind]
 
@@ -49,15 +53,15 @@ def column_list(df: DataFrame) -> DataFrame:
 
 def _as_text(field: T.StructField) -> Column:
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return number(field.name).cast("string").alias(field.name)
-    return F.col(field.name).cast("string").alias(field.name)
+        return (number(_quoted(field)) + F.lit(0.0)).cast("string").alias(field.name)
+    return _quoted(field).cast("string").alias(field.name)
 
 
 def value_counts(df: DataFrame) -> DataFrame:
     """(column, value, n) over all flat columns; NULL is a value of its own."""
     fields = flat_fields(df)
     long = df.select(*[_as_text(f) for f in fields]).unpivot(
-        [], [f.name for f in fields], "column", "value"
+        [], [_quoted(f) for f in fields], "column", "value"
     )
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -66,7 +70,7 @@ def dataset_shape(df: DataFrame) -> DataFrame:
     """Rows, columns and the total of missing cells."""
     missing = F.lit(0)
     for field in df.schema.fields:
-        cell = number(field.name) if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else F.col(field.name)
+        cell = number(_quoted(field)) if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else _quoted(field)
         missing = missing + cell.isNull().cast("int")
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -77,7 +81,7 @@ def dataset_shape(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that equal an earlier row. Copies of one row collapse before the shuffle."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    copies = df.groupBy(*(_quoted(f) for f in df.schema.fields)).agg(F.count(F.lit(1)).alias("_n"))
     counted = copies.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -106,28 +110,33 @@ def column_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
     ).withColumn("is_constant", F.col("unique_count") <= 1)
 
 
-def _sample_parses(df: DataFrame, column: str, key: list[str]) -> Column:
-    """Whether the first values by key all read as a timestamp, as a scalar subquery."""
-    text = F.col(column).cast("string")
-    sample = df.select(*dict.fromkeys([column, *key])).filter(F.col(column).isNotNull())
-    first = sample.orderBy(*key).limit(SAMPLE_ROWS)
-    parsed = first.agg(F.bool_and(F.try_to_timestamp(text).isNotNull()).alias("ok"))
-    return parsed.scalar()
+def type_evidence(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per column the share of its filled rows that read as a timestamp, from all values.
 
+    Zero for columns whose name is no date name; physical dates read by definition.
+    """
+    dated = [f.name for f in flat_fields(df) if names.has_word(f.name, names.DATE_WORDS) and _kind(f) != "date"]
+    filled = counts.filter(F.col("value").isNotNull())
+    reads = F.col("column").isin(dated) & F.try_to_timestamp(F.col("value")).isNotNull()
+    parsed = filled.groupBy("column").agg(
+        F.sum("n").alias("_filled"), F.coalesce(F.sum(F.when(reads, F.col("n"))), F.lit(0)).alias("parsed_count")
+    )
+    share = ratio(F.col("parsed_count"), F.col("_filled"))
+    return parsed.select("column", "parsed_count", share.alias("parsed_share"))
 
-def infer_types(df: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
+
+def infer_types(df: DataFrame, counts: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Column counts with the semantic type; the first matching rule wins.
 
-    ``key`` orders the rows whose first values are tried as dates.
+    A column with a date name is a date if all its values read as one. ``key`` is not
+    needed for that and kept for callers.
     """
-    table = column_counts(df, counts)
+    evidence = type_evidence(df, counts)
+    table = column_counts(df, counts).join(F.broadcast(evidence), "column", "left")
+    table = table.fillna(0, ["parsed_count", "parsed_share"])
     filled = F.col("total_count") - F.col("missing_count")
     share = ratio(F.col("unique_count"), filled)
-    date_named = [f.name for f in flat_fields(df)
-                  if names.has_word(f.name, names.DATE_WORDS) and _kind(f) != "date"]
-    parses = F.lit(False)
-    for name in date_named:
-        parses = F.when(F.col("column") == name, _sample_parses(df, name, key)).otherwise(parses)
+    parses = (F.col("parsed_count") > 0) & (F.col("parsed_count") == filled)
     id_named = names.name_has(F.col("column"), names.ID_WORDS)
     boolean = (F.col("kind") == "boolean") | (
         F.col("boolean_like") & (filled > 10) & (F.col("unique_count") <= 2)
@@ -168,7 +177,7 @@ def moments(df: DataFrame) -> DataFrame:
         )
     rows = []
     for f in fields:
-        value = number(F.col(f.name).cast("int") if _kind(f) == "boolean" else F.col(f.name))
+        value = number(_quoted(f).cast("int") if _kind(f) == "boolean" else _quoted(f))
         rows.append(
             F.struct(
                 F.lit(f.name).alias("column"),
@@ -189,9 +198,9 @@ def text_moments(df: DataFrame, values: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.min("number").alias("min"), F.max("number").alias("max"),
         F.sum(F.col("n") * F.col("number")).alias("_ones"),
     )
-    ones, n = F.col("_ones"), F.col("n")
+    ones, n = F.col("_ones"), F.col("n").cast("double")
     spread = F.sqrt(ratio(ones * (n - ones), n * (n - 1)))
-    return grouped.select("column", "n", "min", "max", ratio(ones, n).alias("mean"), spread.alias("std"))
+    return grouped.select("column", F.col("n"), "min", "max", ratio(ones, n).alias("mean"), spread.alias("std"))
 
 
 def quartiles(values: DataFrame) -> DataFrame:
@@ -299,6 +308,12 @@ def schema_health(types: DataFrame, stats: DataFrame, outliers: DataFrame, top:
     )
 
 
+def measured(table: DataFrame, types: DataFrame) -> DataFrame:
+    """Rows of the columns that are measured: numerical and boolean ones."""
+    kept = types.filter(F.col("inferred_type").isin("numerical", "boolean")).select("column")
+    return table.join(F.broadcast(kept), "column")
+
+
 @dataclass
 class Profile:
     """Profile tables of one dataset; the value counts behind them are written once."""
@@ -320,8 +335,8 @@ def profile(df: DataFrame, key: list[str]) -> Profile:
     quarters = materialize(quartiles(numeric_values(df, counts)), "quartiles")
     return Profile(
         types=types,
-        stats=numeric_stats(df, counts, quarters),
-        outliers=iqr_outliers(df, counts, quarters),
+        stats=measured(numeric_stats(df, counts, quarters), types),
+        outliers=measured(iqr_outliers(df, counts, quarters), types),
         top=top_values(counts).join(
             F.broadcast(types.filter(F.col("inferred_type").isin("categorical", "boolean")).select("column")),
             "column",

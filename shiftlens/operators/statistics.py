@@ -103,16 +103,16 @@ def rank_sum(long: DataFrame, by: list[str], split_by: str | None = None) -> Dat
     inside = Window.partitionBy(*by, BUCKET).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     others = others.withColumn("_below", F.coalesce(F.sum("c_base").over(inside), F.lit(0)))
     copies = (F.col("c_base") + F.col("c_anom")).cast("double")
-    wins = F.col("c_anom") * (F.col("_below") + F.col("c_base") / 2)
+    wins = F.col("c_anom").cast("double") * (F.col("_below") + F.col("c_base") / 2)
     per_bucket = frequent.unionByName(others.drop("x")).groupBy(*by, BUCKET).agg(
-        F.sum("c_base").alias("b"),
-        F.sum("c_anom").alias("a"),
+        F.sum("c_base").cast("double").alias("b"),
+        F.sum("c_anom").cast("double").alias("a"),
         F.sum(wins).alias("u"),
         F.sum(copies * copies * copies - copies).alias("tie"),
         F.count(F.lit(1)).alias("values"),
     )
     before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("b").over(before), F.lit(0))
+    earlier = F.coalesce(F.sum("b").over(before), F.lit(0.0))
     table = per_bucket.withColumn("u", F.col("u") + earlier * F.col("a")).groupBy(*by).agg(
         F.sum("b").cast("double").alias("nb"),
         F.sum("a").cast("double").alias("na"),
@@ -239,7 +239,7 @@ def chi_square(segments: DataFrame) -> DataFrame:
     n = F.col("total_base") + F.col("total_anom")
     gap, parts = F.col("categories") == 2, []
     for side in ("base", "anom"):
-        expected = ratio(both * F.col(f"total_{side}"), n)
+        expected = ratio(both.cast("double") * F.col(f"total_{side}"), n)
         distance = F.abs(F.col(f"volume_{side}") - expected)
         corrected = distance - F.when(gap, F.least(F.lit(0.5), distance)).otherwise(0.0)
         parts.append(ratio(corrected * corrected, expected))

@@ -16,19 +16,22 @@ from shiftlens.operators.cohorts import tag, window_from_totals
 from shiftlens.operators.detection import Detected, fallback, rolling_window
 from shiftlens.operators.evidence import graph_edges, graph_nodes
 from shiftlens.operators.scenarios import remediation_curve, top_scenarios
-from shiftlens.session import materialize, spread
+from shiftlens.session import materialize
 
 
-def detect_window(df: DataFrame, metric: str, key: list[str], date_col: str | None = None) -> Detected:
+def detect_window(
+    df: DataFrame, metric: str, key: list[str], date_col: str | None = None, grain: str | None = "day"
+) -> Detected:
     """Rolling z-score when a date column flags something, otherwise isolation forest."""
     if date_col:
-        found = rolling_window(df, date_col, metric, key)
+        found = rolling_window(df, date_col, metric, key, grain)
         if found is not None:
             return found
     points = isolation.forest_points(df, metric, key)
     if points is None:
         return fallback(df, key, metric)
-    tagged = tag(points, F.col("is_anomaly")).select(*df.columns, "period")
+    flags = tag(points, F.col("is_anomaly")).select(*key, "period")
+    tagged = df.join(flags, key, "left").select(*df.columns, "period")
     return Detected(isolation.forest_window(points, metric), tagged, points)
 
 
@@ -83,7 +86,6 @@ class Investigation:
             packed = rows.select(F.struct(*order, *rows.columns).alias("r"))
             return packed.agg(F.array_sort(F.collect_list("r")).alias("rows")).scalar()
 
-        top = dec.top_per_dimension(self.contributions)
         impact = [(-F.abs("contribution")).alias("_o")]
         return self.window.select(
             F.lit(self.run_id).alias("id"),
@@ -96,7 +98,7 @@ class Investigation:
             F.col("relative_pct_change").alias("pct_change"),
             "direction", "detection_method", "baseline_mean", "anomaly_mean", "absolute_delta",
             listed(self.hypotheses, [F.col("rank").alias("_o")]).alias("hypotheses"),
-            listed(top, impact).alias("contributions"),
+            listed(self.contributions, impact).alias("contributions"),
             listed(self.scenarios, [F.col("scenario_rank").alias("_o")]).alias("scenarios"),
             listed(self.lines, [F.struct("section", "line_no").alias("_o")]).alias("report"),
         )
@@ -119,7 +121,7 @@ def investigate(
     dimensions = [d for d in dimensions if d != metric]
     covariates = [c for c in covariates if c != metric]
     needed = tagged.select("period", *dict.fromkeys([metric, *dimensions, *covariates]))
-    facts = spread(needed, "facts")
+    facts = needed
 
     def drift() -> list[DataFrame]:
         if not covariates:

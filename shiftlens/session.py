@@ -7,10 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MIN_BUCKETS = 16
-MAX_BUCKETS = 8192
 
 
 def local_session(cpus: int | str = 8, app: str = "shiftlens") -> SparkSession:
@@ -59,23 +57,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, name: str) -> DataFrame:
-    """A table that only a few tasks can read, rewritten once in one file per core.
-
-    Tables with at least as many files as cores, which is any large table, are
-    returned as they are. For others the tasks that find rows are counted.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    busy = df.select(F.spark_partition_id().alias("task")).distinct().count()
-    return df if busy >= cores else materialize(df.repartition(cores), name)
-
-
 def bucket_count(spark: SparkSession) -> int:
     """Power of two that follows the shuffle width, for order-preserving buckets."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = MIN_BUCKETS
-    while buckets < 2 * width and buckets < MAX_BUCKETS:
+    while buckets < 2 * width:
         buckets *= 2
     return buckets

@@ -6,14 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Give a schema at scale: inference reads the input twice."""
-    reader = spark.read.option("header", True)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+# Quotes are doubled inside quotes, blanks belong to the text, and only an unquoted
+# empty field is NULL, on both sides.
+EMPTY_MARK = "\x01"  # what the reader gives for an empty text in quotes
+CSV_FORM = {
+    "header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
+    """CSV with a header. Give a schema at scale: inference reads the input twice.
+
+    Texts may hold line breaks; a file is then read by one task. Without them
+    ``multi_line`` can be turned off, which lets large files be split.
+    """
+    reader = spark.read.options(**{**CSV_FORM, "emptyValue": EMPTY_MARK}, multiLine=multi_line)
+    rows = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+    return rows.replace(EMPTY_MARK, "", texts) if texts else rows
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    df.write.options(**CSV_FORM).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ saved very often.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def tombstones(ids: DataFrame, like: DataFrame, saved_at: Column) -> DataFrame:
     fields = [
         F.col("id") if f.name == "id" else F.lit(None).cast(f.dataType).alias(f.name)
         for f in like.schema.fields
-        if f.name not in ("saved_at", "deleted")
+        if f.name not in ("saved_at", "deleted", "version")
     ]
     return versioned(ids.select(*fields), saved_at, deleted=True)
 
@@ -33,7 +34,7 @@ def tombstones(ids: DataFrame, like: DataFrame, saved_at: Column) -> DataFrame:
 def current(history: DataFrame) -> DataFrame:
     """Newest version per id; deleted runs are absent."""
     payload = [c for c in history.columns if c != "id"]
-    order = F.struct("saved_at", "deleted")
+    order = F.struct("saved_at", *(["version"] if "version" in payload else []), "deleted")
     newest = history.groupBy("id").agg(F.max_by(F.struct(*payload), order).alias("run"))
     return newest.select("id", "run.*").filter(~F.col("deleted")).select(*history.columns)
 
@@ -54,19 +55,35 @@ def count_deleted(history: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
+EMPTY = "id string, " + ", ".join(
+    f"{c} {'long' if c == 'row_count' else 'double' if c == 'pct_change' else 'string'}" for c in META[1:]
+) + ", saved_at timestamp, version long, deleted boolean"
+
+
 class HistoryTable:
-    """The history as an append-only Parquet folder, partitioned by save date."""
+    """The history as an append-only Parquet folder, partitioned by save date.
+
+    Each write has a version, which decides between rows saved at the same time.
+    Before the first save the history is empty; rows with new columns can be added
+    later, older rows then have NULL there.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
 
     def _append(self, rows: DataFrame) -> None:
-        dated = rows.withColumn("save_date", F.to_date("saved_at"))
+        last = self.rows().agg(F.max("version").alias("v")).first()["v"]
+        dated = rows.withColumn("version", F.lit((last or 0) + 1).cast("long")).withColumn("save_date", F.to_date("saved_at"))
         dated.write.mode("append").partitionBy("save_date").parquet(self.path)
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("save_date")
+        try:
+            return self.spark.read.option("mergeSchema", True).parquet(self.path).drop("save_date")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], EMPTY)
 
     def save(self, runs: DataFrame, saved_at: Column) -> None:
         self._append(versioned(runs, saved_at))

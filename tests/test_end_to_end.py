@@ -15,43 +15,43 @@ from shiftlens.sources.history import HistoryTable
 
 
 @pytest.fixture(scope="module")
-def shop(spark):
-    df = spark.createDataFrame(frames.shop())
-    return df, profiling.profile(df, ["session_id"])
+def parcels(spark):
+    df = spark.createDataFrame(frames.parcels())
+    return df, profiling.profile(df, ["parcel_key"])
 
 
-def test_shop_profile(shop):
-    _, found = shop
+def test_parcels_profile(parcels):
+    _, found = parcels
     assert found.names("date") == ["date"]
-    assert found.names("metric") == ["checkout_latency_ms", "cart_items", "converted", "order_value"]
-    assert found.names("segment") == ["device", "region", "channel", "app_version", "converted"]
+    assert found.names("metric") == ["scan_latency", "item_count", "fee_amount", "on_time"]
+    assert found.names("segment") == ["region", "carrier", "shift", "on_time"]
     kinds = {r["column"]: r["inferred_type"] for r in found.types.collect()}
-    assert kinds["session_id"] == "text_id" and kinds["converted"] == "boolean"
+    assert kinds["parcel_key"] == "text_id" and kinds["on_time"] == "boolean"
 
 
-def test_shop_investigation(spark, shop, tmp_path):
-    df, found = shop
+def test_parcels_investigation(spark, parcels, tmp_path):
+    df, found = parcels
     cleaned = clean(df, "date")
-    detected = detect_window(cleaned, "converted", ["session_id"], "date")
+    detected = detect_window(cleaned, "on_time", ["parcel_key"], "date")
     assert detected.window.first()["baseline_count"] > 0
 
-    tagged = tag(cleaned, F.col("date") >= F.lit("2024-10-14").cast("timestamp"))
-    dimensions = [d for d in found.names("segment") if d not in ("converted", "app_version")]
-    covariates = [m for m in found.names("metric") if m != "converted"]
-    run = investigate(tagged, "converted", dimensions, covariates, "RUN-1")
+    tagged = tag(cleaned, F.col("date") >= F.lit("2023-03-11").cast("timestamp"))
+    dimensions = [d for d in found.names("segment") if d != "on_time"]
+    covariates = [m for m in found.names("metric") if m != "on_time"]
+    run = investigate(tagged, "on_time", dimensions, covariates, "RUN-1")
 
     hypotheses = run.hypotheses.toPandas()
     assert list(hypotheses.sort_values("rank")["rank"]) == list(range(1, len(hypotheses) + 1))
     supported = hypotheses[hypotheses["status"] == "supported"]
-    assert "iOS × Europe" in set(supported["dimension_value"])
-    assert "checkout_latency_ms" in set(supported["dimension"])
-    latency = hypotheses[hypotheses["dimension"] == "checkout_latency_ms"].iloc[0]["evidence"]
+    assert {"Kite × coast", "coast × Kite"} & set(supported["dimension_value"])
+    assert "scan_latency" in set(supported["dimension"])
+    latency = hypotheses[hypotheses["dimension"] == "scan_latency"].iloc[0]["evidence"]
     assert [e["test_name"].split(" (")[0] for e in latency] == [
         "Pearson Correlation", "Spearman Rank Correlation", "Covariate Shift",
     ]
     assert latency[2]["p_text"] == "< 0.0001"
-    leading = run.contributions.filter("dimension = 'device'").orderBy(F.desc(F.abs("contribution"))).first()
-    assert leading["segment_value"] == "iOS" and leading["is_primary"]
+    leading = run.contributions.filter("dimension = 'carrier'").orderBy(F.desc(F.abs("contribution"))).first()
+    assert leading["segment_value"] == "Kite" and leading["is_primary"]
     assert run.nodes.count() > 5 and run.edges.count() > 5
     assert run.scenarios.first()["recovery_pct"] > 0
     assert {r["section"] for r in run.lines.collect()} == {1, 2, 3, 4, 5}
@@ -61,13 +61,16 @@ def test_shop_investigation(spark, shop, tmp_path):
     created = F.lit("2024-11-01 12:00:00")
     saved_at = F.lit("2024-11-01 12:00:00").cast("timestamp")
     row = run.run_row("End to end", "shop", created, "date")
+    assert history.list().count() == 0 and history.load("RUN-1").count() == 0
+    assert history.delete(spark.createDataFrame([("RUN-1",)], "id string"), saved_at) == 0
     history.save(row, saved_at)
     history.save(row.withColumn("title", F.lit("Again")), saved_at + F.expr("interval 1 minute"))
     listed = history.list().collect()
     assert [(r["id"], r["title"]) for r in listed] == [("RUN-1", "Again")]
     loaded = history.load("RUN-1").first()
-    assert loaded["metric_col"] == "converted"
+    assert loaded["metric_col"] == "on_time"
     assert len(loaded["hypotheses"]) == len(hypotheses)
+    assert len(loaded["contributions"]) == run.contributions.count()
     assert history.load("missing").count() == 0
     ids = spark.createDataFrame([("RUN-1",), ("missing",)], "id string")
     assert history.delete(ids, saved_at + F.expr("interval 2 minutes")) == 1
@@ -78,12 +81,12 @@ def test_shop_investigation(spark, shop, tmp_path):
     assert spark.read.text(f"file:{tmp_path}/report").count() == run.lines.count()
 
 
-def test_churn_spike(spark):
-    df = tag(spark.createDataFrame(frames.churn()), F.col("date") >= "2024-05-18")
-    run = investigate(df, "churned", ["plan_tier", "industry"], ["api_latency_ms", "support_tickets", "monthly_mrr"])
+def test_stall_spike(spark):
+    df = tag(spark.createDataFrame(frames.turbines()), F.col("date") >= "2023-08-09")
+    run = investigate(df, "stalled", ["model", "site"], ["heat"])
     assert run.window.first()["direction"] == "spike"
     supported = run.hypotheses.filter("status = 'supported'").toPandas()
-    assert "Enterprise" in set(supported["dimension_value"])
-    assert "api_latency_ms" in set(supported["dimension"])
+    assert "C3" in set(supported["dimension_value"])
+    assert "heat" in set(supported["dimension"])
     worst = run.contributions.orderBy(F.desc(F.abs("contribution"))).first()
     assert worst["is_primary"]

@@ -20,7 +20,7 @@ from shiftlens.operators.scenarios import restore, top_scenarios
 
 def test_daily_step(spark):
     df = spark.createDataFrame(frames.daily_step())
-    found = detection.rolling_window(df, "date", "conversion", ["row_id"])
+    found = detection.rolling_window(df, "date", "yield_rate", ["row_id"])
     window = found.window.first()
     assert window["direction"] == "drop"
     assert window["relative_pct_change"] < -50.0
@@ -30,19 +30,19 @@ def test_daily_step(spark):
 
 def test_isolation_forest_finds_the_outliers(spark):
     df = spark.createDataFrame(frames.outliers())
-    points = isolation.forest_points(df, "metric", ["row_id"], ["latency"])
+    points = isolation.forest_points(df, "metric", ["row_id"], ["delay"])
     top = points.orderBy(F.desc("anomaly_score")).limit(3).toPandas()
-    assert set(top["row_id"]) == {200, 201, 202}
-    share = points.filter("is_anomaly").count() / 203
+    assert set(top["row_id"]) == {240, 241, 242}
+    share = points.filter("is_anomaly").count() / 243
     assert 0.04 <= share <= 0.06
     window = isolation.forest_window(points, "metric").first()
-    assert window["anomaly_count"] + window["baseline_count"] == 203
+    assert window["anomaly_count"] + window["baseline_count"] == 243
 
 
 def test_isolation_forest_ignores_partitioning(spark):
     df = spark.createDataFrame(frames.outliers())
     scores = [
-        {r["row_id"]: r["anomaly_score"] for r in isolation.forest_points(d, "metric", ["row_id"], ["latency"]).collect()}
+        {r["row_id"]: r["anomaly_score"] for r in isolation.forest_points(d, "metric", ["row_id"], ["delay"]).collect()}
         for d in (df.coalesce(1), df.repartition(9))
     ]
     assert scores[0] == scores[1]
@@ -56,32 +56,32 @@ def test_isolation_forest_matches_the_definition(spark):
 
 def test_few_rows_fall_back_to_halves(spark):
     df = spark.createDataFrame(frames.outliers().head(15))
-    assert isolation.forest_points(df, "metric", ["row_id"], ["latency"]) is None
+    assert isolation.forest_points(df, "metric", ["row_id"], ["delay"]) is None
     window = detection.fallback_window(df, ["row_id"], "metric").first()
     assert (window["baseline_count"], window["anomaly_count"]) == (7, 8)
     assert window["detection_method"] == "fallback_split"
 
 
 def test_rate_drop(spark):
-    df = tag(spark.createDataFrame(frames.rate_drop()), F.col("row_id") >= 200)
-    rows = {r["segment_value"]: r for r in dec.decompose(df, "conversion", ["device"]).collect()}
-    assert rows["iOS"]["is_primary"]
-    assert rows["iOS"]["pct_of_total"] == pytest.approx(100.0)
-    assert abs(rows["Android"]["pct_of_total"]) < 1e-6
-    assert not rows["Android"]["is_primary"]
+    df = tag(spark.createDataFrame(frames.rate_drop()), F.col("row_id") >= 150)
+    rows = {r["segment_value"]: r for r in dec.decompose(df, "rate", ["pump"]).collect()}
+    assert rows["north"]["is_primary"]
+    assert rows["north"]["pct_of_total"] == pytest.approx(100.0)
+    assert abs(rows["south"]["pct_of_total"]) < 1e-6
+    assert not rows["south"]["is_primary"]
 
 
 def test_types(spark):
     df = spark.createDataFrame(
         pd.DataFrame({
-            "revenue": [1.2, 3.4, 5.6, 7.8, 9.0] + [2.0] * 6,
-            "region": ["US", "EU", "APAC", "US", "EU"] + ["US"] * 6,
-            "created_at": ["2024-01-01", "2024-01-02", "2024-01-03"] + ["2024-01-04"] * 8,
-            "converted": [0, 1, 0, 1, 1, 0, 0, 1, 1, 0, 1],
+            "weight": [k * 0.75 for k in range(12)],
+            "basin": ["upper", "lower", "middle"] * 4,
+            "updated_on": [f"2022-11-{k + 3:02d}" for k in range(12)],
+            "open_valve": [k % 3 % 2 for k in range(12)],
         })
     )
-    types = {r["column"]: r["inferred_type"] for r in profiling.infer_types(df, profiling.value_counts(df), ["revenue"]).collect()}
-    assert types == {"revenue": "numerical", "region": "categorical", "created_at": "datetime", "converted": "boolean"}
+    types = {r["column"]: r["inferred_type"] for r in profiling.infer_types(df, profiling.value_counts(df), ["weight"]).collect()}
+    assert types == {"weight": "numerical", "basin": "categorical", "updated_on": "datetime", "open_valve": "boolean"}
 
 
 def test_iqr(spark):
@@ -95,19 +95,18 @@ def test_iqr(spark):
 
 
 def test_profile_candidates(spark):
-    random = np.random.default_rng(2)
     df = spark.createDataFrame(
         pd.DataFrame({
-            "order_id": [f"ID_{i}" for i in range(100)],
-            "date": pd.date_range("2024-01-01", periods=100),
-            "device": random.choice(["iOS", "Android"], 100),
-            "revenue": random.uniform(10, 100, 100),
+            "batch_key": [f"batch {i * 13 % 1009}" for i in range(130)],
+            "poured_day": pd.date_range("2021-06-05", periods=130),
+            "mould": [("oak", "ash", "elm")[i % 3] for i in range(130)],
+            "load_score": [5 + i * 29 % 83 / 7 for i in range(130)],
         })
     )
-    found = profiling.profile(df, ["order_id"])
-    assert found.names("metric") == ["revenue"]
-    assert found.names("date") == ["date"]
-    assert found.names("segment") == ["device"]
+    found = profiling.profile(df, ["batch_key"])
+    assert found.names("metric") == ["load_score"]
+    assert found.names("date") == ["poured_day"]
+    assert found.names("segment") == ["mould"]
 
 
 def two_groups(spark, base, anom):
@@ -116,7 +115,7 @@ def two_groups(spark, base, anom):
 
 
 def test_cohens_d(spark):
-    long = two_groups(spark, [10.0, 11.0, 12.0, 10.5, 11.5], [20.0, 21.0, 22.0, 20.5, 21.5])
+    long = two_groups(spark, [3.0, 3.4, 2.8, 3.3, 2.9, 3.1], [6.1, 6.6, 6.3, 5.9, 6.4, 6.2])
     assert st.effect_size(st.moments(long, ["h"])).first()["cohens_d"] > 5.0
 
 
@@ -145,13 +144,13 @@ def test_mix_shift(spark):
 # --- invariants --------------------------------------------------------------------
 
 
-def shop_fact(spark):
-    df = spark.createDataFrame(frames.shop())
-    return tag(df, F.col("date") >= "2024-10-14")
+def parcel_fact(spark):
+    df = spark.createDataFrame(frames.parcels())
+    return tag(df, F.col("date") >= "2023-03-11")
 
 
 def test_contributions_add_up(spark):
-    rows = dec.decompose(shop_fact(spark), "order_value", ["device", "region", "channel"]).toPandas()
+    rows = dec.decompose(parcel_fact(spark), "fee_amount", ["carrier", "region", "shift"]).toPandas()
     for _, part in rows.groupby("dimension"):
         assert part["contribution"].sum() == pytest.approx(part["total_delta"].iloc[0], abs=1e-9)
         assert part["share_base"].sum() == pytest.approx(1.0)
@@ -162,14 +161,14 @@ def test_contributions_add_up(spark):
 
 
 def test_full_restoration_of_every_segment(spark):
-    rows = restore(dec.decompose(shop_fact(spark), "converted", ["device"])).toPandas()
+    rows = restore(dec.decompose(parcel_fact(spark), "on_time", ["carrier"])).toPandas()
     assert np.allclose(rows["projected_metric"], rows["observed_metric"] + rows["restoration_delta"])
     assert (rows["ci_lower"] <= rows["projected_metric"]).all()
     assert (rows["projected_metric"] <= rows["ci_upper"]).all()
 
 
 def test_scenarios_keep_the_first_four(spark):
-    contribs = dec.decompose(shop_fact(spark), "converted", ["device", "region", "channel"])
+    contribs = dec.decompose(parcel_fact(spark), "on_time", ["carrier", "region", "shift"])
     rows = top_scenarios(contribs).orderBy("scenario_rank").toPandas()
     assert list(rows["scenario_rank"]) == [1, 2, 3, 4][: len(rows)]
     assert rows["contribution"].abs().is_monotonic_decreasing

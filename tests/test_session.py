@@ -40,10 +40,3 @@ def test_written_tables_lie_in_the_shared_folder(spark):
     assert rows.count() == 10
     assert all(f"{session.shared_folder(spark).removeprefix('file:')}/shiftlens/numbers-" in f for f in rows.inputFiles())
 
-
-def test_only_narrow_tables_are_spread(spark):
-    narrow = session.materialize(spark.range(1000).toDF("n").coalesce(1), "narrow")
-    spread = session.spread(narrow, "spread")
-    assert len(spread.inputFiles()) == spark.sparkContext.defaultParallelism
-    assert session.spread(spread, "again") is spread
-    assert sorted(r["n"] for r in spread.collect()) == list(range(1000))
