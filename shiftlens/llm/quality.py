@@ -22,27 +22,26 @@ from shiftlens.session import materialize
 
 SAMPLE_ROWS = 1000
 RUN = 3
-WORDS, TEXT = "_words", "_text"
 
 
-def n_words() -> Column:
-    return F.size(WORDS)
+def n_words(text: Column, w: Column) -> Column:
+    return F.size(w)
 
 
-def word_chars() -> Column:
-    return F.char_length(F.array_join(WORDS, ""))
+def word_chars(text: Column, w: Column) -> Column:
+    return F.char_length(F.array_join(w, ""))
 
 
-def n_symbols() -> Column:
-    return F.regexp_count(F.col(TEXT), F.lit(r"[#*$%&|<>]"))
+def n_symbols(text: Column, w: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
 
 
-def _lines() -> Column:
-    return F.filter(F.split(TEXT, "\n", -1), lambda line: line.rlike(SPACED_WORD))
+def _lines(text: Column, w: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda line: line.rlike(SPACED_WORD))
 
 
-def n_dup_lines() -> Column:
-    return let(_lines(), lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
+def n_dup_lines(text: Column, w: Column) -> Column:
+    return let(_lines(text, w), lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
 
 
 def _repeated_places(runs: Column) -> Column:
@@ -58,10 +57,10 @@ def _repeated_places(runs: Column) -> Column:
     return let(ordered, twins)
 
 
-def n_repeat_words() -> Column:
+def n_repeat_words(text: Column, w: Column) -> Column:
     """Words inside runs of three words that occur at least twice in the text."""
-    places = F.sequence(F.lit(0), F.size(WORDS) - RUN)
-    hashed = F.transform(places, lambda i: F.xxhash64(F.get(WORDS, i), F.get(WORDS, i + 1), F.get(WORDS, i + 2)))
+    places = F.sequence(F.lit(0), F.size(w) - RUN)
+    hashed = F.transform(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def covered(runs: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(-RUN).alias("last"))
@@ -72,28 +71,33 @@ def n_repeat_words() -> Column:
         )
         return F.when(F.size(F.array_distinct(runs)) < F.size(runs), total["n"]).otherwise(0)
 
-    return F.when(F.size(WORDS) <= RUN, 0).otherwise(let(hashed, covered))
+    return F.when(F.size(w) <= RUN, 0).otherwise(let(hashed, covered))
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    rejects: Callable[[], Column]
+    rejects: Callable[[Column, Column], Column]
 
 
-TOO_SHORT = Rule("too_short", lambda: n_words() < 50)
-REPETITIVE = Rule("repetitive", lambda: 100 * n_repeat_words() > 50 * n_words())
+TOO_SHORT = Rule("too_short", lambda t, w: n_words(t, w) < 50)
+REPETITIVE = Rule("repetitive", lambda t, w: 100 * n_repeat_words(t, w) > 50 * n_words(t, w))
 BASE = [TOO_SHORT, REPETITIVE]
 EXTRA = [
-    Rule("symbols", lambda: 10 * n_symbols() > n_words()),
-    Rule("capitals", lambda: 10 * F.regexp_count(F.col(TEXT), F.lit(r"\p{Lu}{3,}")) > 3 * n_words()),
-    Rule("repeated_lines", lambda: 2 * n_dup_lines() > F.size(_lines())),
-    Rule("word_length", lambda: ~(word_chars() / F.greatest(n_words(), F.lit(1))).between(2, 12)),
+    Rule("symbols", lambda t, w: 10 * n_symbols(t, w) > n_words(t, w)),
+    Rule("capitals", lambda t, w: 10 * F.regexp_count(t, F.lit(r"\p{Lu}{3,}")) > 3 * n_words(t, w)),
+    Rule("repeated_lines", lambda t, w: 2 * n_dup_lines(t, w) > F.size(_lines(t, w))),
+    Rule("word_length", lambda t, w: ~(word_chars(t, w) / F.greatest(n_words(t, w), F.lit(1))).between(2, 12)),
 ]
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(TEXT, F.coalesce("text", F.lit(""))).withColumn(WORDS, words(F.col("text"), SPACED_WORD))
+def of_text(body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the text and its words, which are found once per row.
+
+    They are bound as a lambda variable, as the optimizer would copy a column's
+    expression to each place that a filter names it.
+    """
+    return let(F.coalesce("text", F.lit("")), lambda t: let(words(t, SPACED_WORD), lambda w: body(t, w)))
 
 
 def ordered_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -102,27 +106,37 @@ def ordered_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_
     size, worth = sample.count(), {}
     for rule in rules:
         began = time.perf_counter()
-        rejected = with_words(sample).agg(F.count_if(rule.rejects()).alias("n")).first()["n"]
+        rejected = sample.agg(F.count_if(of_text(rule.rejects)).alias("n")).first()["n"]
         worth[rule.name] = (rejected / max(size, 1)) / (time.perf_counter() - began)
     return sorted(rules, key=lambda r: (-worth[r.name], r.name))
 
 
 def first_rejection(rules: list[Rule]) -> Column:
     """Name of the first rule that rejects, NULL if none does; later rules are not evaluated."""
-    cascade = F.when(F.lit(False), F.lit(None).cast("string"))
-    for rule in rules:
-        cascade = cascade.when(rule.rejects(), F.lit(rule.name))
-    return cascade
+
+    def cascade(t: Column, w: Column) -> Column:
+        verdict = F.when(F.lit(False), F.lit(None).cast("string"))
+        for rule in rules:
+            verdict = verdict.when(rule.rejects(t, w), F.lit(rule.name))
+        return verdict
+
+    return of_text(cascade)
+
+
+def base_features() -> Column:
+    """The counts that the rules are made of, as one struct of longs."""
+    counts = [n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words]
+    return of_text(lambda t, w: F.struct(*(f(t, w).cast("long").alias(f.__name__) for f in counts)))
 
 
 def verdicts(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents with ``_words``, ``_text`` and ``rejected_by``."""
+    """The documents with ``rejected_by`` and the struct ``features``."""
     order = ordered_rules(docs, rules, sample_rows)
-    return with_words(docs.drop("rejected_by")).withColumn("rejected_by", first_rejection(order))
+    named = docs.drop("rejected_by", "features").withColumn("features", base_features())
+    return named.withColumn("rejected_by", first_rejection(order))
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Documents that no rule rejects, with the input's columns."""
     order = ordered_rules(docs, rules or [*BASE, *EXTRA], sample_rows)
-    kept = with_words(docs).filter(first_rejection(order).isNull())
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.filter(first_rejection(order).isNull())

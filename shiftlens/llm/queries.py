@@ -57,12 +57,7 @@ def op1_decontamination(spark, sf_dir):
 
 @query
 def op4_quality_rules(spark, sf_dir):
-    judged = quality.verdicts(documents(spark, sf_dir), quality.EXTRA).select(
-        "doc_id", "rejected_by", quality.n_words().cast("long").alias("n_words"),
-        quality.word_chars().cast("long").alias("word_chars"), quality.n_symbols().cast("long").alias("n_symbols"),
-        quality.n_dup_lines().cast("long").alias("n_dup_lines"),
-        quality.n_repeat_words().cast("long").alias("n_repeat_words"),
-    )
+    judged = quality.verdicts(documents(spark, sf_dir), quality.EXTRA).select("doc_id", "rejected_by", "features.*")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = judged.withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("rejected_by")
