@@ -201,16 +201,16 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs.filter("doc_id < 5")).count() == 6
 
 
-def test_unknown_formats_are_learned(spark):
+def test_unknown_prefix_of_a_known_format(spark):
     draw = random.Random(4)
-    made = ["".join(draw.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
-    rows = [(i, f"{prose(40, i)} token = {v} {prose(40, i + 100)}") for i, v in enumerate(made)]
-    odd = "".join(draw.choice("0123456789ABCDEFabcdef") for _ in range(36))
-    rows.append((900, prose(30, 901) + " key-" + odd + " " + "averyveryverylongordinaryword " + prose(30, 902)))
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    made = ["".join(draw.choice(signs) for _ in range(16)) for _ in range(81)]
+    rows = [(i, f"{prose(40, i)} AKIA{v} {prose(40, i + 100)}") for i, v in enumerate(made[:80])]
+    odd = "ASIA" + made[80]
+    rows.append((900, f"{prose(30, 901)} {odd} averyveryverylongordinaryword {prose(30, 902)}"))
     got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [s["kind"] for s in got[900]] == ["format"]
-    text = rows[-1][1]
-    assert odd in text[got[900][0]["start"] : got[900][0]["end"]]
+    assert [(s["kind"], rows[-1][1][s["start"] : s["end"]]) for s in got[900]] == [("format", odd)]
+    assert all([s["kind"] for s in got[i]] == ["access"] for i in range(80))
 
 
 def test_repeats(spark, docs, none):
