@@ -8,13 +8,11 @@ bucket. Links are confirmed on full shingle sets.
 
 Groups are contracted while they are linked. Equal sets are one node. In a few
 rounds each bucket proposes one of its nodes as a centre to all the others, which is
-linear in its size; nodes that are connected by then are not compared again. At last
-the pairs from different components that share buckets of two chunks are tried, after
-a check of sizes and signatures, so nothing is capped. Two chunks keep texts apart that
-only share a common passage. A pair with a similarity of 0.75 shares buckets of two
-chunks but with probability 4e-6, which is less for any higher similarity. Shingles that
-no other such node has bound what two nodes can share, which spares most of the pairs
-inside a large group whose members differ too much.
+linear in its size; nodes that are connected by then are not compared again. At last all
+pairs from different components that share a bucket are tried, so nothing is capped:
+shingles that no other open node has bound what a node can share, which spares most
+nodes; the others are compared block by block, by a product of incidence matrices over
+their shingles, and only links leave a task, one per two components of a block.
 
 NULL, empty and blank texts have no shingles and link with nothing. Texts with fewer
 than five words have one shingle, all their words. Equal rows are equal copies.
@@ -31,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.llm.components import components
@@ -44,6 +42,8 @@ SLOTS = CHUNKS * CHUNK
 LEAST_MATCHES = 21
 CENTRE_ROUNDS = 3
 BROADCAST_ROWS = 500_000
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 300_000
+SHINGLES_AT_ONCE = 4096
 MOST_WORDS = 1_000_000
 SKETCH = "doc_id long, _key_a long, _key_b long, n_shingles long, digest binary, signature binary"
 
@@ -205,34 +205,89 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(mixed.select("bucket"), "bucket")
 
 
-def _pairs_of_two_chunks(unlinked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs from different components that meet in buckets of two chunks."""
-    own = unlinked.groupBy("node", "component").agg(F.collect_set("bucket").alias("buckets"))
-
-    def chunk(bucket: Column) -> Column:
-        return F.floor(F.shiftrightunsigned(bucket, 48) / len(list(combinations(range(CHUNK), ERRORS))))
-
-    twos = F.flatten(F.transform(
-        "buckets",
-        lambda x: F.transform(F.filter("buckets", lambda y: chunk(y) > chunk(x)), lambda y: F.xxhash64(x, y)),
-    ))
-    sub = own.select(F.explode(twos).alias("bucket"), "node", "component")
-    sub = materialize(_open(materialize(sub, "near-twos")), "near-open-twos")
-    sub = materialize(sub.join(_slack(sub, nodes, docs), "node"), "near-bounded")
-    groups = sub.groupBy("bucket", "component").agg(F.max("slack").alias("slack"), F.min("n").alias("n"))
-    groups = materialize(groups, "near-groups")
-    other = groups.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("component", "slack", "n")))
-    near = (F.col("slack") >= 3 * F.col("n_2")) & (F.col("slack_2") >= 3 * F.col("n"))
-    left = groups.join(other, "bucket").filter((F.col("component") < F.col("component_2")) & near)
-    left = left.select("bucket", "component", "component_2", F.col("slack_2").alias("most_2"), F.col("n_2").alias("least_2"))
-    one = left.join(sub, ["bucket", "component"]).filter("slack >= 3 * least_2 AND most_2 >= 3 * n")
-    two = sub.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("component", "node", "slack", "n")))
-    both = one.join(two, ["bucket", "component_2"]).filter(near)
-    return both.select("node", F.col("node_2").alias("other"))
+def _last_links(unlinked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket, one per two components of a block.
 
+    A bucket is cut into blocks of bounded bytes, and two blocks meet in one run of rows.
+    """
+    bounded = _bounds(unlinked, nodes, docs)
+    sub = unlinked.join(bounded.select("node", "n", "slack"), "node")
+    least = sub.groupBy("bucket").agg(F.min("n").alias("least"))
+    sub = materialize(sub.join(least, "bucket").filter("slack >= 3 * least").drop("least", "slack"), "near-bounded")
+    sub = materialize(_open(sub), "near-last")
+    many = F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)
+    blocks = sub.groupBy("bucket").agg(F.ceil(many).cast("int").alias("blocks"))
+    placed = sub.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("bucket", "node", "component", "n", "block", other)
+    placed = placed.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other")
+    run = ["bucket", "p", "q"]
+    rows = placed.join(bounded.select("node", "own"), "node").repartition(*run).sortWithinPartitions(*run, "node")
 
-def _slack(sub: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, n, slack): a bound from the shingles that a node shares with any other node of ``sub``.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, run):
+            n, component = (group[c].to_numpy() for c in ("n", "component"))
+            across = group["p"][0].as_py() != group["q"][0].as_py()
+            second = (group["block"].to_numpy() == group["q"][0].as_py()) if across else None
+            left, right = _linked(group["own"].combine_chunks(), n, component, second)
+            node = group["node"].to_numpy()
+            x, y = node[left], node[right]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    columns = rows.select(*run, "node", "component", "n", "block", "own")
+    return materialize(columns.mapInArrow(work, "a long, b long").distinct(), "near-links")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Rows that follow each other and agree in ``by``, also across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in by], axis=1)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)] if len(keys) else []
+        for start, end in zip(starts, [*starts[1:], len(keys)]):
+            key = tuple(keys[start])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linked(own: pa.ListArray, n: np.ndarray, component: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked rows, one link per two components; with ``second`` only across both sides.
+
+    Intersections are a product of incidence matrices, taken some shingles at a time.
+    """
+    left, right = (np.arange(len(n)),) * 2 if second is None else (np.flatnonzero(~second), np.flatnonzero(second))
+    sizes = np.diff(own.offsets.to_numpy())
+    row = np.repeat(np.arange(len(n)), sizes)
+    _, code, count = np.unique(own.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    often = count[code] > 1
+    row, code = row[often], code[often]
+    reach = 7 * np.bincount(row, minlength=len(n)) - 3 * n >= 3 * n.min()
+    left, right = left[reach[left]], right[reach[right]]
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], np.cumsum(np.diff(code[order], prepend=code[order][:1]) != 0)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(code[-1]) + 1, SHINGLES_AT_ONCE):
+        start, end = np.searchsorted(code, [at, at + SHINGLES_AT_ONCE])
+        has = np.zeros((len(n), int(code[end - 1]) + 1 - at), np.float32)
+        has[row[start:end], code[start:end] - at] = 1
+        both += has[left] @ has[right].T
+    x, y = np.nonzero((7 * both >= 3 * (n[left][:, None] + n[right])) & (component[left][:, None] != component[right]))
+    left, right = left[x], right[y]
+    two = np.sort(np.stack([component[left], component[right]], axis=1), axis=1)
+    first = np.unique(two, axis=0, return_index=True)[1]
+    return left[first], right[first]
+
+
+def _bounds(sub: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, n, own, slack): the shingles that a node shares with any other node of ``sub``.
 
     With s such shingles the intersection with y is at most s, and a similarity of 0.75
     needs 7 * intersection >= 3 * (n + n_y). So it needs slack = 7 * s - 3 * n >= 3 * n_y.
@@ -245,11 +300,12 @@ def _slack(sub: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             own = [np.unique(shingle_hashes(t.as_py(), ids, factors)).view(np.int64) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
 
-    single = sets.mapInArrow(work, "node long, own array<long>").select("node", F.explode("own").alias("shingle")).distinct()
+    single = sets.mapInArrow(work, "node long, own array<long>").select("node", F.explode("own").alias("shingle"))
     single = materialize(single, "near-shingles")
     often = single.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("shingle")
-    shared = single.join(often, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
-    return nodes.select("node", "n").join(shared, "node").select("node", "n", (7 * F.col("s") - 3 * F.col("n")).alias("slack"))
+    shared = single.join(often, "shingle").groupBy("node").agg(F.collect_list("shingle").alias("own"))
+    slack = (7 * F.size("own") - 3 * F.col("n")).alias("slack")
+    return materialize(nodes.select("node", "n").join(shared, "node").select("node", "n", "own", slack), "near-bounds")
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -278,15 +334,15 @@ def link_groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             centres = centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
             centres = materialize(centres, "near-centres")
             pairs = unlinked.join(centres, "bucket").filter("own != component").select("node", F.col("centre").alias("other"))
+            pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+            tried = tried.unionByName(pairs)
+            found = confirmed(pairs, nodes, docs)
         else:
-            pairs = _pairs_of_two_chunks(unlinked, nodes, docs)
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = tried.unionByName(pairs)
-        found = confirmed(pairs, nodes, docs)
+            found = _last_links(unlinked, nodes, docs)
         links = links.unionByName(found)
-        if turn < CENTRE_ROUNDS or not found.isEmpty():
-            labels = labels if found.isEmpty() else components(links)
+        if not found.isEmpty():
+            labels = components(links)
     return labels
 
 

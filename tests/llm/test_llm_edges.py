@@ -132,6 +132,23 @@ def test_near_duplicates(spark, docs, none):
     assert near_duplicates.near_duplicates(none).count() == 0 and near_duplicates.keep_one(none).count() == 0
 
 
+def test_near_copies_of_a_large_group_by_blocks(spark, monkeypatch):
+    """Many copies close to the threshold on both sides; blocks of a few nodes, no centre finds links first."""
+    base, draw, rows = prose(120, 31).split(), random.Random(8), []
+    for i in range(120):
+        copy = list(base)
+        for at in draw.sample(range(120), draw.randrange(1, 6)):
+            copy[at] = f"new{draw.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    for limit, shingles in (("BLOCK_NODES", 9), ("BLOCK_SHINGLES", 700), ("SHINGLES_AT_ONCE", 50)):
+        monkeypatch.setattr(near_duplicates, limit, shingles)
+    monkeypatch.setattr(near_duplicates, "CENTRE_ROUNDS", 0)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute.near_duplicates(rows)
+    assert 1 < sum(kept for *_, kept in want) < 120
+    same(got.select("doc_id", "n_shingles", "component_id", "kept").collect(), want)
+
+
 def test_near_copies_in_a_chain(spark):
     base = [f"w{k}" for k in range(200)]
     rows = [(i, " ".join([*base[i * 12 :], *(f"v{k}" for k in range(i * 12))])) for i in range(9)]
