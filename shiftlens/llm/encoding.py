@@ -42,31 +42,66 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark_id,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        (self.mark_id,) = self._ids(MARK)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends_word[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
+        self.words_end = bool(suffix)
         self._forget()
 
+    def _ids(self, text: str) -> np.ndarray:
+        """Ids alone; the library's call for this skips the places of the tokens in the text."""
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, np.uint32)
+
     def _forget(self) -> None:
-        self.place: dict[str, int] = {"": 0}
+        self.known = pa.array([""], pa.large_string())
         self.start = np.zeros(1, np.int64)
         self.size = np.zeros(1, np.int64)
         self.store = np.zeros(0, np.uint32)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """One call for all new chunks, with a mark between them whose id no chunk holds."""
-        odd = [c for c in chunks if MARK in c]
-        plain = [c for c in chunks if MARK not in c] if odd else chunks
-        joined = f" {MARK} ".join([*plain, ""])
-        flat = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.uint32)
-        marks = np.flatnonzero(flat == self.mark_id)
-        size = np.diff(np.concatenate([[-1], marks])) - 1
-        rest = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in odd]
-        size = np.concatenate([size, [len(x) for x in rest]]).astype(np.int64)
-        flat = np.concatenate([flat[flat != self.mark_id], *(np.array(x, np.uint32) for x in rest)])
-        first, known = len(self.store), len(self.place)
-        self.place.update(zip([*plain, *odd], range(known, known + len(chunks))))
-        self.start = np.concatenate([self.start, first + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.store = np.concatenate([self.store, flat])
+    def _places(self, chunks: pa.LargeStringArray) -> np.ndarray:
+        """Place of each different chunk among the known ones; those not met before are learned."""
+        if len(self.known) > MOST_CHUNKS:
+            self._forget()
+        place = pc.fill_null(pc.index_in(chunks, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = chunks.take(pa.array(new))
+            word = pc.and_(pc.ascii_is_alpha(fresh), self.words_end).to_numpy(zero_copy_only=False)
+            marked = pc.match_substring(fresh, MARK).to_numpy(zero_copy_only=False)
+            kind = np.where(word, 0, np.where(marked, 2, 1))
+            order = np.argsort(kind, kind="stable")
+            place[new[order]] = len(self.known) + np.arange(len(new))
+            self._learn(*(fresh.take(pa.array(np.flatnonzero(kind == k))) for k in range(3)))
+        return place
+
+    def _learn(self, words: pa.Array, plain: pa.Array, odd: pa.Array) -> None:
+        """Few calls for all new chunks.
+
+        A chunk of ASCII letters is one word, whose last id alone carries the end of
+        word where the tokenizer has one. Between the others stands a mark whose id no
+        chunk holds; chunks that hold the mark go one by one.
+        """
+        flat, size = [self.store], [self.size]
+        if len(words):
+            ids = self._ids(" ".join(words.to_pylist()))
+            flat.append(ids)
+            size.append(np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1))
+        if len(plain):
+            ids = self._ids(f" {MARK} ".join([*plain.to_pylist(), ""]))
+            flat.append(ids[ids != self.mark_id])
+            size.append(np.diff(np.flatnonzero(ids == self.mark_id), prepend=-1) - 1)
+        for c in odd.to_pylist():
+            flat.append(self._ids(c))
+            size.append(np.array([len(flat[-1])]))
+        self.known = pa.concat_arrays([self.known, words, plain, odd])
+        self.store, self.size = np.concatenate(flat), np.concatenate(size)
+        if len(self.size) != len(self.known):
+            raise ValueError("the tokenizer does not cut texts at white space")
+        self.start = np.cumsum(self.size) - self.size
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row with ``end_id`` after each text, and the ids per text; NULL counts as empty."""
@@ -74,9 +109,9 @@ class ChunkEncoder:
         special = pc.match_substring(texts, "<|")
         flat, lengths = self._encode_chunks(pc.if_else(special, "", texts), end_id)
         for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
-            ids = self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids
+            ids = self._ids(texts[k].as_py())
             at = int(lengths[:k].sum())
-            flat = np.concatenate([flat[:at], np.array(ids, np.uint32), flat[at:]])
+            flat = np.concatenate([flat[:at], ids, flat[at:]])
             lengths[k] += len(ids)
         return flat, lengths
 
@@ -84,14 +119,7 @@ class ChunkEncoder:
         parted = pc.replace_substring_regex(lower_ascii(texts), PARTED, r"\1 \2\3")
         parts = pc.ascii_split_whitespace(parted)
         chunks = parts.flatten().dictionary_encode()
-        words = chunks.dictionary.to_pylist()
-        if len(self.place) > MOST_CHUNKS:
-            self._forget()
-        missing = [w for w in words if w not in self.place]
-        if missing:
-            self._learn(missing)
-        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        index = place[chunks.indices.to_numpy()]
+        index = self._places(chunks.dictionary)[chunks.indices.to_numpy()]
         size = self.size[index]
         ends = np.concatenate([[0], np.cumsum(size)])
         gather = np.repeat(self.start[index] - ends[:-1], size) + np.arange(ends[-1])

@@ -11,6 +11,7 @@ import struct
 import sys
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark import cloudpickle
 
@@ -19,6 +20,12 @@ HEADER = "<4sIII"
 PLANE = "<II"
 
 
+def _chosen(ids: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    """The ids whose bit of ``plane`` is set; Arrow reads such planes as they are."""
+    mask = pa.Array.from_buffers(pa.bool_(), len(ids), [None, pa.py_buffer(plane)])
+    return pa.array(ids).filter(mask).to_numpy()
+
+
 class WaveletMatrix:
     def __init__(self, n: int, packed: list[np.ndarray], zeros: list[int]):
         self.n, self.packed, self.zeros = n, packed, zeros
@@ -30,11 +37,11 @@ class WaveletMatrix:
         ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         packed, zeros = [], []
         for b in range(bits - 1, -1, -1):
-            ones = (ids & ids.dtype.type(1 << b)).astype(bool)
-            packed.append(np.packbits(ones, bitorder="little"))
-            low = ids[~ones]
+            plane = np.packbits(ids & ids.dtype.type(1 << b) != 0, bitorder="little")
+            low, high = _chosen(ids, ~plane), _chosen(ids, plane)
+            packed.append(plane)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[ones]])
+            ids = np.concatenate([low, high])
         return cls(len(ids), packed, zeros)
 
     def ids(self) -> np.ndarray:
