@@ -11,15 +11,20 @@ NUMERIC_TYPES = (
 )
 
 
+def named(name: str) -> Column:
+    """The column by its whole name, which may hold a dot."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def number(col: Column | str) -> Column:
     """Double value with NaN mapped to NULL, as missing values are one thing here."""
-    value = (F.col(col) if isinstance(col, str) else col).cast("double")
+    value = (named(col) if isinstance(col, str) else col).cast("double")
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def number_or_null(col: Column | str) -> Column:
     """Number parsed from any type; text that is no number becomes NULL."""
-    value = (F.col(col) if isinstance(col, str) else col).try_cast("double")
+    value = (named(col) if isinstance(col, str) else col).try_cast("double")
     return F.nanvl(value, F.lit(None).cast("double"))
 
 

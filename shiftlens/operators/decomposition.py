@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.functions.numeric import number, ratio
+from shiftlens.functions.numeric import named, number, ratio
 from shiftlens.operators.cohorts import PERIOD, cohort_totals, in_anomaly, in_baseline
 from shiftlens.operators.statistics import moment_columns
 
@@ -19,7 +19,7 @@ WHOLE = "(all)"
 
 
 def joint_column(first: str, second: str) -> Column:
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in (first, second)]
+    parts = [F.coalesce(named(c).cast("string"), F.lit("nan")) for c in (first, second)]
     return F.concat_ws(JOINT, *parts)
 
 
@@ -30,8 +30,11 @@ def long_segments(
 
     ``joint`` adds the crossing of the first two dimensions as one more dimension,
     ``whole`` a dimension with a single segment, which carries the cohort totals.
+    The column ``period`` is the cohort and cannot be a dimension.
     """
-    columns = [F.col(d).cast("string").alias(d) for d in dimensions]
+    if PERIOD in dimensions:
+        raise ValueError(f"the column {PERIOD!r} holds the cohort; rename the dimension")
+    columns = [named(d).cast("string").alias(d) for d in dimensions]
     listed = list(dimensions)
     if joint and len(dimensions) >= 2:
         listed.append(JOINT.join(dimensions[:2]))
@@ -41,8 +44,9 @@ def long_segments(
         columns.append(F.lit(WHOLE).alias(WHOLE))
     return (
         tagged.filter(F.col(PERIOD).isNotNull())
-        .select(PERIOD, number(metric).alias("x"), *columns)
-        .unpivot([PERIOD, "x"], [F.col(f"`{c}`") for c in listed], "dimension", "segment_value")
+        .select(F.col(PERIOD).alias("_period"), number(metric).alias("_x"), *columns)
+        .unpivot(["_period", "_x"], [named(c) for c in listed], "dimension", "segment_value")
+        .withColumnsRenamed({"_period": PERIOD, "_x": "x"})
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.functions.numeric import number
+from shiftlens.functions.numeric import named, number
 from shiftlens.functions.ordering import BUCKET, bucket_of, column_split_points
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import PERIOD
@@ -83,10 +83,10 @@ def segment_tests(contribs: DataFrame, long: DataFrame, k: int = TOP_SEGMENTS) -
 
 
 def segment_hypotheses(
-    contribs: DataFrame, long: DataFrame, dimensions: list[str], run_id: str, metric: str
+    contribs: DataFrame, long: DataFrame, dimensions: list[str], run_id: str, metric: str, k: int = TOP_SEGMENTS
 ) -> DataFrame:
     subject = F.concat(F.lit(f"{metric} in "), "dimension", F.lit("="), "segment_value")
-    tested = segment_tests(contribs, long).withColumn("dimension_value", F.col("segment_value"))
+    tested = segment_tests(contribs, long, k).withColumn("dimension_value", F.col("segment_value"))
     table = (
         tested.withColumn("title", F.format_string("Segment %s = '%s' drives the change", "dimension", "segment_value"))
         .withColumn(
@@ -149,9 +149,9 @@ def mix_hypotheses(segments: DataFrame, dimensions: list[str], run_id: str, metr
 def long_covariates(tagged: DataFrame, metric: str, covariates: list[str]) -> DataFrame:
     """(period, y, covariate, x) over the whole table, rows outside both cohorts included."""
     columns = [number(c).alias(c) for c in covariates]
-    return tagged.select(PERIOD, number(metric).alias("y"), *columns).unpivot(
-        [PERIOD, "y"], covariates, "covariate", "x"
-    )
+    wide = tagged.select(F.col(PERIOD).alias("_period"), number(metric).alias("_y"), *columns)
+    long = wide.unpivot(["_period", "_y"], [named(c) for c in covariates], "covariate", "x")
+    return long.withColumnsRenamed({"_period": PERIOD, "_y": "y"})
 
 
 def placed_covariates(tagged: DataFrame, metric: str, covariates: list[str]) -> DataFrame:
@@ -160,7 +160,7 @@ def placed_covariates(tagged: DataFrame, metric: str, covariates: list[str]) ->
     The bucket search is the dearest step and five passes use its outcome, so the
     numbers and their buckets are written down once, one row per fact.
     """
-    tagged = tagged.select(PERIOD, metric, *covariates)
+    tagged = tagged.select(PERIOD, *(named(c) for c in [metric, *covariates]))
     cuts = column_split_points(tagged, {c: number(c) for c in [metric, *covariates]})
     wide = {PERIOD: F.col(PERIOD)}
     for i, name in enumerate([metric, *covariates]):
@@ -190,7 +190,7 @@ def covariate_shift(long: DataFrame, moments: DataFrame) -> DataFrame:
 
 def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> DataFrame:
     """Correlations, shift and verdict per covariate; moments and pairs in one aggregate."""
-    tagged = tagged.select(PERIOD, metric, *covariates)
+    tagged = tagged.select(PERIOD, *(named(c) for c in [metric, *covariates]))
     long = long_covariates(tagged, metric, covariates)
     table = long.groupBy("covariate").agg(*st.moment_columns(), *st.pair_columns())
     table = materialize(table, "covariates")
@@ -261,10 +261,10 @@ def covariate_hypotheses(
     return _shaped(table, "COV", "covariate_drift", run_id, metric, [F.lit(1), _position("covariate", covariates)])
 
 
-def joint_tests(segments: DataFrame, long: DataFrame, joint: str) -> DataFrame:
+def joint_tests(segments: DataFrame, long: DataFrame, joint: str, k: int = TOP_JOINT) -> DataFrame:
     """Two-sample test of the crossed cohorts with the most anomaly rows."""
     crossed = segments.filter((F.col("dimension") == joint) & (F.col("volume_anom") > 0))
-    first = crossed.orderBy(F.desc("volume_anom"), "segment_value").limit(TOP_JOINT)
+    first = crossed.orderBy(F.desc("volume_anom"), "segment_value").limit(k)
     order = Window.orderBy(F.desc("volume_anom"), "segment_value")
     first = first.withColumn("volume_rank", F.row_number().over(order))
     enough = first.filter((F.col("volume_base") >= 8) & (F.col("volume_anom") >= 8))
@@ -273,10 +273,10 @@ def joint_tests(segments: DataFrame, long: DataFrame, joint: str) -> DataFrame:
 
 
 def joint_hypotheses(
-    segments: DataFrame, long: DataFrame, dimensions: list[str], run_id: str, metric: str
+    segments: DataFrame, long: DataFrame, dimensions: list[str], run_id: str, metric: str, k: int = TOP_JOINT
 ) -> DataFrame:
     joint = JOINT.join(dimensions[:2])
-    tested = joint_tests(segments, long, joint).withColumn("dimension_value", F.col("segment_value"))
+    tested = joint_tests(segments, long, joint, k).withColumn("dimension_value", F.col("segment_value"))
     subject = F.concat(F.lit(f"{metric} in "), "segment_value")
     table = (
         tested.withColumn("title", F.format_string("Crossed cohort '%s' changed", "segment_value"))

@@ -9,13 +9,14 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shiftlens.functions.numeric import named
 from shiftlens.operators import decomposition as dec
 from shiftlens.operators import hypotheses as hyp
 from shiftlens.operators import isolation, report
 from shiftlens.operators.cohorts import tag, window_from_totals
 from shiftlens.operators.detection import Detected, fallback, rolling_window
 from shiftlens.operators.evidence import graph_edges, graph_nodes
-from shiftlens.operators.scenarios import remediation_curve, top_scenarios
+from shiftlens.operators.scenarios import MAX_SCENARIOS, remediation_curve, top_scenarios
 from shiftlens.session import materialize
 
 
@@ -86,6 +87,10 @@ class Investigation:
             packed = rows.select(F.struct(*order, *rows.columns).alias("r"))
             return packed.agg(F.array_sort(F.collect_list("r")).alias("rows")).scalar()
 
+        def label(name: str) -> Column:
+            known = F.col(name) if name in self.window.columns else F.lit(None)
+            return known.cast("string").alias(name)
+
         impact = [(-F.abs("contribution")).alias("_o")]
         return self.window.select(
             F.lit(self.run_id).alias("id"),
@@ -97,6 +102,7 @@ class Investigation:
             F.lit(date_col).cast("string").alias("date_col"),
             F.col("relative_pct_change").alias("pct_change"),
             "direction", "detection_method", "baseline_mean", "anomaly_mean", "absolute_delta",
+            "flagged_points", label("baseline_label"), label("anomaly_label"),
             listed(self.hypotheses, [F.col("rank").alias("_o")]).alias("hypotheses"),
             listed(self.contributions, impact).alias("contributions"),
             listed(self.scenarios, [F.col("scenario_rank").alias("_o")]).alias("scenarios"),
@@ -111,16 +117,20 @@ def investigate(
     covariates: list[str],
     run_id: str = "run",
     window: DataFrame | None = None,
+    top_segments: int = hyp.TOP_SEGMENTS,
+    top_joint: int = hyp.TOP_JOINT,
+    max_scenarios: int = MAX_SCENARIOS,
 ) -> Investigation:
     """Run all hypothesis families over a table with a ``period`` column.
 
     The fact table is read once for all dimensions, their crossing and the totals,
     and for the covariates once for moments, once for split points and once for
     ranks; the rank test of a hypothesis reads it again only if a cohort is skewed.
+    ``top_segments`` segments per dimension and ``top_joint`` crossed cohorts are tested.
     """
     dimensions = [d for d in dimensions if d != metric]
     covariates = [c for c in covariates if c != metric]
-    needed = tagged.select("period", *dict.fromkeys([metric, *dimensions, *covariates]))
+    needed = tagged.select("period", *(named(c) for c in dict.fromkeys([metric, *dimensions, *covariates])))
     facts = needed
 
     def drift() -> list[DataFrame]:
@@ -139,15 +149,15 @@ def investigate(
         plain = segments.filter(F.col("dimension").isin(dimensions))
         contributions = materialize(dec.contributions(plain, totals), "contributions")
         families = [
-            hyp.segment_hypotheses(contributions, long, dimensions, run_id, metric),
+            hyp.segment_hypotheses(contributions, long, dimensions, run_id, metric, top_segments),
             hyp.mix_hypotheses(plain, dimensions, run_id, metric),
         ]
         if len(dimensions) >= 2:
-            families.append(hyp.joint_hypotheses(segments, long, dimensions, run_id, metric))
+            families.append(hyp.joint_hypotheses(segments, long, dimensions, run_id, metric, top_joint))
         if window is None:
             window = window_from_totals(totals, metric, "user_specified")
         window = materialize(window, "window")
-        scenarios = materialize(top_scenarios(contributions), "scenarios")
+        scenarios = materialize(top_scenarios(contributions, max_scenarios), "scenarios")
         families.extend(drift_jobs.result())
     hypotheses = materialize(hyp.rank_hypotheses(families), "hypotheses")
     return Investigation(

@@ -15,6 +15,7 @@ from shiftlens.operators import detection
 from shiftlens.operators import hypotheses as hyp
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import tag, tag_from, window_summary
+from shiftlens.plans.investigation import investigate
 
 
 def test_null_dates_are_in_neither_cohort(spark):
@@ -140,3 +141,27 @@ def test_flat_series_uses_the_floor(spark):
 def test_short_series_has_no_points(spark):
     frame = pd.DataFrame({"day": pd.date_range("2024-01-01", periods=4).date, "metric_mean": [3.0, 4.0, 9.0, 1.0]})
     assert detection.score_series(spark.createDataFrame(frame), "day", "metric_mean").count() == 0
+
+
+def test_column_names_with_dots_and_internal_names(spark):
+    data = [(k, "ab"[k % 2], "pq"[k // 2 % 2], float(k % 5 + (k >= 30 and k % 2) * 4), float(k * 7 % 11)) for k in range(60)]
+    df = spark.createDataFrame(data, "id int, `user.device` string, x string, `the.metric` double, y double")
+    run = investigate(tag(df, F.col("id") >= 30), "the.metric", ["user.device", "x"], ["y"], "RUN-2")
+    assert {r["dimension"] for r in run.contributions.collect()} == {"user.device", "x"}
+    first = run.contributions.orderBy(F.desc(F.abs("contribution"))).first()
+    assert (first["dimension"], first["segment_value"]) == ("user.device", "b")
+    assert run.hypotheses.filter("dimension = 'y'").count() == 1
+
+
+def test_the_cohort_column_is_no_dimension(spark):
+    df = tag(spark.createDataFrame([(1, "a", 1.0)], "id int, seg string, m double"), F.col("id") >= 1)
+    with pytest.raises(ValueError, match="period"):
+        dec.decompose(df, "m", ["seg", "period"])
+
+
+def test_limits_are_arguments(spark):
+    data = [(k, f"s{k % 8}", float(k % 8 * (k >= 200) + k % 3)) for k in range(400)]
+    df = tag(spark.createDataFrame(data, "id int, seg string, m double"), F.col("id") >= 200)
+    run = investigate(df, "m", ["seg"], [], top_segments=8, max_scenarios=1)
+    assert run.hypotheses.filter("family = 'segment_performance'").count() == 8
+    assert run.scenarios.select("scenario_rank").distinct().count() == 1
