@@ -6,6 +6,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from shiftlens.llm import (
     decontamination, licenses, near_duplicates, packing, quality, repeats, secrets, sharding, surrogates, token_files, wavelet,
 )
 from shiftlens.llm import queries as q
+from shiftlens.llm.encoding import ChunkEncoder
 from shiftlens.session import new_table_path
 
 SCHEMA = "doc_id long, text string, n_words int, spans string, shard int, node int, rows string, _x string"
@@ -277,3 +279,16 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
     near = spark.createDataFrame([(1, "This work is Licensed under the GNU general public license version 3!"), (2, "All rights reserved.")], "doc_id int, text string")
     assert [[x["name"] for x in r["licenses"]] for r in licenses.scan(near).orderBy("doc_id").collect()][0][0] == "GPL-3.0"
+
+
+def test_chunks_give_the_ids_of_whole_texts():
+    texts = [
+        "a\x00b c", "don't it's 'em", "", None, "Ünï Ñandú x.", "hello. World, 12 a.b <|endoftext|> z",
+        "ſt ǅ K Å İI", "a b c é", "startoftext endoftext", "\x00", " \x00 a \x00",
+    ]
+    coder = ChunkEncoder(q.tokenizer_path())
+    want = [[*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for _ in range(2):
+        ids, lengths = coder.encode(pa.array(texts), 1)
+        assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(x) for x in want]
+    assert not len(coder.encode(pa.array([], pa.string()), 1)[0])
