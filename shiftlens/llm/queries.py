@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import decontamination, licenses, near_duplicates, packing, quality, repeats, secrets, sharding, surrogates, token_files
+from shiftlens.llm import (
+    chat, decontamination, licenses, near_duplicates, packing, quality, repeats, secrets, sharding, surrogates, token_files, whitening,
+)
 from shiftlens.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +117,35 @@ def op2_licenses(spark, sf_dir):
         "doc_id", F.size("licenses").cast("long").alias("n_matches"), best["name"].alias("license"),
         F.round(best["dice"], 6).alias("dice"), best["unit"].cast("long").alias("unit"),
     )
+
+
+STREAMED = 512
+CONTROL_CHAT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def chat_log(conversations: DataFrame) -> DataFrame:
+    """Each row as the events that stream it: an opening and deltas of ``STREAMED`` characters.
+
+    Rows of one turn follow by role and text; equal rows are messages of their own.
+    """
+    filled = conversations.select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
+    tie = F.sha2(F.concat_ws("\x00", "role", "text"), 256)
+    named = filled.withColumn("message", F.struct("turn", tie.alias("tie"), F.monotonically_increasing_id().alias("copy")))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STREAMED}}}"), F.lit(0))
+    events = named.select("conv_id", "message", "role", F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("seq", "text"))
+    return events.withColumn("kind", F.when(F.col("seq") == 0, "message").otherwise("delta"))
+
+
+@query
+def op13_chat_formatting(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame(CONTROL_CHAT, "conv_id long, turn long, role string, text string")
+    folder = new_table_path(spark, "chats")
+    chat.write_chats(chat_log(rows.union(control)), folder)
+    return chat.chat_digest(chat.read_chats(spark, folder))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(rows, whitening.fit_whitening(rows))
