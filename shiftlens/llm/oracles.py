@@ -78,3 +78,36 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM q
 """
+
+ORACLES["op11_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL
+),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+e AS (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS v(s) WHERE len(w) >= s),
+g AS (SELECT lang, s, array_to_string(w[i : i + s - 1], ' ') AS phrase, count(*) AS f FROM e GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE s = 1 GROUP BY lang),
+c AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE s > 1 AND f >= 10),
+k AS (
+  SELECT c.lang, c.phrase, c.s, c.a, k, l.f AS l, r.f AS r,
+    (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, s)) AS k FROM c) AS c
+  JOIN g AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN g AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : s], ' ')
+),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, inner_phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(w[i : i + 1], ' ') AS inner_phrase FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE s = 3)
+  ) GROUP BY ALL
+),
+f AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score
+  FROM b LEFT JOIN o ON o.lang = b.lang AND o.inner_phrase = b.phrase
+  WHERE o.longer IS NULL OR 100 * o.longer < 50 * a
+)
+SELECT f.lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM f JOIN n ON n.lang = f.lang WHERE rank <= 2000
+"""

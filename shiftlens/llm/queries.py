@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.llm import (
-    chat, decontamination, licenses, near_duplicates, packing, quality, repeats, secrets, sharding, surrogates, token_files, whitening,
+    chat, collocations, decontamination, licenses, near_duplicates, packing, quality, repeats, secrets, sharding, surrogates,
+    token_files, whitening,
 )
 from shiftlens.session import new_table_path
 
@@ -149,3 +150,8 @@ def op13_chat_formatting(spark, sf_dir):
 def op12_whitening(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return whitening.whiten(rows, whitening.fit_whitening(rows))
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
