@@ -94,8 +94,8 @@ k AS (
   SELECT c.lang, c.phrase, c.s, c.a, k, l.f AS l, r.f AS r,
     (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
   FROM (SELECT *, unnest(range(1, s)) AS k FROM c) AS c
-  JOIN g AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
-  JOIN g AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : s], ' ')
+  JOIN g AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.k], ' ')
+  JOIN g AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1 : c.s], ' ')
 ),
 b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 o AS (
