@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.llm.native import KEY, lower_ascii, with_key, words
+from shiftlens.llm.native import KEY, lower_ascii, sealed, unsealed, with_key, words
 from shiftlens.session import materialize
 
 SIZE = 10
@@ -108,15 +108,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, extra
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """Documents without any occurrence, with the input's columns."""
     found, _ = hits(docs, benchmark, size)
-    clean = with_key(docs, "doc_id", "text").join(found.select(*KEY).distinct(), KEY, "left_anti")
-    return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
+    clean = with_key(sealed(docs, "doc_id", "text"), "doc_id", "text").join(found.select(*KEY).distinct(), KEY, "left_anti")
+    return unsealed(clean, docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """All documents, with the words of every occurrence and what separates them cut from the text."""
     found, _ = hits(docs, benchmark, size)
     spans = found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "length")).alias("_spans"))
-    joined = with_key(docs, "doc_id", "text").join(spans, KEY, "left")
+    joined = with_key(sealed(docs, "doc_id", "text"), "doc_id", "text").join(spans, KEY, "left")
     parts = F.split("text", ANY_CASE_WORD, -1)
     own = words(F.col("text"), ANY_CASE_WORD)
     cut = joined.withColumn("_parts", F.when(F.col("_spans").isNotNull(), parts))
@@ -127,5 +127,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Dat
     )
     kept = F.transform(places, lambda i: F.concat(F.get("_parts", i), F.get("_own", i)))
     text = F.concat(F.array_join(kept, ""), F.element_at("_parts", -1))
-    cut = cut.withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text")))
-    return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unsealed(cut, docs.columns, text=F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text")))

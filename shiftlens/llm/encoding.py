@@ -1,16 +1,17 @@
 """Token ids of whole texts from a public tokenizer file, in Arrow batches.
 
-The tokenizer cuts a text at white space before anything else, so the ids of a
-text are the ids of its white-space chunks in order. A batch is therefore split
-by Arrow, each different chunk is given to the tokenizers library once, and the
-ids are gathered by numpy. Chunks are cut at ASCII white space only, which every
-such tokenizer treats as white space. Texts that hold the opening of a special
-token go to the library whole.
+Where a tokenizer cuts texts at white space before anything else, the ids of a text
+are the ids of its white-space chunks in order. A batch is then split by Arrow,
+each different chunk is given to the tokenizers library once, as it stands, and the
+ids are gathered by numpy. Chunks are cut at ASCII white space only. Whether a
+tokenizer works so is tried when its file is read. Texts that hold the opening of a
+special token, and all texts for other tokenizers, go to the library whole. NULL counts as empty, and an empty batch gives no ids.
 """
 
 from __future__ import annotations
 
 import os
+import string
 import sys
 import types
 
@@ -19,22 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-# A full stop or comma between a letter and white space is always a token of its own.
-PARTED = r"([a-z])([.,])([ \t\n\v\f\r]|$)"
+# Cut off where the tokenizer parts a full stop or comma from the letter before it.
+PARTED = r"([A-Za-z])([.,])([ \t\n\v\f\r]|$)"
 MARK = "\x00"
 MOST_CHUNKS = 1_200_000
 
 
-def lower_ascii(texts: pa.Array) -> pa.Array:
-    """A-Z to a-z in a string array without NULLs; all other bytes stay."""
-    joined = np.frombuffer(b"".join(texts.cast(pa.large_binary()).to_pylist()), np.uint8)
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    upper = (joined >= 65) & (joined <= 90)
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    lowered = joined + (upper.astype(np.uint8) << 5)
-    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(lowered))
-
-
 class ChunkEncoder:
     """Encodes lists of texts; keeps the ids of up to ``MOST_CHUNKS`` chunks per worker."""
 
@@ -49,8 +40,16 @@ class ChunkEncoder:
         if suffix:
             self.ends_word[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
         self.words_end = bool(suffix)
+        apart = [self._ids(t) for t in ("Ab", "c.", "d")]
+        self.at_spaces = np.array_equal(self._ids(" Ab c.\r\n\t d"), np.concatenate(apart))
+        self.parts_stops = all(self._parted(letter + stop) for letter in string.ascii_letters for stop in ".,")
         self._forget()
 
+    def _parted(self, text: str) -> bool:
+        """Whether the last character becomes a piece of its own before any merge."""
+        cut = self.tokenizer.pre_tokenizer
+        return cut is not None and len(text) - 1 in {span[0] for _, span in cut.pre_tokenize_str(text)}
+
     def _ids(self, text: str) -> np.ndarray:
         """Ids alone; the library's call for this skips the places of the tokens in the text."""
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -106,18 +105,23 @@ class ChunkEncoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row with ``end_id`` after each text, and the ids per text; NULL counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        special = pc.match_substring(texts, "<|")
-        flat, lengths = self._encode_chunks(pc.if_else(special, "", texts), end_id)
-        for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+        whole = pc.or_(pc.match_substring(texts, "<|"), not self.at_spaces)
+        flat, lengths = self._encode_chunks(pc.if_else(whole, "", texts), end_id)
+        places = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if not len(places):
+            return flat, lengths
+        ends, parts, done = np.cumsum(lengths), [], 0
+        for k in places:
             ids = self._ids(texts[k].as_py())
-            at = int(lengths[:k].sum())
-            flat = np.concatenate([flat[:at], ids, flat[at:]])
+            parts += [flat[done : ends[k] - 1], ids]
+            done = ends[k] - 1
             lengths[k] += len(ids)
-        return flat, lengths
+        return np.concatenate([*parts, flat[done:]]), lengths
 
     def _encode_chunks(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        parted = pc.replace_substring_regex(lower_ascii(texts), PARTED, r"\1 \2\3")
-        parts = pc.ascii_split_whitespace(parted)
+        if self.parts_stops:
+            texts = pc.replace_substring_regex(texts, PARTED, r"\1 \2\3")
+        parts = pc.ascii_split_whitespace(texts)
         chunks = parts.flatten().dictionary_encode()
         index = self._places(chunks.dictionary)[chunks.indices.to_numpy()]
         size = self.size[index]

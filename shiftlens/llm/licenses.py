@@ -14,11 +14,13 @@ ordered by name, then by unit. Columns named like a result are replaced.
 from __future__ import annotations
 
 import math
+import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.native import let, lower_ascii, words
+from shiftlens.llm.native import let, lower_ascii, sealed, unsealed, words
 
 THRESHOLD = 0.8
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,7 +62,7 @@ def _sizes(templates: list[tuple[str, str]], threshold: float) -> tuple[int, int
     """Fewest words, and most different bigrams, of a unit that any template can match."""
     counts = []
     for _, text in templates:
-        kept = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        kept = re.findall(WORD, text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
         counts.append(len(set(zip(kept, kept[1:]))))
     return math.ceil(min(counts) * threshold / (2 - threshold)) + 1, math.floor(max(counts) * (2 - threshold) / threshold)
 
@@ -72,7 +74,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n", -1)
     units = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(F.lit(""), text))
-    base = template_table(docs.drop("licenses").withColumn("_units", units), templates)
+    base = template_table(sealed(docs, "text").withColumn("_units", units), templates)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
 
     def matches(bigrams: Column, place: Column) -> Column:
@@ -106,4 +108,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
             .otherwise(0)
         )
 
-    return base.withColumn("licenses", F.array_sort(found, order)).drop("_units", "_templates")
+    return unsealed(base, [c for c in docs.columns if c != "licenses"], licenses=F.array_sort(found, order))

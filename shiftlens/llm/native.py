@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 KEY = ["_key_a", "_key_b"]
+ROW = "_row"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,3 +33,17 @@ def with_key(docs: DataFrame, *columns: str) -> DataFrame:
     """128 bits of hash over ``columns``: rows that are equal there share the key."""
     named = [F.col(f"`{c}`") for c in columns]
     return docs.withColumn(KEY[0], F.xxhash64(F.lit(1), *named)).withColumn(KEY[1], F.xxhash64(F.lit(2), *named, F.lit(3)))
+
+
+def sealed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and the whole row in one struct, so that no other input name can clash."""
+    whole = F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns)).alias(ROW)
+    return docs.select(*columns, whole)
+
+
+def unsealed(docs: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of a sealed row, those in ``new`` replaced or added."""
+    place = {c: f"_new_{k}" for k, c in enumerate(new)}
+    made = docs.select(ROW, *(value.alias(place[c]) for c, value in new.items()))
+    old = [F.col(place[c] if c in new else f"{ROW}.`{c}`").alias(c) for c in columns]
+    return made.select(*old, *(F.col(place[c]).alias(c) for c in new if c not in columns))

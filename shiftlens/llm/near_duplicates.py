@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.llm.components import components
-from shiftlens.llm.native import KEY, SPACED_WORD, with_key
+from shiftlens.llm.native import KEY, SPACED_WORD, sealed, unsealed, with_key
 from shiftlens.session import materialize
 
 SHINGLE = 5
@@ -372,10 +372,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = rows.filter("kept").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")))
     chosen = first.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*KEY)).alias("_row"))
     chosen = chosen.select("_row.*").unionByName(first.filter("component IS NULL").select(*KEY).distinct())
-    kept = with_key(docs, "doc_id", "text").join(chosen, KEY, "left_semi")
+    kept = with_key(sealed(docs, "doc_id", "text"), "doc_id", "text").join(chosen, KEY, "left_semi")
     blank = ~F.coalesce("text", F.lit("")).rlike(SPACED_WORD)
     repeated = kept.filter(~blank).dropDuplicates(KEY).unionByName(kept.filter(blank))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unsealed(repeated, docs.columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,8 @@ Windows that start next to each other share an anchor, which gives one row per a
 with the range of their starts, about one row in 100 bytes.
 
 Rows whose anchor string occurs once are done. Rows with equal contexts (all bytes of
-their windows) are counted, not gathered: all their windows are repeated. What is left
+their windows) are counted, not gathered: all their windows are repeated. They are told equal
+by two hashes of 64 bits with different bases, one of the anchor string and one of the context. What is left
 are the contexts at the edges of repeats. Their bytes are dealt by anchor string, and
 in each task the suffixes that start at the anchors are sorted both ways, forward and
 backward: a mergesort whose comparisons find the common extension by binary search on
@@ -38,9 +39,10 @@ from shiftlens.session import materialize
 
 SIZE, GRAM = 400, 200
 SPAN = SIZE - GRAM + 1
-BLOCK = 1 << 21
+BLOCK = 1 << 18
+TEXTS = 500
 HOT = 5000
-TASK_BYTES = 8 << 20
+TASK_BYTES = 2 << 20
 BROADCAST_ROWS = 200_000
 BASES = [0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7]
 PLACE_BITS = 24
@@ -49,19 +51,26 @@ PART = "gram long, _key_a long, _key_b long, at long, first long, last long, sin
 FOUND = "_key_a long, _key_b long, first long, end long"
 
 
+def _powers(base: int, size: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:
+    """The first powers of ``base`` modulo 2**64, kept by the worker for the next block."""
+    if len(known.get(base, ())) < size:
+        power = np.full(size, base, np.uint64)
+        power[0] = 1
+        known[base] = np.multiply.accumulate(power, out=power)
+    return known[base][:size]
+
+
 class PrefixHash:
     """Polynomial hashes modulo 2**64 of all substrings of a buffer."""
 
     def __init__(self, data: np.ndarray, base: int):
         n = len(data)
-        power = np.full(n + 1, base, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        back = np.full(n + 1, pow(base, -1, 2**64), np.uint64)
-        back[0] = 1
-        self.back = np.multiply.accumulate(back)
+        self.back = _powers(pow(base, -1, 2**64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.sums[1:])
+        ahead = self.sums[1:]
+        np.add(data, np.uint64(1), out=ahead, dtype=np.uint64)
+        np.multiply(ahead, _powers(base, n + 1)[:n], out=ahead)
+        np.cumsum(ahead, out=ahead)
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
         return (self.sums[start + size] - self.sums[start]) * self.back[start]
@@ -79,8 +88,8 @@ def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     padded = np.full(-(-n // width) * width, np.uint64(2**64 - 1))
     padded[:n] = values
     rows = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    ahead = np.minimum.accumulate(rows, axis=1, out=rows).ravel()
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
@@ -97,7 +106,7 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
     first, last, at = starts[new], starts[np.append(new[1:], len(starts)) - 1], at[new]
     shape = ((at - first).astype(np.uint64) << np.uint64(16)) | (last - first).astype(np.uint64)
-    context = _mixed(_mixed(table.of(first, last + SIZE - first)) ^ shape)
+    context = _mixed(_mixed(PrefixHash(data, BASES[1]).of(first, last + SIZE - first)) ^ shape)
     return at, first, last, grams[at].view(np.int64), context.view(np.int64)
 
 
@@ -105,7 +114,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """One row per anchor of every text, places in bytes of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             texts = [(t or "").encode() for t in batch["text"].to_pylist()]
             blocks = [(k, s) for k, t in enumerate(texts) for s in range(0, max(len(t) - SIZE + 1, 0), BLOCK)]
             while blocks:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.llm.native import KEY, with_key
+from shiftlens.llm.native import KEY, ROW, sealed, with_key
 
 ROUNDS = 6
 PRIME = 2**31 - 1
@@ -98,7 +98,7 @@ def permuted(number: Column, n: int, seed: int, inverse: bool = False) -> Column
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows with a gapless ``row_number`` from 0 that depends on their content, and their count."""
     columns = docs.columns
-    keyed = with_key(docs, *columns)
+    keyed = with_key(sealed(docs), ROW)
     n = docs.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS))) if n else 0
     bucket = F.shiftrightunsigned(KEY[0], 64 - bits) if bits else F.lit(0).cast("long")
@@ -109,8 +109,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     inside = Window.partitionBy("_bucket").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_local", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
     starts = starts.join(offsets, "_bucket").select(*KEY, "_copies", (F.col("_earlier") + F.col("_local")).alias("_start"))
-    row = F.struct(*(F.col(f"`{c}`").alias(c) for c in columns)).alias("_row")
-    distinct = keyed.select(*KEY, row).groupBy(*KEY).agg(F.any_value("_row").alias("_row"))
+    distinct = keyed.groupBy(*KEY).agg(F.any_value(ROW).alias(ROW))
     placed = distinct.join(starts, KEY)
     copies = F.sequence(F.col("_start"), F.col("_start") + F.col("_copies") - 1)
     return placed.select("_row", F.explode(copies).alias("_number")).select(

@@ -281,14 +281,26 @@ def test_licenses(spark, docs, none):
     assert [[x["name"] for x in r["licenses"]] for r in licenses.scan(near).orderBy("doc_id").collect()][0][0] == "GPL-3.0"
 
 
-def test_chunks_give_the_ids_of_whole_texts():
+def random_texts():
+    draw = random.Random(8)
+    marks = ["\u0308", "\u0331", "\u030c", "\u030a", "\u0301", "\u0327", "'S ", ". ", ",", " ", "\n", "\u00a0", "\u3000", "İ", "ǅ", "\x1c"]
+    pieces = [*"abKTHJWYéÅſß漢ंक😀09.,'-", *marks]
+    return ["".join(draw.choice(pieces) for _ in range(draw.randrange(1, 60))) for _ in range(1500)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_give_the_ids_of_whole_texts(name):
+    import public_tokenizers
+
     texts = [
-        "a\x00b c", "don't it's 'em", "", None, "Ünï Ñandú x.", "hello. World, 12 a.b <|endoftext|> z",
-        "ſt ǅ K Å İI", "a b c é", "startoftext endoftext", "\x00", " \x00 a \x00",
+        "a\x00b c", "don't it's 'em", "", None, "Ünï Ñandú x.", "hello. World, 12 a.b <|endoftext|> z", "<|a", "b <|",
+        "ſt ǅ K Å İI", "a b c é", "startoftext endoftext", "\x00", " \x00 a \x00",
+        "T\u0308 H\u0331 J\u030c W\u030a Y\u030a", "aT\u0308. H\u0331, J\u030c", *random_texts(),
     ]
-    coder = ChunkEncoder(q.tokenizer_path())
+    coder = ChunkEncoder(public_tokenizers.path(name))
     want = [[*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
     for _ in range(2):
         ids, lengths = coder.encode(pa.array(texts), 1)
-        assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(x) for x in want]
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
     assert not len(coder.encode(pa.array([], pa.string()), 1)[0])
+    assert coder.at_spaces == name.startswith("word")
