@@ -274,6 +274,32 @@ FROM conversations"""
 ORACLES["clean_dates"] = """
 SELECT o_orderkey, strftime(try_cast(CASE WHEN o_orderkey % 13 = 0 THEN 'not a date' WHEN o_orderkey % 29 <> 0
   THEN strftime(o_orderdate, '%Y-%m-%d') END AS TIMESTAMP), '%Y-%m-%d') AS order_day FROM orders"""
+_WRITTEN = """
+w AS (
+  SELECT o_orderkey, o_orderkey % 100 = 7 AS bad, o_orderdate AS d, strftime(o_orderdate, '%m/%d/%Y') AS us,
+    strftime(o_orderdate, '%d.%m.%Y %H:%M') AS eu, strftime(o_orderdate, '%B %-d, %Y') AS long,
+    CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 1 THEN strftime(o_orderdate, '%-d %b %Y')
+      ELSE strftime(o_orderdate, '%Y-%m-%d') END AS mixed
+  FROM orders),
+t AS (
+  SELECT o_orderkey, CASE WHEN bad THEN 'unknown' ELSE us END AS us_date, CASE WHEN bad THEN 'unknown' ELSE eu END AS eu_date,
+    CASE WHEN bad THEN 'unknown' ELSE long END AS long_date, CASE WHEN bad THEN 'unknown' ELSE mixed END AS mixed_date FROM w)"""
+ORACLES["clean_date_formats"] = f"""WITH {_WRITTEN}
+SELECT o_orderkey, strftime(try_strptime(us_date, '%m/%d/%Y'), '%Y-%m-%d %H:%M') AS us_date,
+  strftime(try_strptime(eu_date, '%d.%m.%Y %H:%M'), '%Y-%m-%d %H:%M') AS eu_date,
+  strftime(try_strptime(long_date, '%B %d, %Y'), '%Y-%m-%d %H:%M') AS long_date,
+  strftime(try_strptime(mixed_date, ['%m/%d/%Y', '%d %b %Y', '%Y-%m-%d']), '%Y-%m-%d %H:%M') AS mixed_date FROM t"""
+ORACLES["date_election"] = f"""WITH {_WRITTEN},
+v AS (
+  SELECT 'us_date' AS "column", us_date AS value FROM t UNION ALL SELECT 'eu_date', eu_date FROM t
+  UNION ALL SELECT 'long_date', long_date FROM t UNION ALL SELECT 'mixed_date', mixed_date FROM t),
+c AS (
+  SELECT "column", count(value) AS filled, count(try_strptime(value, ['%B %d, %Y', '%d %b %Y', '%Y-%m-%d'])) AS plain,
+    count(try_strptime(value, ['%m/%d/%Y', '%m.%d.%Y %H:%M'])) AS month_first,
+    count(try_strptime(value, ['%d/%m/%Y', '%d.%m.%Y %H:%M'])) AS day_first FROM v GROUP BY 1)
+SELECT "column", 'datetime' AS inferred_type, plain, month_first, day_first, day_first > month_first AS is_day_first,
+  plain + greatest(month_first, day_first) AS parsed_count,
+  round((plain + greatest(month_first, day_first)) / filled::DOUBLE, 4) + 0.0 AS parsed_share FROM c"""
 ORACLES["coerce_numeric"] = """
 SELECT event_id, try_cast(CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE json_extract_string(props, '$.k') END AS DOUBLE) AS k
 FROM events"""

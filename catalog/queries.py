@@ -150,6 +150,35 @@ def clean_dates(spark, sf_dir):
     return cleaned.select("o_orderkey", F.date_format("order_day", "yyyy-MM-dd").alias("order_day"))
 
 
+def _dated_orders(spark, sf_dir) -> DataFrame:
+    """The order date written in several ways; one row in a hundred holds no date."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    written = [F.date_format(day, form) for form in ("MM/dd/yyyy", "d MMM yyyy", "yyyy-MM-dd", "dd.MM.yyyy HH:mm", "MMMM d, yyyy")]
+    rows = {
+        "us_date": written[0], "eu_date": written[3], "long_date": written[4],
+        "mixed_date": F.when(key % 3 == 0, written[0]).when(key % 3 == 1, written[1]).otherwise(written[2]),
+    }
+    bad = F.when(key % 100 == 7, F.lit("unknown"))
+    return facts.table(spark, sf_dir, "orders").select("o_orderkey", *(F.coalesce(bad, v).alias(k) for k, v in rows.items()))
+
+
+@query
+def clean_date_formats(spark, sf_dir):
+    rows = _dated_orders(spark, sf_dir)
+    for name in ("us_date", "eu_date", "long_date", "mixed_date"):
+        rows = cleaning.clean(rows, name).withColumn(name, F.date_format(name, "yyyy-MM-dd HH:mm"))
+    return out(rows)
+
+
+@query
+def date_election(spark, sf_dir):
+    rows = _dated_orders(spark, sf_dir)
+    counts = profiling.value_counts(rows)
+    kinds = profiling.infer_types(rows, counts).filter(F.col("column") != "o_orderkey")
+    counted = F.col("parsed_count").cast("long").alias("parsed_count")
+    return out(kinds.select("column", "inferred_type", "plain", "month_first", "day_first", "is_day_first", counted, "parsed_share"))
+
+
 @query
 def coerce_numeric(spark, sf_dir):
     odd = F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.get_json_object("props", "$.k"))
@@ -193,7 +222,7 @@ def column_profile(spark, sf_dir):
 def _types(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     fact = facts.mixed_fact(spark, sf_dir)
     counts = materialize(profiling.value_counts(fact), "value-counts")
-    return fact, counts, profiling.infer_types(fact, counts, ["o_orderkey"])
+    return fact, counts, profiling.infer_types(fact, counts)
 
 
 @query

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlens.functions.numeric import number_or_null
+from shiftlens.functions.dates import elect, read_date, readings
+from shiftlens.functions.numeric import named, number_or_null
 from shiftlens.functions.ordering import BUCKET, PLACE, backfill, ordered_rows
 from shiftlens.functions.text import strip_whitespace
 
@@ -24,10 +25,17 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 
 def coerce_date(df: DataFrame, date_col: str) -> DataFrame:
-    """Parse a text date; what cannot be parsed becomes NULL."""
-    if isinstance(df.schema[date_col].dataType, T.StringType):
-        return df.withColumn(date_col, F.try_to_timestamp(F.col(date_col)))
-    return df
+    """Parse a text date in any of the ways of ``functions.dates``; other texts become NULL.
+
+    Whether days or months come first is elected by all rows of the column in a
+    subquery of one aggregate; nothing runs before the result is asked for.
+    """
+    if not isinstance(df.schema[date_col].dataType, T.StringType):
+        return df
+    text = strip_whitespace(named(date_col))
+    counted = df.agg(*(c.alias(k) for k, c in readings(text, F.lit(1)).items()))
+    day_first = elect(counted).select("is_day_first").scalar()
+    return df.withColumn(date_col, read_date(text, day_first))
 
 
 def coerce_number(df: DataFrame, column: str) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlens.functions import names
+from shiftlens.functions.dates import elect, readings
 from shiftlens.functions.numeric import NUMERIC_TYPES, number, ratio
 from shiftlens.functions.ordering import exact_quantiles, in_buckets, split_points
+from shiftlens.functions.text import strip_whitespace
 from shiftlens.session import materialize
 
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -110,33 +112,34 @@ def column_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
     ).withColumn("is_constant", F.col("unique_count") <= 1)
 
 
+DATE_SHARE = 0.95
+
+
 def type_evidence(df: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per column the share of its filled rows that read as a timestamp, from all values.
+    """Per column with a date name how many filled rows read as a date, and in which order, from all values.
 
-    Zero for columns whose name is no date name; physical dates read by definition.
+    One aggregate over (column, value, count); physical dates read by definition.
     """
     dated = [f.name for f in flat_fields(df) if names.has_word(f.name, names.DATE_WORDS) and _kind(f) != "date"]
-    filled = counts.filter(F.col("value").isNotNull())
-    reads = F.col("column").isin(dated) & F.try_to_timestamp(F.col("value")).isNotNull()
-    parsed = filled.groupBy("column").agg(
-        F.sum("n").alias("_filled"), F.coalesce(F.sum(F.when(reads, F.col("n"))), F.lit(0)).alias("parsed_count")
-    )
-    share = ratio(F.col("parsed_count"), F.col("_filled"))
-    return parsed.select("column", "parsed_count", share.alias("parsed_share"))
+    text = strip_whitespace(F.col("value"))
+    rows = counts.filter(F.col("column").isin(dated) & F.col("value").isNotNull())
+    counted = rows.groupBy("column").agg(*(c.alias(k) for k, c in readings(text, F.col("n")).items()))
+    share = ratio(F.col("parsed_count"), F.col("filled"))
+    return elect(counted).withColumn("parsed_share", share).withColumnRenamed("filled", "read_from")
 
 
-def infer_types(df: DataFrame, counts: DataFrame, key: list[str] | None = None) -> DataFrame:
+def infer_types(df: DataFrame, counts: DataFrame, date_share: float = DATE_SHARE) -> DataFrame:
     """Column counts with the semantic type; the first matching rule wins.
 
-    A column with a date name is a date if all its values read as one. ``key`` is not
-    needed for that and kept for callers.
+    A column with a date name is a date if at least ``date_share`` of its filled rows
+    read as one; the rest are bad values, which cleaning turns into NULL.
     """
     evidence = type_evidence(df, counts)
     table = column_counts(df, counts).join(F.broadcast(evidence), "column", "left")
     table = table.fillna(0, ["parsed_count", "parsed_share"])
     filled = F.col("total_count") - F.col("missing_count")
     share = ratio(F.col("unique_count"), filled)
-    parses = (F.col("parsed_count") > 0) & (F.col("parsed_count") == filled)
+    parses = (F.col("parsed_count") > 0) & (F.col("parsed_share") >= date_share)
     id_named = names.name_has(F.col("column"), names.ID_WORDS)
     boolean = (F.col("kind") == "boolean") | (
         F.col("boolean_like") & (filled > 10) & (F.col("unique_count") <= 2)
@@ -331,7 +334,7 @@ class Profile:
 
 def profile(df: DataFrame, key: list[str]) -> Profile:
     counts = materialize(value_counts(df), "value-counts")
-    types = materialize(infer_types(df, counts, key), "column-types")
+    types = materialize(infer_types(df, counts), "column-types")
     quarters = materialize(quartiles(numeric_values(df, counts)), "quartiles")
     return Profile(
         types=types,

@@ -107,11 +107,11 @@ def test_profile_of_odd_columns(spark):
     data = [(i, None, "k", f" v{i % 3} ") for i in range(30)]
     df = spark.createDataFrame(data, "n int, empty string, constant string, text string")
     counts = profiling.value_counts(df)
-    types = {r["column"]: r for r in profiling.infer_types(df, counts, ["n"]).collect()}
+    types = {r["column"]: r for r in profiling.infer_types(df, counts).collect()}
     assert types["empty"]["inferred_type"] == "categorical" and types["empty"]["unique_count"] == 0
     assert types["constant"]["is_constant"]
     assert types["empty"]["missing_pct"] == 100.0
-    roles = {(r["column"], r["role"]) for r in profiling.candidates(profiling.infer_types(df, counts, ["n"])).collect()}
+    roles = {(r["column"], r["role"]) for r in profiling.candidates(profiling.infer_types(df, counts)).collect()}
     assert ("text", "segment") in roles and ("constant", "segment") not in roles
 
 

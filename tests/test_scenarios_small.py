@@ -80,7 +80,7 @@ def test_types(spark):
             "open_valve": [k % 3 % 2 for k in range(12)],
         })
     )
-    types = {r["column"]: r["inferred_type"] for r in profiling.infer_types(df, profiling.value_counts(df), ["weight"]).collect()}
+    types = {r["column"]: r["inferred_type"] for r in profiling.infer_types(df, profiling.value_counts(df)).collect()}
     assert types == {"weight": "numerical", "basin": "categorical", "updated_on": "datetime", "open_valve": "boolean"}
 
 
