@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from catalog import facts
+from shiftlens.operators import isolation
 from shiftlens.operators import report
 
 STEPS = 2000
@@ -532,6 +533,83 @@ halves AS (
 ORACLES["fallback_split"] = f"""{with_(EVENTS, HALF)}
 {window_select('halves', 'value', 'value', 'fallback_split', '0', ", 'Baseline Cohort' AS baseline_label, 'Comparison Cohort' AS anomaly_label")}"""
 
+# --- isolation forest, grown by the same hashes ---------------------------------------------
+
+MEASURED = """
+measured AS (
+  SELECT f.row_id, f.ts, f.event_type, f.region, f.value, json_extract_string(e.props, '$.k')::DOUBLE AS k
+  FROM fact f JOIN events e ON e.event_id = f.row_id)"""
+
+
+def _hash(*parts: str) -> str:
+    return f"('0x' || substr(md5({" || ':' || ".join(f'{p}::VARCHAR' for p in parts)}), 1, {isolation.HASH_DIGITS}))::BIGINT"
+
+
+def forest_ctes(columns: list[str], levels: int = 8) -> list[str]:
+    """The forest level by level; ``levels`` is the depth limit for at least 129 rows."""
+    f = [f"f{i}" for i in range(len(columns))]
+    listed = ", ".join(f)
+    below = f"[{', '.join(map(str, isolation.leaf_paths()))}]"
+    lows = "[" + ", ".join(f"{{'i': {i}, 'low': min({c}) OVER w, 'high': max({c}) OVER w}}" for i, c in enumerate(f)) + "]"
+    trees, sample, seed, unit = isolation.TREES, isolation.SAMPLE, isolation.SEED, isolation.UNIT
+    ctes = [
+        f"""complete AS (SELECT *, {", ".join(f"{c}::DOUBLE AS {n}" for n, c in zip(f, columns))} FROM measured
+  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in columns)})""",
+        f"""pool AS (SELECT {listed}, row_number() OVER (ORDER BY {_hash(str(seed), 'row_id')}, row_id) - 1 AS place,
+  count(*) OVER () AS size FROM complete)""",
+        f"""level0 AS MATERIALIZED (
+  SELECT t.tree, {listed}, 1::BIGINT AS node, false AS done
+  FROM (SELECT *, unnest(range(place, {trees} * least({sample}, size), size)) AS turn FROM pool) p,
+    LATERAL (SELECT (turn // least({sample}, size))::INT AS tree) t)""",
+    ]
+    for d in range(levels + 1):
+        leaf = "true" if d == levels else "n <= 1 OR len(usable) = 0"
+        ctes.append(f"""seen{d} AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT leaf THEN usable[{_hash(str(seed), 'tree', 'node', '1')} % len(usable) + 1] END AS pick,
+    {_hash(str(seed), 'tree', 'node', '2')} / {float(16 ** isolation.HASH_DIGITS)}::DOUBLE AS part
+  FROM (SELECT *, {leaf} AS leaf FROM (SELECT *, count(*) OVER w AS n, list_filter({lows}, lambda c: c.high > c.low) AS usable
+    FROM level{d} WHERE NOT done WINDOW w AS (PARTITION BY tree, node))))""")
+        ctes.append(f"""made{d} AS (
+  SELECT DISTINCT tree, node, pick.i AS feature, pick.low + part * (pick.high - pick.low) AS threshold,
+    CASE WHEN leaf THEN {d * unit} + {below}[n + 1] END AS path FROM seen{d})""")
+        if d < levels:
+            ctes.append(f"""level{d + 1} AS MATERIALIZED (
+  SELECT tree, {listed}, 2 * node + CASE WHEN [{listed}][pick.i + 1] > pick.low + part * (pick.high - pick.low) THEN 1 ELSE 0 END AS node,
+    false AS done FROM seen{d} WHERE NOT leaf)""")
+    ctes.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM made{d}" for d in range(levels + 1)) + ")")
+    ctes.append(f"""walk0 AS (SELECT row_id, {listed}, tree, 1::BIGINT AS node, NULL::BIGINT AS path FROM complete, range({trees}) r(tree))""")
+    for d in range(levels + 1):
+        ctes.append(f"""walk{d + 1} AS MATERIALIZED (
+  SELECT w.row_id, {", ".join("w." + c for c in f)}, w.tree,
+    CASE WHEN m.feature IS NULL THEN w.node ELSE 2 * w.node + CASE WHEN [{", ".join("w." + c for c in f)}][m.feature + 1] > m.threshold THEN 1 ELSE 0 END END AS node,
+    CASE WHEN w.path IS NOT NULL THEN w.path WHEN m.node IS NULL THEN {d * unit} ELSE m.path END AS path
+  FROM walk{d} w LEFT JOIN nodes m ON m.tree = w.tree AND m.node = w.node)""")
+    norm = "(SELECT least(256, count(*)) FROM complete)"
+    averages = f"[{', '.join(repr(isolation.average_path(n)) for n in range(sample + 1))}]::DOUBLE[]"
+    ctes += [
+        f"""scores AS MATERIALIZED (SELECT row_id, pow(2.0, -sum(path) / (list_extract({averages}, {norm} + 1) * {trees} * {unit})) AS anomaly_score
+  FROM walk{levels + 1} GROUP BY row_id)""",
+        """marked AS (SELECT c.*, s.anomaly_score, s.anomaly_score > (SELECT quantile_cont(anomaly_score, 0.95) FROM scores) AS is_anomaly
+  FROM complete c JOIN scores s USING (row_id))""",
+        """inliers AS (SELECT avg(value) AS expected, coalesce(stddev_samp(value), 1.0) AS std FROM marked WHERE NOT is_anomaly)""",
+        """forest AS (SELECT *, (value - expected) / (std + 1e-9) AS z, CASE WHEN is_anomaly THEN 'anomaly' ELSE 'baseline' END AS period
+  FROM marked, inliers)""",
+    ]
+    return ctes
+
+
+FOREST_WINDOW = window_select(
+    "forest", "value", "value", "isolation_forest", "SELECT count(*) FROM forest WHERE is_anomaly",
+    ", 'Inlier Cohort (N=' || baseline_count || ')' AS baseline_label, 'Isolation Forest Anomaly Cluster (N=' || anomaly_count || ')' AS anomaly_label",
+)
+ORACLES["iforest_points"] = f"""{with_(EVENTS, MEASURED, *forest_ctes(['value', 'k']))}
+SELECT row_id, {r('value')} AS value, {r('expected')} AS expected, {r('z', 2)} AS deviation_z, is_anomaly,
+  {r('anomaly_score')} AS anomaly_score,
+  CASE WHEN NOT is_anomaly THEN 'normal' WHEN abs(z) > 3.0 THEN 'critical' ELSE 'high' END AS severity FROM forest"""
+ORACLES["iforest_window"] = f"{with_(EVENTS, MEASURED, *forest_ctes(['value', 'k']))} {FOREST_WINDOW}"
+ORACLES["auto_window"] = f"""{with_(*STEP2, EVENTS, MEASURED, *forest_ctes(['value', 'row_id', 'k']))}
+{temporal_sql('s_', 'step_fact', 'level', '', True)} UNION ALL {FOREST_WINDOW}"""
+
 # --- tests ---------------------------------------------------------------------------------
 
 EVENT_LONG = [EVENTS, long_cte("value", facts.EVENTS_DIMS)]

@@ -1,22 +1,26 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) on Spark.
 
-Trees are grown from hash-ordered subsamples, one task per tree. The grown
-forest is small by construction (100 trees of at most 511 nodes), so it travels
-with the scoring function, which grades every row in Arrow batches.
+Trees are grown from hash-ordered subsamples of 256 rows, one task per tree. A hash of
+(tree, node) draws the feature and the cut of each node, so that nothing is random but
+hashes and SQL can grow the same forest level by level. Node n has the children 2 n and
+2 n + 1. Path lengths are whole millionths, so sums over trees do not depend on their
+order. The grown forest is small by construction (100 trees of at most 511 nodes), so it
+travels with the scoring function, which grades every row in Arrow batches.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.functions.numeric import NUMERIC_TYPES, number
+from shiftlens.functions.numeric import NUMERIC_TYPES, named, number
 from shiftlens.functions.ordering import exact_quantiles, in_buckets, split_points
 from shiftlens.operators.cleaning import complete_rows
 from shiftlens.operators.cohorts import tag, window_summary
@@ -28,8 +32,9 @@ SEED = 42
 CONTAMINATION = 0.05
 MIN_ROWS = 20
 POOL = TREES * SAMPLE
-
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
+UNIT = 1_000_000
+HASH_DIGITS = 15
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, path long"
 
 
 def average_path(n: float) -> float:
@@ -54,95 +59,107 @@ def complete_features(df: DataFrame, metric: str, features: list[str]) -> DataFr
     return complete_rows(numbers, columns)
 
 
-def _grow(rows: pd.DataFrame, columns: list[str], depth_limit: int) -> pd.DataFrame:
-    """Nodes of one isolation tree."""
+def hashed(*parts: Column | str | int) -> Column:
+    """60 bits of MD5 over the parts as text, joined by colons; NULL counts as empty."""
+    texts = [F.coalesce((F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, HASH_DIGITS), 16, 10).cast("long")
+
+
+def leaf_paths() -> list[int]:
+    """Path below a leaf of n rows in millionths, for n up to the sample size."""
+    return [round(average_path(n) * UNIT) for n in range(SAMPLE + 1)]
+
+
+def dealt_sample(complete: DataFrame, columns: list[str], key: list[str], n: int) -> DataFrame:
+    """(tree, f0, f1, ...): the rows each tree is grown from.
+
+    A hash of the key draws them, so they do not depend on how the data is
+    partitioned: first a share of the rows that holds about four times the 25 600
+    wanted ones, then the smallest hashes of those. Trees take turns through them
+    in hash order, 256 rows each, and start over when the rows run out.
+    """
+    draw = hashed(SEED, *key)
+    limit = F.lit(int(min(1.0, 4.0 * POOL / n) * 16**HASH_DIGITS))
+    features = [F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(columns)]
+    pool = complete.select(draw.alias("_hash"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), *features).filter(F.col("_hash") < limit)
+    order = ["_hash", *(f"_k{i}" for i in range(len(key)))]
+    pool = pool.orderBy(*order).limit(POOL)
+    place = (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
+    placed = pool.withColumn("_place", place).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy()))
+    share = F.least(F.lit(SAMPLE), F.col("_size"))
+    turns = F.sequence(F.col("_place"), F.lit(TREES) * share - 1, F.col("_size"))
+    dealt = placed.withColumn("_turn", F.explode(F.when(F.col("_place") < TREES * share, turns)))
+    names = [f"f{i}" for i in range(len(columns))]
+    return dealt.select(F.floor(F.col("_turn") / share).cast("int").alias("tree"), *names)
+
+
+def _drawn(*parts: int) -> int:
+    """The same number as ``hashed`` gives for whole numbers."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:HASH_DIGITS], 16)
+
+
+def _grow(rows: pd.DataFrame, names: list[str], depth_limit: int) -> pd.DataFrame:
+    """Nodes of one isolation tree, in the order of their numbers."""
     tree = int(rows["tree"].iloc[0])
-    values = rows.sort_values("_order")[columns].to_numpy(dtype="float64")
-    random = np.random.default_rng([SEED, tree])
-    nodes: list[list] = []
-    waiting = [(0, np.arange(len(values)), 0)]
-    nodes.append([tree, 0, -1, 0.0, -1, -1, 0.0])
-    while waiting:
-        node, members, depth = waiting.pop()
+    values = rows[names].to_numpy(dtype="float64")
+    below, nodes = leaf_paths(), []
+    waiting = [(1, 0, np.arange(len(values)))]
+    for node, depth, members in waiting:
         part = values[members]
         low, high = part.min(axis=0), part.max(axis=0)
         usable = np.flatnonzero(high > low)
         if depth >= depth_limit or len(members) <= 1 or usable.size == 0:
-            nodes[node][6] = depth + average_path(len(members))
+            nodes.append((tree, node, None, None, depth * UNIT + below[len(members)]))
             continue
-        feature = int(random.choice(usable))
-        cut = float(random.uniform(low[feature], high[feature]))
-        goes_left = part[:, feature] <= cut
-        left, right = len(nodes), len(nodes) + 1
-        nodes.append([tree, left, -1, 0.0, -1, -1, 0.0])
-        nodes.append([tree, right, -1, 0.0, -1, -1, 0.0])
-        nodes[node][2:6] = [feature, cut, left, right]
-        waiting.append((left, members[goes_left], depth + 1))
-        waiting.append((right, members[~goes_left], depth + 1))
-    names = ["tree", "node", "feature", "threshold", "left", "right", "path"]
-    return pd.DataFrame(nodes, columns=names)
+        feature = int(usable[_drawn(SEED, tree, node, 1) % usable.size])
+        share = _drawn(SEED, tree, node, 2) / float(16**HASH_DIGITS)
+        cut = float(low[feature] + share * (high[feature] - low[feature]))
+        nodes.append((tree, node, feature, cut, None))
+        right = part[:, feature] > cut
+        waiting += [(2 * node + side, depth + 1, own) for side, own in ((0, members[~right]), (1, members[right])) if len(own)]
+    grown = pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "path"])
+    return grown.astype({"feature": "Int32", "path": "Int64"})
 
 
 def grow_forest(complete: DataFrame, columns: list[str], key: list[str], n: int) -> DataFrame:
-    """Tree nodes, one task per tree, from a sample of ``n`` rows with a unique ``key``.
-
-    A hash of the key draws the sample, so it does not depend on how the data is
-    partitioned: first a share of the rows that holds about four times the 25 600
-    wanted ones, then the smallest hashes of those. Trees take turns through them
-    in hash order, 256 rows each, and start over when the rows run out.
-    """
-    draw = F.xxhash64(F.lit(SEED), *key)
-    share_drawn = min(1.0, 4.0 * POOL / n)
-    limit = F.lit(int(share_drawn * 2**31))
-    pool = (
-        complete.filter(F.pmod(draw, F.lit(2**31)) < limit)
-        .select(*columns, draw.alias("_hash"))
-        .orderBy("_hash", *columns)
-        .limit(POOL)
-    )
-    place = F.row_number().over(Window.orderBy("_hash", *columns)) - 1
-    size = F.count(F.lit(1)).over(Window.partitionBy())
-    placed = pool.select(*columns, place.alias("_place"), size.alias("_size"))
-    share = F.least(F.lit(SAMPLE), F.col("_size"))
-    turns = F.sequence(F.col("_place").cast("long"), F.lit(TREES) * share - 1, F.col("_size"))
-    dealt = placed.withColumn("_order", F.explode(F.when(F.col("_place") < TREES * share, turns)))
-    dealt = dealt.select(*columns, "_order", F.floor(F.col("_order") / share).cast("int").alias("tree"))
+    """(tree, node, feature, threshold, path): leaves have no feature, inner nodes no path."""
+    names = [f"f{i}" for i in range(len(columns))]
     depth_limit = max(1, math.ceil(math.log2(min(SAMPLE, max(n, 2)))))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        return _grow(rows, columns, depth_limit)
+        return _grow(rows, names, depth_limit)
 
-    return dealt.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    return dealt_sample(complete, columns, key, n).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
 def _pack(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
-    width = int(nodes["node"].max()) + 1
-    packed = {}
-    for name, kind in (
-        ("feature", "int64"), ("threshold", "float64"), ("left", "int64"), ("right", "int64"), ("path", "float64"),
-    ):
-        grid = np.full((TREES, width), -1 if kind == "int64" else 0.0, dtype=kind)
-        grid[nodes["tree"], nodes["node"]] = nodes[name]
-        packed[name] = grid
+    """Arrays by (tree, node); a child that no row of the sample reached ends at its depth."""
+    depth = np.floor(np.log2(np.maximum(np.arange(4 * SAMPLE), 1))).astype("int64")
+    packed = {
+        "feature": np.full((TREES, len(depth)), -1, "int64"),
+        "threshold": np.zeros((TREES, len(depth))),
+        "path": np.tile(depth * UNIT, (TREES, 1)),
+    }
+    for name, rows in (("feature", nodes[nodes["feature"].notna()]), ("threshold", nodes[nodes["feature"].notna()]), ("path", nodes[nodes["path"].notna()])):
+        packed[name][rows["tree"].astype(int), rows["node"].astype(int)] = rows[name]
     return packed
 
 
-def _mean_paths(values: np.ndarray, forest: dict[str, np.ndarray]) -> np.ndarray:
-    """Mean path length of each row over all trees, level by level."""
-    total = np.zeros(len(values))
+def _path_sums(values: np.ndarray, forest: dict[str, np.ndarray]) -> np.ndarray:
+    """Sum of the path lengths of each row over all trees, level by level."""
+    total = np.zeros(len(values), "int64")
     rows = np.arange(len(values))
     for tree in range(TREES):
         feature, threshold = forest["feature"][tree], forest["threshold"][tree]
-        left, right = forest["left"][tree], forest["right"][tree]
-        at = np.zeros(len(values), dtype="int64")
+        at = np.ones(len(values), dtype="int64")
         inner = feature[at] >= 0
         while inner.any():
             chosen = feature[at]
-            goes_left = values[rows, np.maximum(chosen, 0)] <= threshold[at]
-            at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+            right = values[rows, np.maximum(chosen, 0)] > threshold[at]
+            at = np.where(inner, 2 * at + right, at)
             inner = feature[at] >= 0
         total += forest["path"][tree][at]
-    return total / TREES
+    return total
 
 
 def score_rows(complete: DataFrame, columns: list[str], nodes: DataFrame, n_sample: int) -> DataFrame:
@@ -151,12 +168,12 @@ def score_rows(complete: DataFrame, columns: list[str], nodes: DataFrame, n_samp
     Only the feature columns travel to Python.
     """
     forest = _pack(nodes.toPandas())
-    norm = average_path(n_sample)
+    norm = average_path(n_sample) * TREES * UNIT
 
     @F.pandas_udf("double")
     def score(features: pd.DataFrame) -> pd.Series:
         values = features.to_numpy(dtype="float64")
-        return pd.Series(np.exp2(-_mean_paths(values, forest) / norm))
+        return pd.Series(np.exp2(-_path_sums(values, forest) / norm))
 
     return complete.withColumn("anomaly_score", score(F.struct(*columns)))
 
@@ -182,11 +199,14 @@ def forest_points(
     """
     features = default_features(df, metric) if features is None else features
     columns = [metric, *features]
-    complete = materialize(complete_features(df, metric, features).select(*dict.fromkeys([*key, *columns])), "complete")
+    own_key = [f"_key{i}" for i in range(len(key))]
+    keyed = df.withColumns({k: named(c) for k, c in zip(own_key, key)})
+    complete = complete_features(keyed, metric, features).select(*own_key, *(named(c) for c in dict.fromkeys([*key, *columns])))
+    complete = materialize(complete, "complete")
     n = complete.count()
     if n < MIN_ROWS:
         return None
-    nodes = grow_forest(complete, columns, key, n)
+    nodes = grow_forest(complete, columns, own_key, n)
     scored = materialize(score_rows(complete, columns, nodes, min(SAMPLE, n)), "scores")
     marked = scored.withColumn("is_anomaly", F.col("anomaly_score") > score_threshold(scored, contamination).scalar())
     marked = materialize(marked, "flags")
@@ -201,7 +221,7 @@ def forest_points(
         .withColumn("expected", F.col("_s.mean"))
         .withColumn("severity", severity)
         .withColumn("deviation_z", F.round("z", 2))
-        .drop("_s")
+        .drop("_s", *own_key)
     )
 
 
