@@ -914,6 +914,10 @@ lines AS (
   UNION ALL SELECT 4, scenario_rank, {_SCENARIO_TEXT} FROM top
   UNION ALL SELECT 5, * FROM (VALUES {", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(report.CAVEATS))}))
 SELECT 'shipments' AS run_id, section::BIGINT AS section, line_no::BIGINT AS line_no, text FROM lines"""
+ORACLES["history_rebuild"] = ORACLES["report_lines"]
+ORACLES["history_contributions"] = f"""{with_(*SHIP_CONTRIBS)}
+SELECT id, {SEG}, {r('contribution')} AS contribution FROM con, (VALUES ('a'), ('c')) AS v(id)"""
+
 ORACLES["audit_trail"] = f"""{with_(RANKED)}
 SELECT 'shipments' AS run_id, '2024-01-01 00:00:00' AS at, 'Anomaly Detection' AS step, 'Scan Completed' AS action,
   printf('%s: %.4f to %.4f (%+.1f%%)', 'user_specified', overall_base, overall_anom, {_CHANGE}) AS details, 'COMPLETED' AS status FROM tot

@@ -15,13 +15,14 @@ from shiftlens.operators import decomposition as dec
 from shiftlens.operators import hypotheses as hyp
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import window_summary
-from shiftlens.plans.investigation import Investigation, detect_window, investigate
+from shiftlens.plans.investigation import Investigation, detect_window, investigate, rebuild
 from shiftlens.session import materialize, new_table_path
 from shiftlens.sources import files, history
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 SEGMENT = hyp.SEGMENT
+HISTORY_KINDS = [(c, "long" if c == "row_count" else "double" if c == "pct_change" else "string") for c in history.META[1:]]
 
 
 def query(function: Query) -> Query:
@@ -692,6 +693,28 @@ def report_lines(spark, sf_dir):
     return out(_investigation(spark, sf_dir).lines)
 
 
+@query
+def history_rebuild(spark, sf_dir):
+    """The report of a run that was saved, half saved again with other tables, and rebuilt."""
+    store, run = history.RunStore(spark, new_table_path(spark, "run-store")), _investigation(spark, sf_dir)
+    run.save(store, "Shipments", "lineitem", _stamp("2024-05-01 00:00:00"))
+    store.write_details({name: rows.limit(0) for name, rows in run.details().items()})
+    return out(rebuild(store, "shipments").lines)
+
+
+@query
+def history_contributions(spark, sf_dir):
+    """Contributions of all listed runs: one saved twice, one deleted, and an unfinished save."""
+    store, contribs = history.RunStore(spark, new_table_path(spark, "run-store")), _shipment_contribs(spark, sf_dir)
+    contribs = materialize(contribs, "contributions")
+    for k, (run_id, rows) in enumerate([("a", contribs.limit(1)), ("a", contribs), ("b", contribs), ("c", contribs)]):
+        row = spark.range(1).select(F.lit(run_id).alias("id"), *(F.lit(None).cast(t).alias(c) for c, t in HISTORY_KINDS))
+        store.save(row, {"contributions": rows}, _stamp(f"2024-05-0{k + 1} 00:00:00"))
+    store.runs.delete(spark.createDataFrame([("b",)], "id string"), _stamp("2024-05-09 00:00:00"))
+    store.write_details({"contributions": contribs})
+    return out(store.all_details("contributions"), "id", *SEGMENT, "contribution")
+
+
 @query
 def audit_trail(spark, sf_dir):
     return out(_investigation(spark, sf_dir).audit(_stamp("2024-01-01 00:00:00")))

@@ -18,6 +18,7 @@ from shiftlens.operators.detection import Detected, fallback, rolling_window
 from shiftlens.operators.evidence import graph_edges, graph_nodes
 from shiftlens.operators.scenarios import MAX_SCENARIOS, remediation_curve, top_scenarios
 from shiftlens.session import materialize
+from shiftlens.sources.history import RunStore
 
 
 def detect_window(
@@ -36,12 +37,15 @@ def detect_window(
     return Detected(isolation.forest_window(points, metric), tagged, points)
 
 
+DETAILS = ("window", "segments", "contributions", "hypotheses", "scenarios")
+
+
 @dataclass
 class Investigation:
-    """Result tables of one run. All but ``tagged`` are small and already written."""
+    """Result tables of one run, already written. A run rebuilt from the history has no ``tagged`` rows."""
 
     run_id: str
-    tagged: DataFrame
+    tagged: DataFrame | None
     window: DataFrame
     segments: DataFrame
     contributions: DataFrame
@@ -80,7 +84,9 @@ class Investigation:
     def run_row(self, title: str, dataset: str, created_at: Column, date_col: str | None = None) -> DataFrame:
         """One nested row for the history table.
 
-        Every list in it is bounded by the number of dimension and covariate columns.
+        Every list in it is bounded by the number of dimension and covariate columns:
+        hypotheses are the leading segments of each dimension, scenarios and lines are
+        few. Contributions, one per segment, are not in it; see ``details``.
         """
 
         def listed(rows: DataFrame, order: list[Column]) -> Column:
@@ -91,7 +97,8 @@ class Investigation:
             known = F.col(name) if name in self.window.columns else F.lit(None)
             return known.cast("string").alias(name)
 
-        impact = [(-F.abs("contribution")).alias("_o")]
+        lines = materialize(self.lines, "report-lines")
+        executive = lines.filter("section = 1").agg(F.min("text").alias("t")).scalar()
         return self.window.select(
             F.lit(self.run_id).alias("id"),
             F.lit(title).alias("title"),
@@ -104,11 +111,27 @@ class Investigation:
             "direction", "detection_method", "baseline_mean", "anomaly_mean", "absolute_delta",
             "flagged_points", label("baseline_label"), label("anomaly_label"),
             listed(self.hypotheses, [F.col("rank").alias("_o")]).alias("hypotheses"),
-            listed(self.contributions, impact).alias("contributions"),
+            executive.alias("executive_summary"),
             listed(self.scenarios, [F.col("scenario_rank").alias("_o")]).alias("scenarios"),
-            listed(self.lines, [F.struct("section", "line_no").alias("_o")]).alias("report"),
+            listed(lines, [F.struct("section", "line_no").alias("_o")]).alias("report"),
         )
 
+    def details(self) -> dict[str, DataFrame]:
+        """The tables that a later session needs to go on with this run, written and read as tables."""
+        return {name: getattr(self, name) for name in DETAILS}
+
+    def save(self, store: RunStore, title: str, dataset: str, saved_at: Column, date_col: str | None = None) -> None:
+        row = self.run_row(title, dataset, saved_at.cast("string"), date_col)
+        store.save(row, self.details(), saved_at)
+
+
+def rebuild(store: RunStore, run_id: str) -> Investigation | None:
+    """The stored run as an investigation: report, graph, curve and audit follow from its tables."""
+    commit = store.commit_of(run_id)
+    if commit is None:
+        return None
+    return Investigation(run_id, None, **{name: store.table(commit, name) for name in DETAILS})
+
 
 def investigate(
     tagged: DataFrame,

@@ -2,11 +2,19 @@
 
 Saving and deleting only append. Reading keeps the newest version of each id by
 one aggregate, which combines map-side and so does not mind an id that was
-saved very often.
+saved very often. Writers that read the same last version at the same time are told
+apart by their commit, so all readers agree on one of them.
+
+What a run found can be as large as its segments are many. ``RunStore`` keeps it in
+detail tables beside the rows: they are written first, below a folder named by the
+commit, and the run row is appended last. A commit without a row, as a crash between
+the two leaves it, is never read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +42,7 @@ def tombstones(ids: DataFrame, like: DataFrame, saved_at: Column) -> DataFrame:
 def current(history: DataFrame) -> DataFrame:
     """Newest version per id; deleted runs are absent."""
     payload = [c for c in history.columns if c != "id"]
-    order = F.struct("saved_at", *(["version"] if "version" in payload else []), "deleted")
+    order = F.struct("saved_at", *(c for c in ("version", "deleted", "commit") if c in payload))
     newest = history.groupBy("id").agg(F.max_by(F.struct(*payload), order).alias("run"))
     return newest.select("id", "run.*").filter(~F.col("deleted")).select(*history.columns)
 
@@ -100,3 +108,46 @@ class HistoryTable:
         if found:
             self._append(tombstones(ids, self.rows(), saved_at))
         return found
+
+
+class RunStore:
+    """Run rows and their detail tables below one folder; ``rows`` has one row per run saved."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.runs = HistoryTable(spark, f"{path}/runs")
+        self.path = path
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/details/{name}"
+
+    def write_details(self, details: dict[str, DataFrame]) -> str:
+        """First half of a save: the tables below a commit that no row names yet."""
+        commit = f"c-{uuid.uuid4().hex}"
+        for name, rows in details.items():
+            rows.write.parquet(f"{self._folder(name)}/commit={commit}")
+        return commit
+
+    def save(self, row: DataFrame, details: dict[str, DataFrame], saved_at: Column) -> None:
+        commit = self.write_details(details)
+        self.runs.save(row.withColumn("commit", F.lit(commit)), saved_at)
+
+    def commit_of(self, run_id: str) -> str | None:
+        """Commit of the newest saved version; None for unknown and deleted runs."""
+        row = self.runs.load(run_id).first()
+        return row and row["commit"]
+
+    def table(self, commit: str, name: str) -> DataFrame:
+        """One table of one saved run; no other folder is listed or read."""
+        return self.spark.read.parquet(f"{self._folder(name)}/commit={commit}")
+
+    def all_details(self, name: str) -> DataFrame:
+        """(id, ...) over all runs that are listed; folders of other commits are pruned."""
+        current_runs = current(self.runs.rows()).select("id", "commit")
+        rows = self.spark.read.option("mergeSchema", True).parquet(self._folder(name))
+        return rows.join(current_runs, "commit").drop("commit")
+
+    def orphans(self, name: str) -> DataFrame:
+        """(commit) of folders that no row names: left by crashes, or by a save still under way."""
+        named = self.runs.rows().select("commit").distinct()
+        return self.spark.read.parquet(self._folder(name)).select("commit").distinct().join(named, "commit", "left_anti")

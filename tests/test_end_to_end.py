@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from shiftlens.operators import profiling
 from shiftlens.operators.cleaning import clean
 from shiftlens.operators.cohorts import tag
-from shiftlens.plans.investigation import detect_window, investigate
+from shiftlens.plans.investigation import detect_window, investigate, rebuild
 from shiftlens.sources import files
-from shiftlens.sources.history import HistoryTable
+from shiftlens.sources.history import HistoryTable, RunStore, current
 
 
 @pytest.fixture(scope="module")
@@ -70,7 +70,7 @@ def test_parcels_investigation(spark, parcels, tmp_path):
     loaded = history.load("RUN-1").first()
     assert loaded["metric_col"] == "on_time"
     assert len(loaded["hypotheses"]) == len(hypotheses)
-    assert len(loaded["contributions"]) == run.contributions.count()
+    assert "contributions" not in loaded and loaded["executive_summary"].startswith("on_time moved from")
     assert history.load("missing").count() == 0
     ids = spark.createDataFrame([("RUN-1",), ("missing",)], "id string")
     assert history.delete(ids, saved_at + F.expr("interval 2 minutes")) == 1
@@ -81,6 +81,40 @@ def test_parcels_investigation(spark, parcels, tmp_path):
     assert spark.read.text(f"file:{tmp_path}/report").count() == run.lines.count()
 
 
+def test_save_crash_save_and_rebuild(spark, tmp_path):
+    """Readers see whole saves only: details without a row are ignored, the last row wins."""
+    df = tag(spark.createDataFrame(frames.turbines()), F.col("date") >= "2023-08-09")
+    store = RunStore(spark, f"file:{tmp_path}/store")
+    stamp = lambda minute: F.lit(f"2024-11-01 12:{minute:02d}:00").cast("timestamp")
+    assert rebuild(store, "RUN-7") is None
+    first = investigate(df, "stalled", ["model"], [], "RUN-7")
+    first.save(store, "First", "turbines", stamp(0))
+    second = investigate(df, "stalled", ["model", "site"], ["heat"], "RUN-7")
+    store.write_details(second.details())  # the writer is lost before the row
+
+    def lines(run):
+        return sorted(map(tuple, run.lines.collect()))
+
+    assert lines(rebuild(store, "RUN-7")) == lines(first)
+    assert store.orphans("contributions").count() == 1
+    second.save(store, "Second", "turbines", stamp(1))
+    again = rebuild(store, "RUN-7")
+    assert lines(again) == lines(second) and again.tagged is None
+    assert again.nodes.count() == second.nodes.count() and again.curve.count() == second.curve.count()
+    assert again.audit(stamp(2)).count() == second.audit(stamp(2)).count()
+    assert store.all_details("contributions").count() == second.contributions.count()
+    assert [r["title"] for r in store.runs.list().collect()] == ["Second"]
+    assert store.runs.delete(spark.createDataFrame([("RUN-7",)], "id string"), stamp(3)) == 1
+    assert rebuild(store, "RUN-7") is None and store.all_details("contributions").isEmpty()
+
+
+def test_writers_with_one_version_agree(spark):
+    rows = spark.createDataFrame(
+        [("r", "t", 3, False, c) for c in ("c-1", "c-2")], "id string, saved_at string, version long, deleted boolean, commit string"
+    )
+    assert {current(rows.repartition(n)).first()["commit"] for n in (1, 5)} == {"c-2"}
+
+
 def test_stall_spike(spark):
     df = tag(spark.createDataFrame(frames.turbines()), F.col("date") >= "2023-08-09")
     run = investigate(df, "stalled", ["model", "site"], ["heat"])
