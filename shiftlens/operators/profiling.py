@@ -81,15 +81,32 @@ def dataset_shape(df: DataFrame) -> DataFrame:
     )
 
 
+def _fingerprint(df: DataFrame) -> list[Column]:
+    """128 bits over the flat columns; equal rows have equal ones, signs of zero and kinds of NaN set aside."""
+    floats = (T.FloatType, T.DoubleType)
+    flat = [_quoted(f) + F.lit(0.0) if isinstance(f.dataType, floats) else _quoted(f) for f in flat_fields(df)]
+    missing = [F.concat(*(c.isNull().cast("string") for c in flat))] if flat else []
+    return [F.xxhash64(F.lit(1), *flat).alias("_a"), F.xxhash64(F.lit(2), *missing, *flat, F.lit(3)).alias("_b")]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows that equal an earlier row. Copies of one row collapse before the shuffle."""
-    copies = df.groupBy(*(_quoted(f) for f in df.schema.fields)).agg(F.count(F.lit(1)).alias("_n"))
-    counted = copies.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
-    )
-    share = ratio(F.col("duplicate_rows"), F.col("n_rows")) * 100.0
-    return counted.withColumn("duplicate_pct", share)
+    """Rows that equal an earlier row, found by fingerprint and then verified.
+
+    Only two hashes and a count per different row are shuffled. Rows whose fingerprint
+    occurs once are no copies; the others are compared on all columns, so a collision
+    of hashes changes nothing. The written list of shared fingerprints lets Spark
+    choose its join by real size.
+    """
+    prints = _fingerprint(df)
+    counted = materialize(df.select(*prints).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")), "fingerprints")
+    shared = materialize(counted.filter("_n > 1").select("_a", "_b"), "shared-fingerprints")
+    whole = F.struct(*(_quoted(f).alias(f"c{i}") for i, f in enumerate(df.schema.fields))).alias("_row")
+    suspects = df.select(*prints, whole).join(shared, ["_a", "_b"], "left_semi")
+    copies = suspects.groupBy("_a", "_b", "_row").agg(F.count(F.lit(1)).alias("_n"))
+    extra = copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    out = extra.select(total.scalar().alias("n_rows"), "duplicate_rows")
+    return out.withColumn("duplicate_pct", ratio(F.col("duplicate_rows"), F.col("n_rows")) * 100.0)
 
 
 def column_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
