@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 KEY = ["_key_a", "_key_b"]
 ROW = "_row"
+BROADCAST_ENTRIES = 500_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,3 +48,9 @@ def unsealed(docs: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     made = docs.select(ROW, *(value.alias(place[c]) for c, value in new.items()))
     old = [F.col(place[c] if c in new else f"{ROW}.`{c}`").alias(c) for c in columns]
     return made.select(*old, *(F.col(place[c]).alias(c) for c in new if c not in columns))
+
+
+def sized(rows: DataFrame, entries: str) -> DataFrame:
+    """Rows for a join, broadcast only if their lists hold at most ``BROADCAST_ENTRIES`` entries in all."""
+    total = rows.agg(F.sum(F.size(entries) + 1).alias("n")).first()["n"] or 0
+    return F.broadcast(rows) if total <= BROADCAST_ENTRIES else rows

@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.llm.native import KEY, with_key
+from shiftlens.llm.native import KEY, sized, with_key
 from shiftlens.session import materialize
 
 SIZE, GRAM = 400, 200
@@ -43,7 +43,6 @@ BLOCK = 1 << 18
 TEXTS = 500
 HOT = 5000
 TASK_BYTES = 2 << 20
-BROADCAST_ROWS = 200_000
 BASES = [0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7]
 PLACE_BITS = 24
 ANCHOR = "_key_a long, _key_b long, gram long, context long, at long, first long, last long"
@@ -248,8 +247,7 @@ def _edges(candidates: DataFrame, counts: DataFrame, docs: DataFrame) -> DataFra
         rows.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "contexts", "single", "at", "first", "last")).alias("rows")), "repeat-edges"
     )
     keyed = with_key(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", "text")
-    wanted = F.broadcast(per_doc) if per_doc.count() <= BROADCAST_ROWS else per_doc
-    named = keyed.join(wanted, KEY).select(*KEY, F.encode("text", "UTF-8").alias("data"), F.explode("rows").alias("r"))
+    named = keyed.join(sized(per_doc, "rows"), KEY).select(*KEY, F.encode("text", "UTF-8").alias("data"), F.explode("rows").alias("r"))
     length = (F.col("r.last") - F.col("r.first") + SIZE).cast("int")
     cut = F.substring("data", (F.col("r.first") + 1).cast("int"), length)
     return materialize(named.select(*KEY, "r.*", cut.alias("bytes")), "repeat-contexts")
@@ -330,7 +328,7 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, the spans taken out, and the remaining bytes."""
     spans = repeated_spans(docs, hot)
     keyed = with_key(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", "text")
-    joined = keyed.join(F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans, KEY, "left")
+    joined = keyed.join(sized(spans, "spans"), KEY, "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

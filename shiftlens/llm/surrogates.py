@@ -31,10 +31,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.native import KEY, sealed, unsealed, with_key
+from shiftlens.llm.native import KEY, sealed, sized, unsealed, with_key
 from shiftlens.session import materialize
 
-BROADCAST_ROWS = 200_000
 PATIENCE = 6
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 WORD = r"[^\W\d_]"
@@ -294,8 +293,7 @@ def replace(docs: DataFrame, key: str, with_count: str | None = None) -> DataFra
     changes = F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("_changes")
     # Equal rows find the same mentions; one copy of each is enough.
     per_doc = materialize(named.dropDuplicates([*KEY, "start"]).groupBy(*KEY).agg(changes), "entity-changes")
-    small = F.broadcast(per_doc) if per_doc.count() <= BROADCAST_ROWS else per_doc
-    joined = with_key(sealed(docs, "doc_id", "text"), "doc_id", "text").join(small, KEY, "left")
+    joined = with_key(sealed(docs, "doc_id", "text"), "doc_id", "text").join(sized(per_doc, "_changes"), KEY, "left")
 
     @F.pandas_udf("string")
     def rewritten(texts, changes):
