@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 # Cut off where the tokenizer parts a full stop or comma from the letter before it.
 PARTED = r"([A-Za-z])([.,])([ \t\n\v\f\r]|$)"
 MARK = "\x00"
-MOST_CHUNKS = 1_200_000
+MOST_CHUNKS = 500_000
 
 
 class ChunkEncoder:

@@ -108,4 +108,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
             .otherwise(0)
         )
 
-    return unsealed(base, [c for c in docs.columns if c != "licenses"], licenses=F.array_sort(found, order))
+    return unsealed(base, [c for c in docs.columns if c != "licenses"], ("text",), licenses=F.array_sort(found, order))

@@ -37,16 +37,16 @@ def with_key(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def sealed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, and the whole row in one struct, so that no other input name can clash."""
-    whole = F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns)).alias(ROW)
-    return docs.select(*columns, whole)
+    """The named columns, and all others in one struct, so that no other input name can clash."""
+    others = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in columns]
+    return docs.select(*columns, (F.struct(*others) if others else F.lit(True)).alias(ROW))
 
 
-def unsealed(docs: DataFrame, columns: list[str], **new: Column) -> DataFrame:
-    """The columns of a sealed row, those in ``new`` replaced or added."""
+def unsealed(docs: DataFrame, columns: list[str], beside: tuple[str, ...] = ("doc_id", "text"), **new: Column) -> DataFrame:
+    """The columns of sealed rows, of which ``beside`` stood beside the struct; those in ``new`` replaced or added."""
     place = {c: f"_new_{k}" for k, c in enumerate(new)}
-    made = docs.select(ROW, *(value.alias(place[c]) for c, value in new.items()))
-    old = [F.col(place[c] if c in new else f"{ROW}.`{c}`").alias(c) for c in columns]
+    made = docs.select(ROW, *beside, *(value.alias(place[c]) for c, value in new.items()))
+    old = [F.col(place[c] if c in new else c if c in beside else f"{ROW}.`{c}`").alias(c) for c in columns]
     return made.select(*old, *(F.col(place[c]).alias(c) for c in new if c not in columns))
 
 

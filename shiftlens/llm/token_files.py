@@ -23,7 +23,7 @@ from shiftlens.session import materialize
 
 SHARD_BYTES = 16 << 20
 FILE_IDS = 4 << 20
-BATCH = 2000
+BATCH = 1000
 MANIFEST = "part int, number int, file string, n_docs long, n_ids long"
 DOCUMENTS = "file string, doc_id long, local_start long, n_tokens long, ids binary"
 
