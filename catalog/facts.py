@@ -70,6 +70,8 @@ def shipments_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SHIPMENTS_DIMS = ["flag", "line_status"]
 SHIPMENTS_COVARIATES = ["discount", "tax", "quantity", "handling"]
+BATCH_METRICS = ["revenue", "quantity", "discount"]
+BATCH_CUTOFFS = [SHIPMENTS_CUTOFF, "1996-01-01"]
 SHIPMENTS_SQL = f"""
 fact AS (
   SELECT l_shipdate AS ts, CASE WHEN l_shipdate >= TIMESTAMP '{SHIPMENTS_CUTOFF}' AND l_linestatus = 'F' AND l_quantity > 40

@@ -652,9 +652,13 @@ ASSOCIATION = "CASE WHEN cramers_v < 0.1 THEN 'negligible' WHEN cramers_v < 0.3
 ORACLES["cramers_v"] = f"""{with_(QUALITY, long_cte('quality', ['lang', 'source']), moments_cte(), chi_cte())}
 SELECT dimension, total_base, total_anom, {r('chi2', 6)} AS chi2, {r('cramers_v', 6)} AS cramers_v, {ASSOCIATION} AS association FROM chi"""
 
-COVARIATES = "long AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS covariate, period, {c}::DOUBLE AS x, revenue AS y FROM fact" for c in facts.SHIPMENTS_COVARIATES
-) + ")"
+def covariates_cte(metric: str, names: list[str]) -> str:
+    return "long AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS covariate, period, {c}::DOUBLE AS x, {metric}::DOUBLE AS y FROM fact" for c in names
+    ) + ")"
+
+
+COVARIATES = covariates_cte("revenue", facts.SHIPMENTS_COVARIATES)
 
 
 def correlation_cte(name: str, x: str, y: str, source: str) -> str:
@@ -766,12 +770,12 @@ def _prefixed(cte: str, names: list[str], prefix: str) -> str:
 _TEST_NAMES = ["long", "means", "skews", "mom", "w0", "w1", "welch", "rk", "u0", "u1", "u2", "ranks", "tests"]
 
 
-def covariate_block(run: str, metric: str) -> str:
+def covariate_block(run: str, metric: str, names: list[str] = facts.SHIPMENTS_COVARIATES) -> str:
     tests = ",\n".join(full_tests("covariate", "true"))
     tests = tests.replace("welch.*", "cwelch.*").replace("ranks.*", "cranks.*")
     tests = _prefixed(tests, _TEST_NAMES, "c")
     tests = tests.replace("ccwelch", "cwelch").replace("ccranks", "cranks")
-    longs = COVARIATES.replace("long AS", "clong AS", 1)
+    longs = covariates_cte(metric, names).replace("long AS", "clong AS", 1)
     pearson_sql = PEARSON.replace("FROM long", "FROM clong")
     ranks_sql = PAIR_RANKS.replace("FROM long", "FROM clong")
     both = (
@@ -823,23 +827,29 @@ def _place(names: list[str], column: str = "dimension") -> str:
 
 _DIMS, _COVS = facts.SHIPMENTS_DIMS, facts.SHIPMENTS_COVARIATES
 _COMMON = "family, hypothesis_id, dimension, dimension_value, title, status, score"
-RANKED = ",\n".join([
-    SHIPMENTS, SHIP_LONG[1], *full_tests(),
-    contribs_cte("revenue").replace("FROM mom CROSS JOIN tot", "FROM mom CROSS JOIN tot WHERE dimension IN ('flag', 'line_status')"),
-    segment_family("shipments", "revenue"),
-    mix_family("shipments", "revenue", _DIMS),
-    covariate_block("shipments", "revenue"),
-    joint_family("shipments", "revenue", _DIMS),
-    f"""
+
+
+def ranked(fact: str, run: str, metric: str, covariates: list[str]) -> str:
+    """All families of one run over the dimensions of the shipments, ranked."""
+    only = "FROM mom CROSS JOIN tot WHERE dimension IN ('flag', 'line_status')"
+    families = f"""
 fams AS (
   SELECT {_COMMON}, 0 AS o0, {_place(_DIMS)} AS o1, 0 AS o2, impact_rank AS o3, test_name, p_value, effect_name, effect FROM fam_seg
   UNION ALL SELECT {_COMMON}, 0, {_place(_DIMS)}, 1, 0, test_name, p_value, effect_name, effect FROM fam_mix
-  UNION ALL SELECT {_COMMON}, 1, {_place(_COVS)}, 0, 0, 'Pearson Correlation', r_p, 'Pearson r', r FROM fam_cov
+  UNION ALL SELECT {_COMMON}, 1, {_place(covariates)}, 0, 0, 'Pearson Correlation', r_p, 'Pearson r', r FROM fam_cov
   UNION ALL SELECT {_COMMON}, 2, 0, 0, volume_rank, test_name, p_value, effect_name, effect FROM fam_int),
 hyps AS (
   SELECT *, row_number() OVER (ORDER BY CASE status WHEN 'supported' THEN 0 WHEN 'weak' THEN 1 WHEN 'inconclusive' THEN 2 ELSE 3 END,
-    score DESC, o0, o1, o2, o3) AS rank FROM fams)""",
-])
+    score DESC, o0, o1, o2, o3) AS rank FROM fams)"""
+    return ",\n".join([
+        fact, long_cte(metric, _DIMS, joint=True), *full_tests(),
+        contribs_cte(metric).replace("FROM mom CROSS JOIN tot", only),
+        segment_family(run, metric), mix_family(run, metric, _DIMS), covariate_block(run, metric, covariates),
+        joint_family(run, metric, _DIMS), families,
+    ])
+
+
+RANKED = ranked(SHIPMENTS, "shipments", "revenue", _COVS)
 ORACLES["hypotheses_ranked"] = f"{with_(RANKED)} SELECT rank, family, {HYP}, {r('score')} AS score FROM hyps"
 ORACLES["hyp_by_status"] = f"{with_(RANKED)} SELECT rank, family, {HYP}, {r('score')} AS score FROM hyps WHERE status = 'supported'"
 
@@ -904,16 +914,35 @@ SELECT rank, upper(status) AS status, title, dimension, {r('score')} AS score, t
   printf('%s=%+.2f', effect_name, coalesce(effect, 0.0)) AS effect FROM hyps WHERE rank <= 8"""
 ORACLES["report_scenarios"] = f"""{with_(*SHIP_CONTRIBS, scenarios_cte())}
 SELECT scenario_rank AS line_no, {_SCENARIO_TEXT} AS text FROM top"""
-ORACLES["report_lines"] = f"""{with_(RANKED, scenarios_cte())},
+
+
+def report_sql(fact: str, run: str, metric: str, covariates: list[str]) -> str:
+    return f"""{with_(ranked(fact, run, metric, covariates), scenarios_cte())},
 lines AS (
-  SELECT 1 AS section, 1 AS line_no, printf('%s moved from %.4f to %.4f, a %.2f%% %s, found by %s; primary explanation: %s', 'revenue',
+  SELECT 1 AS section, 1 AS line_no, printf('%s moved from %.4f to %.4f, a %.2f%% %s, found by %s; primary explanation: %s', '{metric}',
     overall_base, overall_anom, abs({_CHANGE}), {_DIRECTION}, 'user_specified', {_PRIMARY}) AS text FROM tot
   UNION ALL SELECT 2, overall_rank, {_CONTRIBUTION_TEXT} FROM con WHERE overall_rank <= 4
   UNION ALL SELECT 3, rank, printf('#%d %s | %s | %s | %.1f%% | %s (%s)', rank, upper(status), title, dimension, score, test_name,
     printf('%s=%+.2f', effect_name, coalesce(effect, 0.0))) FROM hyps WHERE rank <= 8
   UNION ALL SELECT 4, scenario_rank, {_SCENARIO_TEXT} FROM top
   UNION ALL SELECT 5, * FROM (VALUES {", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(report.CAVEATS))}))
-SELECT 'shipments' AS run_id, section::BIGINT AS section, line_no::BIGINT AS line_no, text FROM lines"""
+SELECT '{run}' AS run_id, section::BIGINT AS section, line_no::BIGINT AS line_no, text FROM lines"""
+
+
+def batch_fact(cutoff: str) -> str:
+    """The shipments with another window."""
+    period = f"CASE WHEN ts >= TIMESTAMP '{cutoff}' THEN 'anomaly' WHEN ts < TIMESTAMP '{cutoff}' THEN 'baseline' END AS period"
+    return f"{SHIPMENTS.replace('fact AS', 'planted AS', 1)},\nfact AS (SELECT * REPLACE ({period}) FROM planted)"
+
+
+def batch_sql() -> str:
+    runs = [(m, c) for m in facts.BATCH_METRICS for c in facts.BATCH_CUTOFFS]
+    parts = [report_sql(batch_fact(c), f"{m}@{c}", m, [x for x in _COVS if x != m]) for m, c in runs]
+    return " UNION ALL ".join(f"SELECT * FROM ({part})" for part in parts)
+
+
+ORACLES["report_lines"] = report_sql(SHIPMENTS, "shipments", "revenue", _COVS)
+ORACLES["report_lines_batch"] = batch_sql()
 ORACLES["history_rebuild"] = ORACLES["report_lines"]
 ORACLES["history_contributions"] = f"""{with_(*SHIP_CONTRIBS)}
 SELECT id, {SEG}, {r('contribution')} AS contribution FROM con, (VALUES ('a'), ('c')) AS v(id)"""

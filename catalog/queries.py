@@ -15,6 +15,7 @@ from shiftlens.operators import decomposition as dec
 from shiftlens.operators import hypotheses as hyp
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import window_summary
+from shiftlens.plans.batch import Run, investigate_runs
 from shiftlens.plans.investigation import Investigation, detect_window, investigate, rebuild
 from shiftlens.session import materialize, new_table_path
 from shiftlens.sources import files, history
@@ -693,6 +694,17 @@ def report_lines(spark, sf_dir):
     return out(_investigation(spark, sf_dir).lines)
 
 
+@query
+def report_lines_batch(spark, sf_dir):
+    """Reports of three metrics in two windows each, from one set of jobs."""
+    runs = [
+        Run(f"{metric}@{cutoff}", metric, F.col("ts") >= F.lit(cutoff).cast("timestamp_ntz"))
+        for metric in facts.BATCH_METRICS for cutoff in facts.BATCH_CUTOFFS
+    ]
+    rows = facts.shipments_fact(spark, sf_dir).drop("period")
+    return out(investigate_runs(rows, runs, facts.SHIPMENTS_DIMS, facts.SHIPMENTS_COVARIATES).lines)
+
+
 @query
 def history_rebuild(spark, sf_dir):
     """The report of a run that was saved, half saved again with other tables, and rebuilt."""

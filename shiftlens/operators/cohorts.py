@@ -38,12 +38,12 @@ def by_period(function, value: Column, name: str) -> list[Column]:
 
 
 def window_from_totals(
-    totals: DataFrame, metric: str, method: str, flagged: Column | None = None
+    totals: DataFrame, metric: str | Column, method: str | Column, flagged: Column | None = None, keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row: cohort sizes, raw means, change, direction and method."""
+    """One row, or one per run of ``keys``: cohort sizes, raw means, change, direction and method."""
     delta = F.col("anomaly_mean") - F.col("baseline_mean")
     return totals.select(
-        F.lit(metric).alias("metric"),
+        *keys, F.lit(metric).alias("metric"),
         F.col("total_base").alias("baseline_count"),
         F.col("total_anom").alias("anomaly_count"),
         F.col("overall_base").alias("baseline_mean"),

@@ -50,11 +50,11 @@ def long_segments(
     )
 
 
-def segment_moments(long: DataFrame) -> DataFrame:
-    """Volumes and moments per segment; a missing segment value is no segment."""
+def segment_moments(long: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Volumes and moments per segment, of each run if ``keys`` names runs; a missing segment value is no segment."""
     return (
         long.filter(F.col("segment_value").isNotNull())
-        .groupBy("dimension", "segment_value")
+        .groupBy(*keys, "dimension", "segment_value")
         .agg(
             F.count_if(in_baseline()).alias("volume_base"),
             F.count_if(in_anomaly()).alias("volume_anom"),
@@ -63,9 +63,10 @@ def segment_moments(long: DataFrame) -> DataFrame:
     )
 
 
-def totals_row(segments: DataFrame) -> DataFrame:
-    """Cohort totals read from the ``whole`` dimension of a segment table."""
+def totals_row(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Cohort totals, one row per run, read from the ``whole`` dimension of a segment table."""
     return segments.filter(F.col("dimension") == WHOLE).select(
+        *keys,
         F.col("volume_base").alias("total_base"),
         F.col("volume_anom").alias("total_anom"),
         F.col("mean_base").alias("overall_base"),
@@ -73,15 +74,18 @@ def totals_row(segments: DataFrame) -> DataFrame:
     )
 
 
-def contributions(segments: DataFrame, totals: DataFrame) -> DataFrame:
-    """Shares, rates, rate and mix effect, contribution and the driver flag."""
+def contributions(segments: DataFrame, totals: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Shares, rates, rate and mix effect, contribution and the driver flag.
+
+    ``keys`` name the run; its totals are one row per run, so they are broadcast.
+    """
     one = totals.select(
-        F.struct("total_base", "total_anom", "overall_base", "overall_anom").alias("t")
+        *keys, F.struct("total_base", "total_anom", "overall_base", "overall_anom").alias("t")
     )
+    known = segments.join(F.broadcast(one), [*keys]) if keys else segments.withColumn("t", one.scalar())
     base_seen, anom_seen = F.col("volume_base") > 0, F.col("volume_anom") > 0
     shares = (
-        segments.withColumn("t", one.scalar())
-        .filter((F.col("t.total_base") > 0) & (F.col("t.total_anom") > 0))
+        known.filter((F.col("t.total_base") > 0) & (F.col("t.total_anom") > 0))
         .withColumns({
             "share_base": ratio(F.col("volume_base"), F.col("t.total_base")),
             "share_anom": ratio(F.col("volume_anom"), F.col("t.total_anom")),
@@ -121,15 +125,22 @@ def impact_order() -> list[Column]:
     return [F.desc_nulls_last(size), F.asc("dimension"), F.asc("segment_value")]
 
 
-def top_per_dimension(contribs: DataFrame, k: int = 5) -> DataFrame:
-    order = Window.partitionBy("dimension").orderBy(*impact_order())
+def top_per_dimension(contribs: DataFrame, k: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    order = Window.partitionBy(*keys, "dimension").orderBy(*impact_order())
     return contribs.withColumn("impact_rank", F.row_number().over(order)).filter(F.col("impact_rank") <= k)
 
 
-def top_overall(contribs: DataFrame, k: int = 8) -> DataFrame:
-    """The k largest contributions; a top-k, so the window sees k rows."""
-    first = contribs.orderBy(*impact_order()).limit(k)
-    return first.withColumn("impact_rank", F.row_number().over(Window.orderBy(*impact_order())))
+def leading(rows: DataFrame, order: list[Column], k: int, rank: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The first k rows, of each run if ``keys`` names runs, with their rank; each task first keeps its own k."""
+    if keys:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn(rank, place).filter(F.col(rank) <= k)
+    return rows.orderBy(*order).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+
+
+def top_overall(contribs: DataFrame, k: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The k largest contributions."""
+    return leading(contribs, impact_order(), k, "impact_rank", keys)
 
 
 def contribution_bars(contribs: DataFrame, direction: Column, k: int = 8) -> DataFrame:

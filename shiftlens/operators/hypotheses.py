@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +11,14 @@ from shiftlens.functions.numeric import named, number
 from shiftlens.functions.ordering import BUCKET, bucket_of, column_split_points
 from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import PERIOD
-from shiftlens.operators.decomposition import JOINT, top_per_dimension
+from shiftlens.operators.decomposition import JOINT, leading, top_per_dimension
 from shiftlens.session import materialize
 
 TOP_SEGMENTS = 5
 TOP_JOINT = 3
 SEGMENT = ["dimension", "segment_value"]
+RUN_KEYS = ("run_id", "metric")
+Name = str | Column
 
 CAVEATS = [
     "An association seen in this data is no proof of a cause.",
@@ -39,7 +43,7 @@ def _evidence(interpretation: Column, **columns: Column) -> Column:
     return F.struct(*parts, shown_p, interpretation.alias("interpretation"))
 
 
-def _hypothesis_id(prefix: str, run_id: str, metric: str) -> Column:
+def _hypothesis_id(prefix: str, run_id: Name, metric: Name) -> Column:
     text = F.concat_ws("|", F.lit(run_id), F.lit(metric), "dimension", "dimension_value")
     return F.concat(F.lit(f"HYP-{prefix}-"), F.upper(F.substring(F.md5(text), 1, 8)))
 
@@ -55,7 +59,7 @@ def _position(column: str, names: list[str]) -> Column:
     return where
 
 
-def _shaped(table: DataFrame, prefix: str, family: str, run_id: str, metric: str, order: list[Column]) -> DataFrame:
+def _shaped(table: DataFrame, prefix: str, family: str, run_id: Name, metric: Name, order: list[Column]) -> DataFrame:
     """Common hypothesis columns; ``order`` breaks score ties in listing order."""
     while len(order) < 4:
         order.append(F.lit(0))
@@ -70,10 +74,15 @@ def _shaped(table: DataFrame, prefix: str, family: str, run_id: str, metric: str
     )
 
 
-def segment_tests(contribs: DataFrame, long: DataFrame, k: int = TOP_SEGMENTS) -> DataFrame:
+def _split_by(keys: tuple[str, ...]) -> str | None:
+    """Runs of one metric share the range of its values."""
+    return "metric" if keys else None
+
+
+def segment_tests(contribs: DataFrame, long: DataFrame, k: int = TOP_SEGMENTS, keys: tuple[str, ...] = ()) -> DataFrame:
     """Two-sample test of each leading contributor, with verdict and boosted score."""
-    leading = top_per_dimension(contribs, k).filter((F.col("volume_base") >= 5) & (F.col("volume_anom") >= 5))
-    tested = st.two_sample(leading, long, SEGMENT)
+    first = top_per_dimension(contribs, k, keys).filter((F.col("volume_base") >= 5) & (F.col("volume_anom") >= 5))
+    tested = st.two_sample(first, long, [*keys, *SEGMENT], _split_by(keys))
     sign = F.when(F.col("total_delta") < 0, -1.0).otherwise(1.0)
     judged = st.verdict(tested, sign)
     boosted = F.least(
@@ -83,10 +92,11 @@ def segment_tests(contribs: DataFrame, long: DataFrame, k: int = TOP_SEGMENTS) -
 
 
 def segment_hypotheses(
-    contribs: DataFrame, long: DataFrame, dimensions: list[str], run_id: str, metric: str, k: int = TOP_SEGMENTS
+    contribs: DataFrame, long: DataFrame, dimensions: list[str], run_id: Name, metric: Name, k: int = TOP_SEGMENTS,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    subject = F.concat(F.lit(f"{metric} in "), "dimension", F.lit("="), "segment_value")
-    tested = segment_tests(contribs, long, k).withColumn("dimension_value", F.col("segment_value"))
+    subject = F.concat(F.lit(metric), F.lit(" in "), "dimension", F.lit("="), "segment_value")
+    tested = segment_tests(contribs, long, k, keys).withColumn("dimension_value", F.col("segment_value"))
     table = (
         tested.withColumn("title", F.format_string("Segment %s = '%s' drives the change", "dimension", "segment_value"))
         .withColumn(
@@ -104,13 +114,13 @@ def segment_hypotheses(
     return _shaped(table, "SEG", "segment_performance", run_id, metric, order)
 
 
-def mix_tests(segments: DataFrame) -> DataFrame:
+def mix_tests(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Chi-square of each dimension that has enough rows and two baseline categories."""
-    tested = st.chi_square(segments).filter(
+    tested = st.chi_square(segments, keys).filter(
         (F.col("total_base") >= 10) & (F.col("total_anom") >= 10) & (F.col("categories_base") >= 2)
     )
     named = tested.select(
-        "dimension",
+        *keys, "dimension",
         F.lit(st.CHI_SQUARE).alias("test_name"),
         F.col("chi2").alias("statistic"),
         "p_value",
@@ -124,7 +134,9 @@ def mix_tests(segments: DataFrame) -> DataFrame:
     return st.verdict(named)
 
 
-def mix_hypotheses(segments: DataFrame, dimensions: list[str], run_id: str, metric: str) -> DataFrame:
+def mix_hypotheses(
+    segments: DataFrame, dimensions: list[str], run_id: Name, metric: Name, keys: tuple[str, ...] = ()
+) -> DataFrame:
     text = F.format_string(
         "%s: %s change of composition, chi2 = %.2f, df = %d, p = %.4f, V = %.3f (%s)",
         F.col("test_name"), st.significance_word(F.col("p_value")), F.col("statistic"),
@@ -132,7 +144,7 @@ def mix_hypotheses(segments: DataFrame, dimensions: list[str], run_id: str, metr
     )
     none = F.lit(None).cast("double")
     table = (
-        mix_tests(segments).withColumn("dimension_value", F.lit(None).cast("string"))
+        mix_tests(segments, keys).withColumn("dimension_value", F.lit(None).cast("string"))
         .withColumn("title", F.format_string("The mix of '%s' shifted", "dimension"))
         .withColumn(
             "description",
@@ -192,9 +204,14 @@ def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> Da
     """Correlations, shift and verdict per covariate; moments and pairs in one aggregate."""
     tagged = tagged.select(PERIOD, *(named(c) for c in [metric, *covariates]))
     long = long_covariates(tagged, metric, covariates)
+    return judged_covariates(long, lambda: placed_covariates(tagged, metric, covariates))
+
+
+def judged_covariates(long: DataFrame, place: Callable[[], DataFrame]) -> DataFrame:
+    """Tests and verdict per key in the column ``covariate`` of ``long_covariates`` and ``placed_covariates``."""
     table = long.groupBy("covariate").agg(*st.moment_columns(), *st.pair_columns())
     table = materialize(table, "covariates")
-    placed = placed_covariates(tagged, metric, covariates)
+    placed = place()
     linear = st.pearson(table.select("covariate", "n_pairs", "_cov", "_sx", "_sy"))
     ranked = st.spearman(placed, "covariate").drop("n_pairs")
     shift = covariate_shift(covariate_values(placed), table.drop("n_pairs", "_cov", "_sx", "_sy"))
@@ -223,14 +240,17 @@ def covariate_tests(tagged: DataFrame, metric: str, covariates: list[str]) -> Da
 def covariate_hypotheses(
     tagged: DataFrame, covariates: list[str], run_id: str, metric: str
 ) -> DataFrame:
-    tested = covariate_tests(tagged, metric, covariates)
+    return covariate_family(covariate_tests(tagged, metric, covariates), covariates, run_id, metric)
+
+
+def covariate_family(tested: DataFrame, covariates: list[str], run_id: Name, metric: Name) -> DataFrame:
     none = F.lit(None).cast("double")
     whole = {"n_base": F.col("n_pairs"), "n_anom": F.lit(0), "df": none, "ci_low": none, "ci_high": none}
 
     def correlation(name: str, effect: str, word: str) -> Column:
         p = F.col(f"{effect}_p")
         text = F.format_string(
-            f"{word} correlation with {metric}: %+.3f (p = %.4f)", F.coalesce(F.col(effect), F.lit(0.0)), p
+            "%s correlation with %s: %+.3f (p = %.4f)", F.lit(word), F.lit(metric), F.coalesce(F.col(effect), F.lit(0.0)), p
         )
         return F.when(
             F.col("n_pairs") >= 10,
@@ -261,23 +281,24 @@ def covariate_hypotheses(
     return _shaped(table, "COV", "covariate_drift", run_id, metric, [F.lit(1), _position("covariate", covariates)])
 
 
-def joint_tests(segments: DataFrame, long: DataFrame, joint: str, k: int = TOP_JOINT) -> DataFrame:
+def joint_tests(
+    segments: DataFrame, long: DataFrame, joint: str, k: int = TOP_JOINT, keys: tuple[str, ...] = ()
+) -> DataFrame:
     """Two-sample test of the crossed cohorts with the most anomaly rows."""
     crossed = segments.filter((F.col("dimension") == joint) & (F.col("volume_anom") > 0))
-    first = crossed.orderBy(F.desc("volume_anom"), "segment_value").limit(k)
-    order = Window.orderBy(F.desc("volume_anom"), "segment_value")
-    first = first.withColumn("volume_rank", F.row_number().over(order))
+    first = leading(crossed, [F.desc("volume_anom"), F.asc("segment_value")], k, "volume_rank", keys)
     enough = first.filter((F.col("volume_base") >= 8) & (F.col("volume_anom") >= 8))
-    judged = st.verdict(st.two_sample(enough, long, SEGMENT))
+    judged = st.verdict(st.two_sample(enough, long, [*keys, *SEGMENT], _split_by(keys)))
     return judged.filter(F.col("status").isin("supported", "weak")).withColumn("score", F.col("score") + 5.0)
 
 
 def joint_hypotheses(
-    segments: DataFrame, long: DataFrame, dimensions: list[str], run_id: str, metric: str, k: int = TOP_JOINT
+    segments: DataFrame, long: DataFrame, dimensions: list[str], run_id: Name, metric: Name, k: int = TOP_JOINT,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
     joint = JOINT.join(dimensions[:2])
-    tested = joint_tests(segments, long, joint, k).withColumn("dimension_value", F.col("segment_value"))
-    subject = F.concat(F.lit(f"{metric} in "), "segment_value")
+    tested = joint_tests(segments, long, joint, k, keys).withColumn("dimension_value", F.col("segment_value"))
+    subject = F.concat(F.lit(metric), F.lit(" in "), "segment_value")
     table = (
         tested.withColumn("title", F.format_string("Crossed cohort '%s' changed", "segment_value"))
         .withColumn(

@@ -15,11 +15,12 @@ CAVEATS = [
 ]
 
 
-def report_summary(window: DataFrame, hypotheses: DataFrame, run_id: str) -> DataFrame:
-    """One executive row: the change and its best supported explanation."""
+def report_summary(window: DataFrame, hypotheses: DataFrame, run_id: str | Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One executive row per run: the change and its best supported explanation."""
     supported = hypotheses.filter(F.col("status") == "supported")
-    best = supported.agg(F.struct(F.min_by(F.struct("title", "score"), "rank").alias("h")).alias("b"))
-    return window.withColumn("b", best.scalar()).select(
+    best = supported.groupBy(*keys).agg(F.struct(F.min_by(F.struct("title", "score"), "rank").alias("h")).alias("b"))
+    known = window.join(F.broadcast(best), [*keys], "left") if keys else window.withColumn("b", best.scalar())
+    return known.select(
         F.lit(run_id).alias("run_id"),
         "metric", "baseline_mean", "anomaly_mean",
         F.abs("relative_pct_change").alias("abs_pct_change"),
@@ -29,10 +30,11 @@ def report_summary(window: DataFrame, hypotheses: DataFrame, run_id: str) -> Dat
     )
 
 
-def report_contributions(top: DataFrame) -> DataFrame:
+def report_contributions(top: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Text of the leading contributions, in order of impact."""
     mark = F.when(F.col("is_primary"), " [PRIMARY DRIVER]").otherwise("")
     return top.filter(F.col("impact_rank") <= CONTRIBUTION_ROWS).select(
+        *keys,
         F.col("impact_rank").alias("line_no"),
         F.format_string(
             "%s = '%s'%s: %+.1f%% of the change, rate %.4f to %.4f (%+.4f)",
@@ -42,14 +44,14 @@ def report_contributions(top: DataFrame) -> DataFrame:
     )
 
 
-def report_matrix(hypotheses: DataFrame) -> DataFrame:
+def report_matrix(hypotheses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The best-ranked hypotheses with their first test and effect."""
     first = F.get("evidence", F.lit(0))
     effect = F.format_string(
         "%s=%+.2f", first["effect_name"], F.coalesce(first["effect"], F.lit(0.0))
     )
     return hypotheses.filter(F.col("rank") <= MATRIX_ROWS).select(
-        "rank",
+        *keys, "rank",
         F.upper("status").alias("status"),
         "title", "dimension", "score",
         F.coalesce(first["test_name"], F.lit("N/A")).alias("test_name"),
@@ -57,8 +59,9 @@ def report_matrix(hypotheses: DataFrame) -> DataFrame:
     )
 
 
-def report_scenarios(scenarios: DataFrame) -> DataFrame:
+def report_scenarios(scenarios: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return scenarios.select(
+        *keys,
         F.col("scenario_rank").alias("line_no"),
         F.format_string(
             "%s: projected %.4f against observed %.4f, recovers %.1f%%, 95%% CI %.4f to %.4f",
@@ -69,7 +72,7 @@ def report_scenarios(scenarios: DataFrame) -> DataFrame:
 
 
 def report_lines(
-    summary: DataFrame, contributions: DataFrame, matrix: DataFrame, scenarios: DataFrame, run_id: str
+    summary: DataFrame, contributions: DataFrame, matrix: DataFrame, scenarios: DataFrame, run_id: str | Column
 ) -> DataFrame:
     """The whole report as (run_id, section, line_no, text)."""
 
@@ -89,7 +92,7 @@ def report_lines(
         F.col("rank"), F.col("status"), F.col("title"), F.col("dimension"),
         F.col("score"), F.col("test_name"), F.col("effect"),
     )
-    caveats = summary.select(F.posexplode(F.array(*[F.lit(c) for c in CAVEATS])))
+    caveats = summary.select("run_id", F.posexplode(F.array(*[F.lit(c) for c in CAVEATS])))
     return (
         section(summary, 1, F.lit(1), headline)
         .unionByName(section(contributions, 2, F.col("line_no"), F.col("text")))

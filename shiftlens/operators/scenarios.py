@@ -24,10 +24,13 @@ def is_candidate() -> Column:
     return F.coalesce(F.col("is_primary") | dropped | rose, F.lit(False))
 
 
-def scenario_candidates(contribs: DataFrame) -> DataFrame:
-    """Candidate segments, or all of them when none qualifies."""
+def scenario_candidates(contribs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Candidate segments, or all of them when none qualifies, of each run if ``keys`` names runs."""
     flagged = contribs.withColumn("is_candidate", is_candidate())
-    some = flagged.agg(F.coalesce(F.bool_or("is_candidate"), F.lit(False)).alias("some"))
+    some = flagged.groupBy(*keys).agg(F.coalesce(F.bool_or("is_candidate"), F.lit(False)).alias("some"))
+    if keys:
+        known = flagged.join(F.broadcast(some), [*keys])
+        return known.filter(F.col("is_candidate") | ~F.col("some")).drop("is_candidate", "some")
     return flagged.filter(F.col("is_candidate") | ~some.scalar()).drop("is_candidate")
 
 
@@ -57,10 +60,10 @@ def restore(contribs: DataFrame) -> DataFrame:
     })
 
 
-def top_scenarios(contribs: DataFrame, k: int = MAX_SCENARIOS) -> DataFrame:
+def top_scenarios(contribs: DataFrame, k: int = MAX_SCENARIOS, keys: tuple[str, ...] = ()) -> DataFrame:
     """The first k distinct candidate segments in order of impact."""
-    distinct = scenario_candidates(contribs).dropDuplicates(["dimension", "segment_value"])
-    return restore(top_overall(distinct, k)).withColumnRenamed("impact_rank", "scenario_rank")
+    distinct = scenario_candidates(contribs, keys).dropDuplicates([*keys, "dimension", "segment_value"])
+    return restore(top_overall(distinct, k, keys)).withColumnRenamed("impact_rank", "scenario_rank")
 
 
 def remediation_curve(scenarios: DataFrame) -> DataFrame:

@@ -220,16 +220,17 @@ def with_words(tests: DataFrame, subject: Column) -> DataFrame:
     })
 
 
-def chi_square(segments: DataFrame) -> DataFrame:
-    """Independence of period and category, per dimension, from segment volumes.
+def chi_square(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Independence of period and category, per dimension (and run), from segment volumes.
 
     Two categories take the continuity correction: each gap shrinks by at most 1/2.
     The dimension totals are one row per dimension column, so they are broadcast.
     """
+    by = [*keys, "dimension"]
     present = segments.filter((F.col("volume_base") + F.col("volume_anom")) > 0).select(
-        "dimension", "volume_base", "volume_anom"
+        *by, "volume_base", "volume_anom"
     )
-    totals = present.groupBy("dimension").agg(
+    totals = present.groupBy(*by).agg(
         F.sum("volume_base").alias("total_base"),
         F.sum("volume_anom").alias("total_anom"),
         F.count(F.lit(1)).alias("categories"),
@@ -244,8 +245,8 @@ def chi_square(segments: DataFrame) -> DataFrame:
         corrected = distance - F.when(gap, F.least(F.lit(0.5), distance)).otherwise(0.0)
         parts.append(ratio(corrected * corrected, expected))
     table = (
-        present.join(F.broadcast(totals), "dimension")
-        .groupBy("dimension", "total_base", "total_anom", "categories", "categories_base")
+        present.join(F.broadcast(totals), by)
+        .groupBy(*by, "total_base", "total_anom", "categories", "categories_base")
         .agg(F.sum(parts[0] + parts[1]).alias("_chi2"))
     )
     enough = F.col("categories") >= 2
