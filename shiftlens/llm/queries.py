@@ -116,7 +116,7 @@ def op2_licenses(spark, sf_dir):
     best = F.get("licenses", F.lit(0))
     return found.select(
         "doc_id", F.size("licenses").cast("long").alias("n_matches"), best["name"].alias("license"),
-        F.round(best["dice"], 6).alias("dice"), best["unit"].cast("long").alias("unit"),
+        F.round(best["dice"], 6).alias("dice"), best["start"].cast("long").alias("start"), best["end"].cast("long").alias("end"),
     )
 
 
