@@ -234,14 +234,14 @@ def column_types(spark, sf_dir):
 
 @query
 def numeric_stats(spark, sf_dir):
-    fact, counts, types = _types(spark, sf_dir)
-    return out(profiling.measured(profiling.numeric_stats(fact, counts), types))
+    fact, _, types = _types(spark, sf_dir)
+    return out(profiling.measured(profiling.numeric_stats(fact), types))
 
 
 @query
 def iqr_outliers(spark, sf_dir):
-    fact, counts, types = _types(spark, sf_dir)
-    return out(profiling.measured(profiling.iqr_outliers(fact, counts), types))
+    fact, _, types = _types(spark, sf_dir)
+    return out(profiling.measured(profiling.iqr_outliers(fact), types))
 
 
 @query
@@ -259,11 +259,11 @@ def candidate_columns(spark, sf_dir):
 @query
 def schema_health(spark, sf_dir):
     fact, counts, types = _types(spark, sf_dir)
-    quarters = materialize(profiling.quartiles(profiling.numeric_values(fact, counts)), "quartiles")
+    quarters = materialize(profiling.quartiles(fact), "quartiles")
     return profiling.schema_health(
         types,
-        profiling.numeric_stats(fact, counts, quarters),
-        profiling.iqr_outliers(fact, counts, quarters),
+        profiling.numeric_stats(fact, quarters),
+        profiling.iqr_outliers(fact, quarters),
         profiling.top_values(counts),
     )
 

@@ -28,12 +28,12 @@ PLACE = "_place"
 Cuts = dict[str | None, list[float]]
 
 
-def _cuts(column: Column, n: int) -> Column:
+def cuts_of(column: Column, n: int) -> Column:
     """Approximate i/n quantiles; the sketch error is a tenth of a bucket."""
     return F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n)
 
 
-def _by_task(df: DataFrame) -> DataFrame:
+def by_task(df: DataFrame) -> DataFrame:
     """Rows with one of ``FAN_IN`` numbers of the task that reads them."""
     return df.withColumn("_task", F.spark_partition_id() % FAN_IN)
 
@@ -46,8 +46,8 @@ def split_points(df: DataFrame, value: str, by: str | None = None) -> Cuts:
     ``bucket_count`` numbers per key reach the driver.
     """
     n, keys = bucket_count(df.sparkSession), [by] if by else []
-    parts = _by_task(df.select(*keys, F.col(value).alias("_x"))).groupBy(*keys, "_task").agg(_cuts(F.col("_x"), n).alias("cuts"))
-    merged = parts.select(*keys, F.explode("cuts").alias("_x")).groupBy(*keys).agg(_cuts(F.col("_x"), n).alias("cuts"))
+    parts = by_task(df.select(*keys, F.col(value).alias("_x"))).groupBy(*keys, "_task").agg(cuts_of(F.col("_x"), n).alias("cuts"))
+    merged = parts.select(*keys, F.explode("cuts").alias("_x")).groupBy(*keys).agg(cuts_of(F.col("_x"), n).alias("cuts"))
     if by is None:
         row = merged.first()
         return {None: sorted(set((row and row["cuts"]) or []))}
@@ -60,9 +60,9 @@ def column_split_points(df: DataFrame, columns: dict[str, Column]) -> Cuts:
     n = bucket_count(df.sparkSession)
     named = [f"_c{i}" for i in range(len(columns))]
     wide = df.select(*[c.alias(k) for k, c in zip(named, columns.values())])
-    parts = _by_task(wide).groupBy("_task").agg(*[_cuts(F.col(k), n).alias(k) for k in named])
+    parts = by_task(wide).groupBy("_task").agg(*[cuts_of(F.col(k), n).alias(k) for k in named])
     long = parts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("cuts")) for k in named])))
-    merged = long.select("k", F.explode("cuts").alias("x")).groupBy("k").agg(_cuts(F.col("x"), n).alias("cuts"))
+    merged = long.select("k", F.explode("cuts").alias("x")).groupBy("k").agg(cuts_of(F.col("x"), n).alias("cuts"))
     found = {row["k"]: sorted(set(row["cuts"])) for row in merged.collect()}
     return {name: found.get(k, []) for k, name in zip(named, columns)}
 

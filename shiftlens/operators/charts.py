@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import number, ratio
-from shiftlens.functions.ordering import exact_quantiles, in_buckets, split_points
+from shiftlens.functions.selection import select_quantiles
 from shiftlens.operators.cohorts import PERIOD, in_anomaly, in_baseline
 
 BINS = 30
@@ -50,8 +50,6 @@ def chart_box(tagged: DataFrame, metric: str, segment: Column | None = None) ->
         rows = rows.filter(segment)
     rows = rows.select(PERIOD, number(metric).alias("x"))
     enough = rows.agg((F.count(F.lit(1)) > 5).alias("ok"))
-    rows = rows.filter(F.col("x").isNotNull())
-    counted = rows.groupBy(PERIOD, "x").agg(F.count(F.lit(1)).alias("n"))
-    bucketed = in_buckets(counted, "x", split_points(rows, "x"))
+    cells = {"baseline": F.when(in_baseline(), F.col("x")), "anomaly": F.when(in_anomaly(), F.col("x"))}
     wanted = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
-    return exact_quantiles(bucketed, [PERIOD], "x", "n", wanted).filter(enough.scalar())
+    return select_quantiles(rows, cells, wanted, PERIOD).filter(enough.scalar())

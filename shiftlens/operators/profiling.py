@@ -1,8 +1,8 @@
 """Column profiling and role inference.
 
-Everything about distinct values comes from one table of (column, value, count):
-a single Expand, map-side counting, one shuffle. Distinct counts, top values and
-quartiles are read from it. Moments come from one wide aggregate over the data.
+Distinct counts and top values come from one table of (column, value, count): a
+single Expand, map-side counting, one shuffle. Moments, quartiles and outliers come
+from wide aggregates over the data and never touch that table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from shiftlens.functions import names
 from shiftlens.functions.dates import elect, readings
 from shiftlens.functions.numeric import NUMERIC_TYPES, number, ratio
-from shiftlens.functions.ordering import exact_quantiles, in_buckets, split_points
+from shiftlens.functions.selection import select_quantiles
 from shiftlens.functions.text import strip_whitespace
 from shiftlens.session import materialize
 
@@ -176,91 +176,80 @@ def infer_types(df: DataFrame, counts: DataFrame, date_share: float = DATE_SHARE
     )
 
 
-def numeric_values(df: DataFrame, counts: DataFrame) -> DataFrame:
-    """(column, number, n) for numbers, booleans and texts that are 0 or 1."""
-    truth = F.when(F.col("value") == "true", 1.0).when(F.col("value") == "false", 0.0)
-    digit = F.when(F.col("value").isin("0", "1"), F.col("value").try_cast("double"))
-    value = (
-        F.when(F.col("column").isin(_named(df, "number")), F.col("value").try_cast("double"))
-        .when(F.col("column").isin(_named(df, "boolean")), truth)
-        .when(F.col("column").isin(_named(df, "string")), digit)
-    )
-    return counts.withColumn("number", value).filter(F.col("number").isNotNull()).select("column", "number", "n")
+def numeric_cells(df: DataFrame) -> dict[str, Column]:
+    """Column name -> double: numbers, booleans, and texts that are 0 or 1; anything else is NULL."""
+    cells = {}
+    for f in flat_fields(df):
+        kind, cell = _kind(f), _quoted(f)
+        if kind == "number":
+            cells[f.name] = number(cell)
+        elif kind == "boolean":
+            cells[f.name] = cell.cast("int").cast("double")
+        elif kind == "string":
+            cells[f.name] = F.when(cell.isin("0", "1"), cell.try_cast("double"))
+    return cells
 
 
 def moments(df: DataFrame) -> DataFrame:
-    """n, min, max, mean and sample deviation per number or boolean column, in one pass."""
-    fields = [f for f in flat_fields(df) if _kind(f) in ("number", "boolean")]
-    if not fields:
+    """n, min, max, mean and sample deviation per column that holds numbers, in one pass."""
+    rows = [
+        F.struct(
+            F.lit(name).alias("column"),
+            F.count(value).alias("n"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            F.avg(value).alias("mean"),
+            F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
+        )
+        for name, value in numeric_cells(df).items()
+    ]
+    if not rows:
         return df.sparkSession.createDataFrame(
             [], "column string, n bigint, min double, max double, mean double, std double"
         )
-    rows = []
-    for f in fields:
-        value = number(_quoted(f).cast("int") if _kind(f) == "boolean" else _quoted(f))
-        rows.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.count(value).alias("n"),
-                F.min(value).alias("min"),
-                F.max(value).alias("max"),
-                F.avg(value).alias("mean"),
-                F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
-            )
-        )
     return df.agg(F.array(*rows).alias("stats")).select(F.inline("stats")).filter(F.col("n") > 0)
 
 
-def text_moments(df: DataFrame, values: DataFrame) -> DataFrame:
-    """Moments of text columns that hold zeros and ones, from their counts."""
-    texts = [f.name for f in flat_fields(df) if _kind(f) == "string"]
-    grouped = values.filter(F.col("column").isin(*texts)).groupBy("column").agg(
-        F.sum("n").alias("n"), F.min("number").alias("min"), F.max("number").alias("max"),
-        F.sum(F.col("n") * F.col("number")).alias("_ones"),
-    )
-    ones, n = F.col("_ones"), F.col("n").cast("double")
-    spread = F.sqrt(ratio(ones * (n - ones), n * (n - 1)))
-    return grouped.select("column", F.col("n"), "min", "max", ratio(ones, n).alias("mean"), spread.alias("std"))
-
-
-def quartiles(values: DataFrame) -> DataFrame:
-    """Exact quartiles of every numeric column, sorted only inside the buckets needed."""
-    bucketed = in_buckets(values, "number", split_points(values, "number", "column"), "column")
-    return exact_quantiles(
-        bucketed, ["column"], "number", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    )
+def quartiles(df: DataFrame) -> DataFrame:
+    """Exact quartiles of every column that holds numbers, by selection on the wide table."""
+    return select_quantiles(df, numeric_cells(df), {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
-def numeric_stats(df: DataFrame, counts: DataFrame, quarters: DataFrame | None = None) -> DataFrame:
+def numeric_stats(df: DataFrame, quarters: DataFrame | None = None) -> DataFrame:
     """Moments and quartiles per column that holds numbers."""
-    values = numeric_values(df, counts)
-    quarters = quartiles(values) if quarters is None else quarters
-    texts = any(_kind(f) == "string" for f in flat_fields(df))
-    base = moments(df).unionByName(text_moments(df, values)) if texts else moments(df)
+    quarters = quartiles(df) if quarters is None else quarters
     return (
-        base.join(quarters.drop("n_values"), "column")
+        moments(df).join(F.broadcast(quarters.drop("n_values")), "column")
         .withColumn("iqr", F.col("q3") - F.col("q1"))
     )
 
 
-def iqr_outliers(df: DataFrame, counts: DataFrame, quarters: DataFrame | None = None) -> DataFrame:
-    """Values strictly outside the quartile fences, counted on distinct values."""
-    values = numeric_values(df, counts)
-    fences = quartiles(values) if quarters is None else quarters
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    enough = F.col("n_values") >= 5
-    fences = fences.select(
-        "column", "n_values",
-        F.when(enough, F.col("q1") - reach).otherwise(0.0).alias("lower"),
-        F.when(enough, F.col("q3") + reach).otherwise(0.0).alias("upper"),
-    )
-    outside = (F.col("number") < F.col("lower")) | (F.col("number") > F.col("upper"))
-    counted = values.join(F.broadcast(fences), "column").groupBy("column", "lower", "upper").agg(
-        F.max("n_values").alias("n_values"),
-        F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outlier_count"),
-    )
-    kept = F.when(F.col("n_values") >= 5, F.col("outlier_count")).otherwise(F.lit(0))
-    return counted.withColumn("outlier_count", kept).withColumn(
+def iqr_outliers(df: DataFrame, quarters: DataFrame | None = None) -> DataFrame:
+    """Values strictly outside the quartile fences, counted in one pass; five values needed.
+
+    The fences are one row per column and enter the count as literals.
+    """
+    cells = numeric_cells(df)
+    rows = []
+    for q in (quartiles(df) if quarters is None else quarters).collect():
+        enough = q["n_values"] >= 5
+        reach = (q["q3"] - q["q1"]) * 1.5
+        lower, upper = (q["q1"] - reach, q["q3"] + reach) if enough else (0.0, 0.0)
+        value = cells[q["column"]]
+        rows.append(
+            F.struct(
+                F.lit(q["column"]).alias("column"),
+                F.lit(lower).alias("lower"),
+                F.lit(upper).alias("upper"),
+                F.lit(q["n_values"]).cast("long").alias("n_values"),
+                F.count_if(F.lit(enough) & ((value < lower) | (value > upper))).alias("outlier_count"),
+            )
+        )
+    if not rows:
+        return df.sparkSession.createDataFrame(
+            [], "column string, lower double, upper double, n_values long, outlier_count long, outlier_pct double"
+        )
+    return df.agg(F.array(*rows).alias("fences")).select(F.inline("fences")).withColumn(
         "outlier_pct", ratio(F.col("outlier_count"), F.col("n_values")) * 100.0
     )
 
@@ -352,11 +341,11 @@ class Profile:
 def profile(df: DataFrame, key: list[str]) -> Profile:
     counts = materialize(value_counts(df), "value-counts")
     types = materialize(infer_types(df, counts), "column-types")
-    quarters = materialize(quartiles(numeric_values(df, counts)), "quartiles")
+    quarters = materialize(quartiles(df), "quartiles")
     return Profile(
         types=types,
-        stats=measured(numeric_stats(df, counts, quarters), types),
-        outliers=measured(iqr_outliers(df, counts, quarters), types),
+        stats=measured(numeric_stats(df, quarters), types),
+        outliers=measured(iqr_outliers(df, quarters), types),
         top=top_values(counts).join(
             F.broadcast(types.filter(F.col("inferred_type").isin("categorical", "boolean")).select("column")),
             "column",
