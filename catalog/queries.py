@@ -235,13 +235,13 @@ def column_types(spark, sf_dir):
 @query
 def numeric_stats(spark, sf_dir):
     fact, _, types = _types(spark, sf_dir)
-    return out(profiling.measured(profiling.numeric_stats(fact), types))
+    return out(profiling.numeric_stats(profiling.measured(fact, types)))
 
 
 @query
 def iqr_outliers(spark, sf_dir):
     fact, _, types = _types(spark, sf_dir)
-    return out(profiling.measured(profiling.iqr_outliers(fact), types))
+    return out(profiling.iqr_outliers(profiling.measured(fact, types)))
 
 
 @query
@@ -259,11 +259,13 @@ def candidate_columns(spark, sf_dir):
 @query
 def schema_health(spark, sf_dir):
     fact, counts, types = _types(spark, sf_dir)
-    quarters = materialize(profiling.quartiles(fact), "quartiles")
+    types = materialize(types, "column-types")
+    numbers = profiling.measured(fact, types)
+    quarters = materialize(profiling.quartiles(numbers), "quartiles")
     return profiling.schema_health(
         types,
-        profiling.numeric_stats(fact, quarters),
-        profiling.iqr_outliers(fact, quarters),
+        profiling.numeric_stats(numbers, quarters),
+        profiling.iqr_outliers(numbers, quarters),
         profiling.top_values(counts),
     )
 

@@ -4,7 +4,8 @@ Three scans of the wide table, all in JVM expressions:
 
 1. sketches give two pivots around every wanted quantile,
 2. one aggregate counts the rows below and up to each pivot,
-3. only values of the zone that holds the wanted rows are shuffled, counted map-side.
+3. only values of the zone that holds the wanted rows are shuffled, counted map-side;
+   none where the pivots are one value that holds the position.
 
 Pivots decide how much is shuffled, never the result: the counts tell which of the
 three zones (below, between, above) holds a position, wherever the pivots fell.
@@ -77,27 +78,29 @@ def select_quantiles(
         for i, (label, share) in enumerate(probabilities.items()):
             place = share * (found[c] - 1)
             first, last = math.floor(place), math.ceil(place)
+            low, high = points[2 * i], points[2 * i + 1]
             below, upto = found[f"{c}b{i}"], found[f"{c}u{i}"]
-            earlier, inside = _zone(F.col(c), points[2 * i], points[2 * i + 1], below, upto, first, last)
-            bases.append((c, names[c], label, found[c], earlier, first, last, place - first))
-            picked.append(F.when(inside, F.struct(F.lit(c).alias("c"), F.lit(label).alias("q"), F.col(c).alias("x"))))
+            sure = low if low == high and below <= first and last < upto else None
+            earlier, inside = _zone(F.col(c), low, high, below, upto, first, last)
+            g = len(bases)
+            bases.append((g, names[c], label, found[c], earlier, first, last, place - first, sure))
+            if sure is None:
+                picked.append(F.when(inside, F.struct(F.lit(g).alias("g"), F.col(c).alias("x"))))
     wanted = spark.createDataFrame(
-        bases, "c string, name string, q string, n_values long, earlier long, first long, last long, part double"
+        bases,
+        "g int, name string, q string, n_values long, earlier long, first long, last long, part double, sure double",
     )
-    if not picked:
-        empty = wanted.select(F.col("name").alias(by), "n_values", *[F.lit(0.0).alias(p) for p in probabilities])
-        return empty
-
-    values = wide.select(F.explode(F.array_compact(F.array(*picked))).alias("v")).groupBy("v.c", "v.q", "v.x")
-    before = Window.partitionBy("c", "q").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    zones = F.array_compact(F.array(*picked)) if picked else F.lit(None).cast("array<struct<g:int,x:double>>")
+    values = wide.select(F.explode(zones).alias("v")).groupBy("v.g", "v.x")
+    before = Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     placed = values.agg(F.count(F.lit(1)).alias("n")).withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
     start = F.col("earlier") + F.col("inside")
-    holds = lambda rank: rank.between(start, start + F.col("n") - 1)
-    edges = placed.join(F.broadcast(wanted), ["c", "q"]).groupBy("name", "q", "n_values", "part").agg(
-        F.max(F.when(holds(F.col("first")), F.col("x"))).alias("low"),
-        F.max(F.when(holds(F.col("last")), F.col("x"))).alias("high"),
-    )
-    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    hits = [
+        F.max(F.when(F.col(rank).between(start, start + F.col("n") - 1), F.col("x"))).alias(edge)
+        for rank, edge in (("first", "low"), ("last", "high"))
+    ]
+    edges = wanted.join(placed.join(F.broadcast(wanted), "g").groupBy("g").agg(*hits), "g", "left")
+    value = F.coalesce(F.col("sure"), F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))
     return edges.groupBy(F.col("name").alias(by)).agg(
         F.max("n_values").alias("n_values"),
         *[F.max(F.when(F.col("q") == label, value)).alias(label) for label in probabilities],

@@ -317,10 +317,10 @@ def schema_health(types: DataFrame, stats: DataFrame, outliers: DataFrame, top:
     )
 
 
-def measured(table: DataFrame, types: DataFrame) -> DataFrame:
-    """Rows of the columns that are measured: numerical and boolean ones."""
-    kept = types.filter(F.col("inferred_type").isin("numerical", "boolean")).select("column")
-    return table.join(F.broadcast(kept), "column")
+def measured(df: DataFrame, types: DataFrame) -> DataFrame:
+    """The columns of ``df`` that are measured, numerical and boolean ones; one row per column is read."""
+    kept = {r["column"] for r in types.filter(F.col("inferred_type").isin("numerical", "boolean")).collect()}
+    return df.select(*[_quoted(f) for f in flat_fields(df) if f.name in kept])
 
 
 @dataclass
@@ -341,11 +341,12 @@ class Profile:
 def profile(df: DataFrame, key: list[str]) -> Profile:
     counts = materialize(value_counts(df), "value-counts")
     types = materialize(infer_types(df, counts), "column-types")
-    quarters = materialize(quartiles(df), "quartiles")
+    numbers = measured(df, types)
+    quarters = materialize(quartiles(numbers), "quartiles")
     return Profile(
         types=types,
-        stats=measured(numeric_stats(df, quarters), types),
-        outliers=measured(iqr_outliers(df, quarters), types),
+        stats=numeric_stats(numbers, quarters),
+        outliers=iqr_outliers(numbers, quarters),
         top=top_values(counts).join(
             F.broadcast(types.filter(F.col("inferred_type").isin("categorical", "boolean")).select("column")),
             "column",
