@@ -381,6 +381,15 @@ SELECT "column", {r('lower')} AS lower, {r('upper')} AS upper, n_values, outlier
 FROM outl JOIN types USING ("column") WHERE inferred_type IN ('numerical', 'boolean')"""
 ORACLES["top_categories"] = f"""{with_(MIXED, CELLS, COUNTS, TYPES, TOP)}
 SELECT "column", value, n, rank FROM top JOIN types USING ("column") WHERE inferred_type IN ('categorical', 'boolean')"""
+ORACLES["frequent_values"] = f"""WITH cells AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {c + '::DATE' if c == 'l_shipdate' else c}::VARCHAR AS value FROM lineitem"
+    for c in ("l_returnflag", "l_linestatus", "l_shipdate", "l_linenumber", "l_partkey", "l_orderkey")
+)}),
+counted AS (SELECT "column", value, count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY ALL)
+SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank
+FROM counted QUALIFY rank <= 7"""
+ORACLES["merged_distincts"] = f"""{with_(MIXED, CELLS, COUNTS)}
+SELECT "column", total_count, missing_count, unique_count, TRUE AS within_error FROM counts"""
 _PRIORITY_1 = "(contains(\"column\", 'price'))"
 _SEGMENT_1 = "(contains(\"column\", 'os'))"
 ORACLES["candidate_columns"] = f"""{with_(MIXED, CELLS, COUNTS, TYPES)},

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from catalog import facts
 from shiftlens.functions.numeric import rounded
-from shiftlens.operators import charts, cleaning, detection, evidence, isolation, profiling, report, scenarios
+from shiftlens.operators import charts, cleaning, detection, evidence, isolation, profiling, report, scenarios, sketches
 from shiftlens.operators import decomposition as dec
 from shiftlens.operators import hypotheses as hyp
 from shiftlens.operators import statistics as st
@@ -251,6 +251,28 @@ def top_categories(spark, sf_dir):
     return out(profiling.top_values(counts).join(F.broadcast(kept), "column"))
 
 
+@query
+def frequent_values(spark, sf_dir):
+    rows = facts.table(spark, sf_dir, "lineitem")
+    columns = ["l_returnflag", "l_linestatus", "l_shipdate", "l_linenumber", "l_partkey", "l_orderkey"]
+    rows = rows.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    return out(sketches.frequent_values(rows, columns, k=7))
+
+
+@query
+def merged_distincts(spark, sf_dir):
+    """States of two halves of the data, written, read back and added up, held against exact counts."""
+    fact = facts.mixed_fact(spark, sf_dir)
+    early = F.col("o_orderkey") % 3 == 0
+    halves = [materialize(sketches.column_state(fact.filter(side)), "column-state") for side in (early, ~early)]
+    found = sketches.distinct_estimates(sketches.merge_states(*halves))
+    exact = profiling.column_counts(fact, profiling.value_counts(fact)).select("column", "unique_count")
+    error = F.abs(F.col("unique_estimate") - F.col("unique_count"))
+    rows = found.join(F.broadcast(exact), "column")
+    within = error <= F.col("error_share") * F.col("unique_count")
+    return out(rows.withColumn("within_error", within), "column", "total_count", "missing_count", "unique_count", "within_error")
+
+
 @query
 def candidate_columns(spark, sf_dir):
     return out(profiling.candidates(_types(spark, sf_dir)[2]))

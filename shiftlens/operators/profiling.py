@@ -53,7 +53,7 @@ def column_list(df: DataFrame) -> DataFrame:
     )
 
 
-def _as_text(field: T.StructField) -> Column:
+def as_text(field: T.StructField) -> Column:
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         return (number(_quoted(field)) + F.lit(0.0)).cast("string").alias(field.name)
     return _quoted(field).cast("string").alias(field.name)
@@ -62,7 +62,9 @@ def _as_text(field: T.StructField) -> Column:
 def value_counts(df: DataFrame) -> DataFrame:
     """(column, value, n) over all flat columns; NULL is a value of its own."""
     fields = flat_fields(df)
-    long = df.select(*[_as_text(f) for f in fields]).unpivot(
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+    long = df.select(*[as_text(f) for f in fields]).unpivot(
         [], [_quoted(f) for f in fields], "column", "value"
     )
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -15,14 +16,25 @@ CSV_FORM = {
 }
 
 
+def has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """True if a quoted text may run over a line break: the line it starts on has an odd number of quotes.
+
+    One scan that can be split at any line and ends at the first such line.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(CSV_FORM["quote"]), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """CSV with a header. Give a schema at scale: inference reads the input twice.
 
-    Texts may hold line breaks; a file is then read by one task. Without them
-    ``multi_line`` can be turned off, which lets large files be split.
+    Texts may hold line breaks. Files in which one does can only be read by one task
+    each; all others are split. Which it is a scan of the quotes tells, unless
+    ``multi_line`` says so.
     """
+    multi_line = has_broken_lines(spark, path) if multi_line is None else multi_line
     reader = spark.read.options(**{**CSV_FORM, "emptyValue": EMPTY_MARK}, multiLine=multi_line)
     rows = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]

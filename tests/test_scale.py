@@ -88,6 +88,17 @@ def test_csv_keeps_texts(spark, tmp_path):
     assert [r["text"] for r in back.orderBy("id").collect()] == texts
 
 
+def test_csv_is_split_unless_a_text_breaks_its_line(spark, tmp_path):
+    whole = [(1, 'a "b" c'), (2, ""), (3, None), (4, "x, y"), (5, '"')]
+    broken = [*whole, (6, "first\nsecond"), (7, '"\n"')]
+    for name, rows, is_broken in (("whole", whole, False), ("broken", broken, True)):
+        df = spark.createDataFrame(rows, "id int, text string")
+        path = f"file:{tmp_path}/{name}"
+        files.write_csv(df.coalesce(1), path)
+        assert files.has_broken_lines(spark, path) == is_broken
+        assert sorted(map(tuple, files.read_csv(spark, path, df.schema).collect())) == rows
+
+
 def test_split_points_are_merged_in_two_levels(spark):
     df = spark.range(20000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("k"))
     for cuts in (split_points(df, "x")[None], column_split_points(df, {"x": F.col("x")})["x"], split_points(df, "x", "k")["1"]):
