@@ -951,6 +951,7 @@ def batch_sql() -> str:
 
 
 ORACLES["report_lines"] = report_sql(SHIPMENTS, "shipments", "revenue", _COVS)
+ORACLES["report_export"] = f"SELECT run_id, text FROM ({ORACLES['report_lines']}) AS report"
 ORACLES["report_lines_batch"] = batch_sql()
 ORACLES["history_rebuild"] = ORACLES["report_lines"]
 ORACLES["history_contributions"] = f"""{with_(*SHIP_CONTRIBS)}

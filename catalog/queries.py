@@ -718,6 +718,14 @@ def report_lines(spark, sf_dir):
     return out(_investigation(spark, sf_dir).lines)
 
 
+@query
+def report_export(spark, sf_dir):
+    """The report as text files, one folder per run, read back."""
+    path = new_table_path(spark, "report")
+    files.write_text(_investigation(spark, sf_dir).lines, path)
+    return out(spark.read.text(path).withColumnRenamed("value", "text"), "run_id", "text")
+
+
 @query
 def report_lines_batch(spark, sf_dir):
     """Reports of three metrics in two windows each, from one set of jobs."""
