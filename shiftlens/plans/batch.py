@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.numeric import named, number
-from shiftlens.functions.ordering import bucket_of, column_split_points
 from shiftlens.operators import decomposition as dec
 from shiftlens.operators import hypotheses as hyp
 from shiftlens.operators import report
+from shiftlens.operators import statistics as st
 from shiftlens.operators.cohorts import ANOMALY, BASELINE, PERIOD, window_from_totals
 from shiftlens.operators.hypotheses import RUN_KEYS
 from shiftlens.operators.scenarios import MAX_SCENARIOS, top_scenarios
@@ -92,7 +92,7 @@ def _by_run(rows: DataFrame, names: dict[str, tuple[str, ...]], columns: tuple[s
 
 
 def long_runs(facts: DataFrame, runs: list[Run], dimensions: list[str]) -> DataFrame:
-    """(run_id, metric, period, x, dimension, segment_value): the layout of ``long_segments`` for all runs.
+    """(label, period, x, dimension, segment_value): the layout of ``long_segments`` for all runs, see ``_named_runs``.
 
     The crossing of the first two dimensions and the whole of each run are dimensions too.
     """
@@ -106,8 +106,12 @@ def long_runs(facts: DataFrame, runs: list[Run], dimensions: list[str]) -> DataF
     ))
     per_run = facts.select(*(c.alias(k) for k, c in wide.items()), F.inline(entries)).filter(F.col(PERIOD).isNotNull())
     segments = F.array(*(F.struct(F.lit(labels[k]).alias("dimension"), F.col(k).alias("segment_value")) for k in wide))
-    long = per_run.select(LABEL, PERIOD, "x", F.inline(segments))
-    return _by_run(long, {str(i): (r.run_id, r.metric) for i, r in enumerate(runs)}, RUN_KEYS, LABEL)
+    return per_run.select(LABEL, PERIOD, "x", F.inline(segments))
+
+
+def _named_runs(rows: DataFrame, runs: list[Run]) -> DataFrame:
+    """Rows with ``run_id`` and ``metric`` instead of the label of their run."""
+    return _by_run(rows, {str(i): (r.run_id, r.metric) for i, r in enumerate(runs)}, RUN_KEYS, LABEL)
 
 
 def _pairs(runs: list[Run], covariates: list[str]) -> dict[str, tuple[int, int]]:
@@ -115,39 +119,34 @@ def _pairs(runs: list[Run], covariates: list[str]) -> dict[str, tuple[int, int]]
     return {f"{i}.{j}": (i, j) for i, r in enumerate(runs) for j, c in enumerate(covariates) if c != r.metric}
 
 
-def _long_pairs(facts: DataFrame, runs: list[Run], covariates: list[str]) -> DataFrame:
-    entries = [
-        F.struct(
-            _period(runs[i]).alias(PERIOD), number(runs[i].metric).alias("y"),
-            F.lit(label).alias("covariate"), number(covariates[j]).alias("x"),
-        )
-        for label, (i, j) in _pairs(runs, covariates).items()
-    ]
-    return facts.select(F.inline(F.array(*entries)))
-
-
-def _placed_pairs(facts: DataFrame, runs: list[Run], covariates: list[str]) -> DataFrame:
-    """The layout of ``placed_covariates`` for all pairs; each number is placed in its bucket once for all runs."""
-    names = list(dict.fromkeys([*(r.metric for r in runs), *covariates]))
-    place = {name: i for i, name in enumerate(names)}
-    cuts = column_split_points(facts, {c: number(c) for c in names})
-    wide = {f"p{i}": _period(r) for i, r in enumerate(runs)}
-    for name, i in place.items():
-        wide[f"v{i}"] = number(name)
-        wide[f"b{i}"] = bucket_of(number(name), cuts[name], own_bucket=True)
-    placed = materialize(facts.select(*(c.alias(k) for k, c in wide.items())), "placed")
-    entries = []
-    for label, (i, j) in _pairs(runs, covariates).items():
-        y, x = place[runs[i].metric], place[covariates[j]]
-        entries.append(F.struct(
-            F.col(f"p{i}").alias(PERIOD), F.col(f"v{y}").alias("y"), F.col(f"b{y}").alias("by"),
-            F.lit(label).alias("covariate"), F.col(f"v{x}").alias("x"), F.col(f"b{x}").alias("bx"),
-        ))
-    return placed.select(F.inline(F.array(*entries)))
+def _windows(facts: DataFrame, runs: list[Run]) -> list[int]:
+    """For each run the first one whose condition means the same."""
+    plans = [facts.select(_period(r).alias(PERIOD)) for r in runs]
+    return [next(k for k in range(i + 1) if k == i or plans[k].sameSemantics(plan)) for i, plan in enumerate(plans)]
+
+
+def _labelled(rows: DataFrame, key_of: dict[str, str]) -> DataFrame:
+    """Rows per key in ``covariate``, once for each label that has this key."""
+    table = rows.sparkSession.createDataFrame([(key, label) for label, key in key_of.items()], "covariate string, _label string")
+    return rows.join(F.broadcast(table), "covariate").drop("covariate").withColumnRenamed("_label", "covariate")
 
 
 def _covariates(facts: DataFrame, runs: list[Run], covariates: list[str]) -> DataFrame:
-    judged = hyp.judged_covariates(_long_pairs(facts, runs, covariates), lambda: _placed_pairs(facts, runs, covariates))
+    """Correlations are computed once per pair of columns, shifts once per window and covariate, for all runs."""
+    columns = list(dict.fromkeys([*(r.metric for r in runs), *covariates]))
+    first, pairs, shifts, pair_of, shift_of = _windows(facts, runs), {}, {}, {}, {}
+    for label, (i, j) in _pairs(runs, covariates).items():
+        x, y = sorted((columns.index(covariates[j]), columns.index(runs[i].metric)))
+        pair_of[label], shift_of[label] = f"{x}.{y}", f"{first[i]}.{j}"
+        pairs[pair_of[label]] = (columns[x], columns[y])
+        shifts[shift_of[label]] = (f"p{first[i]}", covariates[j])
+    placed = hyp.placed_columns(facts, {f"p{i}": _period(runs[i]) for i in sorted(set(first))}, columns)
+    long = hyp.shifted_values(placed, shifts, columns)
+    shift = hyp.covariate_shift(long, materialize(st.moments(long, ["covariate"]), "moments"))
+    ranked = st.spearman_columns(placed, pairs, hyp.places(columns))
+    judged = hyp.judged_covariates(
+        _labelled(hyp.paired_sums(placed, pairs, columns), pair_of), _labelled(ranked, pair_of), _labelled(shift, shift_of)
+    )
     names = {label: (runs[i].run_id, runs[i].metric, covariates[j]) for label, (i, j) in _pairs(runs, covariates).items()}
     tested = _by_run(judged.withColumnRenamed("covariate", "_pair"), names, (*RUN_KEYS, "covariate"), "_pair")
     return hyp.covariate_family(tested, covariates, F.col("run_id"), F.col("metric"))
@@ -169,8 +168,9 @@ def investigate_runs(
     """
     _checked(runs, dimensions)
     run_id, metric, keys = F.col("run_id"), F.col("metric"), RUN_KEYS
-    long = long_runs(facts, runs, dimensions)
-    segments = materialize(dec.segment_moments(long, keys), "segments")
+    labelled = long_runs(facts, runs, dimensions)
+    segments = materialize(_named_runs(dec.segment_moments(labelled, (LABEL,)), runs), "segments")
+    long = _named_runs(labelled, runs)
     totals = materialize(dec.totals_row(segments, keys), "totals")
     plain = segments.filter(F.col("dimension").isin(dimensions))
     contributions = materialize(dec.contributions(plain, totals, keys), "contributions")
